@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import mixing, simhash, topk
 
-QUERIES = {"op1_mixing": mixing.op1_mixing}
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL}
+QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
+    "op3_simhash": simhash.op3_simhash,
+    "op9_topk": topk.op9_topk,
+}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op9_topk": topk.OP9_SQL}
