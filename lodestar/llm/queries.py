@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, simhash, topk
+from . import bpe, mixing, quality, simhash, topk, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op5_warc": warc.op5_warc,
+    "op6_quality": quality.op6_quality,
     "op9_topk": topk.op9_topk,
+    "op10_bpe": bpe.op10_bpe,
 }
-ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op9_topk": topk.OP9_SQL}
+ORACLE_SQL = {"op1_mixing": mixing.OP1_SQL, "op5_warc": warc.OP5_SQL, "op9_topk": topk.OP9_SQL}
