@@ -60,3 +60,12 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def literals(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table of fixed values, as one expression."""
+    fields = [x.split() for x in ddl.split(", ")]
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, fields)]) for row in rows]
+    if not structs:
+        return spark.createDataFrame([], ddl)
+    return spark.range(1).select(F.inline(F.array(*structs)))
