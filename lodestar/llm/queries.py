@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality, simhash, topk, urls, warc
+from . import bpe, licenses, mixing, quality, secrets, simhash, topk, urls, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op3_simhash": simhash.op3_simhash,
+    "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
     "op6_quality": quality.op6_quality,
     "op7_urls": urls.op7_urls,
