@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, mixing, quality, secrets, simhash, topk, urls, warc
+from . import bpe, licenses, mixing, quality, secrets, simhash, tokens, topk, urls, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_tokens": tokens.op2_tokens,
     "op3_simhash": simhash.op3_simhash,
     "op4_secrets": secrets.op4_secrets,
     "op5_warc": warc.op5_warc,
