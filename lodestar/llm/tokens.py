@@ -21,6 +21,7 @@ any length stays in one file; an empty table gives no file and an empty result.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,10 +38,10 @@ from .bpe import TextEncoder, slices, tokenizer_path
 from .common import materialize, scratch, small, table
 
 MAGIC = b"LDTOK1\r\n"
-BLOCK = 2048  # ids
-LANES = 2048  # blocks side by side
+BLOCK = 1024  # ids
+LANES = 4096  # blocks side by side
 FILE_IDS = BLOCK * LANES
-ORDER1, ORDER2 = 1 << 11, 1 << 12  # entries a lane
+ORDER1, ORDER2 = 1 << 10, 1 << 11  # entries a lane
 TOTAL = 20  # bits of the order-0 frequencies' sum
 END_ID = 2
 
@@ -55,7 +56,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
         c.prec = 20
         stretch = [int((256 * (Decimal(p) / (4096 - p)).ln()).to_integral_value()) for p in range(1, 4096)]
         squash = [int((4096 / (1 + (Decimal(-d) / 256).exp())).to_integral_value()) for d in range(-2047, 2048)]
-    return np.array([stretch[0], *stretch], np.int64).clip(-2047, 2047), np.array(squash, np.int64).clip(16, 4080)
+    return np.array([stretch[0], *stretch], np.int32).clip(-2047, 2047), np.array(squash, np.int32).clip(16, 4080)
 
 
 class Model:
@@ -66,8 +67,8 @@ class Model:
         self.base1, self.base2 = lanes * ORDER1, lanes * ORDER2
         self.t1, self.t2 = np.zeros(n * ORDER1, np.int32), np.zeros(n * ORDER2, np.int32)  # confidence << 20 | place + 1
         self.lane8 = lanes * 8
-        self.e1, self.e2, self.e0 = np.full(n * 8, 1024, np.int64), np.full(n * 8, 2048, np.int64), np.full(n, 1024, np.int64)
-        self.w1, self.w2, self.w0 = np.full(n, 24000, np.int64), np.full(n, 24000, np.int64), np.full(n, 12000, np.int64)
+        self.e1, self.e2, self.e0 = np.full(n * 8, 1024, np.int32), np.full(n * 8, 2048, np.int32), np.full(n, 1024, np.int32)
+        self.w1, self.w2, self.w0 = np.full(n, 24000, np.int32), np.full(n, 24000, np.int32), np.full(n, 12000, np.int32)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.stretch, self.squash = _tables()
 
@@ -84,7 +85,7 @@ class Model:
         self.c1, self.c2 = self.s1 & 0xFFFFF, self.s2 & 0xFFFFF
         k1, k2 = self.s1 >> 20, self.s2 >> 20
         self.guess = np.where((k2 > 0) | (self.c1 == 0), self.c2, self.c1)
-        both = (self.c1 == self.c2).astype(np.int64)
+        both = self.c1 == self.c2
         self.j1, self.j2 = self.lane8 + 2 * k1 + both, self.lane8 + 2 * k2 + both
         self.q1, self.q2 = self.e1[self.j1], self.e2[self.j2]
         self.x1, self.x2, self.x0 = self.stretch[self.q1], self.stretch[self.q2], self.stretch[self.e0]
@@ -93,15 +94,17 @@ class Model:
         return self.guess, self.p << 4
 
     def update(self, place: np.ndarray, hit: np.ndarray) -> None:
-        target = hit.astype(np.int64) << 12
+        target = hit.astype(np.int32) << 12
         error = (target - self.p) * 10
-        self.w1 += (self.x1 * error) >> 12
-        self.w2 += (self.x2 * error) >> 12
-        self.w0 += (self.x0 * error) >> 12
-        self.e1[self.j1] = np.clip(self.q1 + ((target - self.q1) >> 4), 8, 4087)
-        self.e2[self.j2] = np.clip(self.q2 + ((target - self.q2) >> 4), 8, 4087)
+        for w, x in ((self.w1, self.x1), (self.w2, self.x2), (self.w0, self.x0)):
+            w += (x * error) >> 12
+            np.minimum(w, 1 << 17, out=w)  # so that three products fit 31 bits
+            np.maximum(w, -(1 << 17), out=w)
+        # shifts round down, so that estimates stay within 15 of either end
+        self.e1[self.j1] = np.minimum(self.q1 + ((target - self.q1) >> 4), 4095)
+        self.e2[self.j2] = np.minimum(self.q2 + ((target - self.q2) >> 4), 4095)
         self.e0 += (target - self.e0) >> 5
-        np.clip(self.e0, 8, 4087, out=self.e0)
+        np.minimum(self.e0, 4095, out=self.e0)
         new = (place + 1).astype(np.int32)
         for t, i, s, c in ((self.t1, self.i1, self.s1, self.c1), (self.t2, self.i2, self.s2, self.c2)):
             k = s >> 20
@@ -251,11 +254,22 @@ def decode_lanes(words: np.ndarray, starts: np.ndarray, count: int, freq: np.nda
 
 def encode_file(doc_ids: list[int | None], sizes: np.ndarray, ids: np.ndarray, partition: int, number: int) -> bytes:
     """A file of these documents."""
-    used, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    if len(ids) and int(ids.max()) < 1 << 22:  # counted in a table rather than by a sort
+        table_ = np.bincount(ids)
+        used = np.flatnonzero(table_).astype(np.uint32)
+        counts, inverse = table_[used], None
+    else:
+        used, inverse, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order = np.lexsort((used, -counts))
     rank = np.empty(len(used), np.int64)
     rank[order] = np.arange(len(used))
-    places, freq = rank[inverse], frequencies(counts[order])
+    if inverse is None:
+        places = np.zeros(len(table_), np.int64)
+        places[used] = rank
+        places = places[ids]
+    else:
+        places = rank[inverse]
+    freq = frequencies(counts[order])
     head = struct.pack("<4q", partition, number, len(doc_ids), len(used)) + np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + sizes.astype("<i8").tobytes() + used[order].astype("<u4").tobytes() + freq.astype("<u4").tobytes()
     directory, words = [], []
     for a in range(0, len(ids), FILE_IDS):
@@ -298,6 +312,8 @@ def decode_file(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np
 
 
 _OPEN: dict[str, TextEncoder] = {}
+#: Letters whose case and composition no normalisation splits, and marks that are one pre-token together.
+plain_word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)").fullmatch
 
 
 def library_encoder(path: str) -> TextEncoder:
@@ -309,18 +325,35 @@ def library_encoder(path: str) -> TextEncoder:
         special = {t.content: i for i, t in own.get_added_tokens_decoder().items()}
         mark, mark_id = next(iter(special.items()), (None, None))
 
+        ends = np.zeros(own.get_vocab_size(), bool)  # ids that end a pre-token
+        for t, i in own.get_vocab().items():
+            ends[i] = t.endswith("</w>")
+
+        def cut(some: list[int], texts: list[str], out: list[bytes], ids: np.ndarray, cuts: np.ndarray, gap: int) -> None:
+            raw = ids.tobytes()
+            starts = np.concatenate([[0], cuts[:-1] + gap])
+            for k, x, y in zip(some, (4 * starts).tolist(), (4 * cuts).tolist()):
+                out[k] = raw[x:y]
+
         def runs(texts: list[str]) -> list[bytes]:
-            # one call for many runs, a special token between them; runs that hold its text go by themselves
+            # One call for many runs. Plain words, with or without a mark after, have one pre-token or two, so word ends tell
+            # them apart; other runs are told apart by a special token between them; those that hold its text go alone.
             out: list[bytes] = [b""] * len(texts)
-            plain = [k for k, t in enumerate(texts) if mark is not None and mark not in t]
+            found = [plain_word(t) for t in texts]
+            plain = [k for k, m in enumerate(found) if m]
+            other = [k for k, m in enumerate(found) if not m and mark is not None and mark not in texts[k]]
+            alone = [k for k, m in enumerate(found) if not m and (mark is None or mark in texts[k])]
+            encode = lambda text: np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             for a in range(0, len(plain), 2000):
                 some = plain[a : a + 2000]
-                ids = np.array(own.encode_batch_fast([mark.join([texts[k] for k in some])], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.concatenate([[-1], np.flatnonzero(ids == mark_id), [len(ids)]]).tolist()
-                raw = ids.tobytes()
-                for k, x, y in zip(some, cuts, cuts[1:]):
-                    out[k] = raw[4 * (x + 1) : 4 * y]
-            for k in set(range(len(texts))) - set(plain):
+                ids = encode(" ".join([texts[k] for k in some]))
+                words = np.cumsum([1 + bool(found[k][1]) for k in some])
+                cut(some, texts, out, ids, np.flatnonzero(ends[ids])[words - 1] + 1, 0)
+            for a in range(0, len(other), 2000):
+                some = other[a : a + 2000]
+                ids = encode(mark.join([texts[k] for k in some]))
+                cut(some, texts, out, ids, np.append(np.flatnonzero(ids == mark_id), len(ids)), 1)
+            for k in alone:
                 out[k] = np.array(own.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
             return out
 
@@ -339,7 +372,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
         held = number = 0
         close = lambda: pa.RecordBatch.from_arrays([pa.array([encode_file(names, np.concatenate(sizes), np.concatenate(ids), partition, number)], pa.binary())], ["file"])
         for whole in batches:
-            for batch in slices(whole, 1, 1 << 20):
+            for batch in slices(whole, 1, 6 << 20):
                 got, own = encoder(batch.column(1))
                 ended = np.insert(got, np.cumsum(own), end_id).astype(np.uint32)
                 names += batch.column(0).to_pylist()
