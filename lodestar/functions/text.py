@@ -47,7 +47,7 @@ def substring_match(prediction: Column, golds: Column) -> Column:
 def all_tagged(text: Column, open_: str, close: str) -> Column:
     """Contents between a pair of literal tags, trimmed, in order; lazy, over line ends."""
     quote = lambda s: "".join("\\" + ch if ch in "|[]()<>{}.$^*+?\\" and ch not in "<>" else ch for ch in s)
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s){quote(open_)}(.*?){quote(close)}"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s){quote(open_)}(.*?){quote(close)}"), 1), lambda x: F.trim(x))
 
 
 def last_answer(text: Column | str) -> Column:
@@ -92,7 +92,7 @@ def last_box(text: Column) -> Column:
 
 def steps(think: Column) -> Column:
     """Contents of `Step n:` sections, the colon ASCII or full-width; case matters."""
-    return F.transform(F.regexp_extract_all(think, F.lit(r"(?s)Step\s*\d+\s*[：:]\s*(.+?)(?=Step\s*\d+|$)"), 1), F.trim)
+    return F.transform(F.regexp_extract_all(think, F.lit(r"(?s)Step\s*\d+\s*[：:]\s*(.+?)(?=Step\s*\d+|$)"), 1), lambda x: F.trim(x))
 
 
 def valid_steps(think: Column) -> Column:
