@@ -230,3 +230,26 @@ def pairs_text(json: Column | str, spaced: bool = False) -> Column:
         kept = F.filter(entries, lambda e: e["value"].isNotNull())
         return F.array_join(F.transform(kept, lambda e: F.concat(e["key"], F.lit(":"), e["value"])), " ")
     return F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":"'), F.coalesce(e["value"], F.lit("null")), F.lit('"'))), ", ")
+
+
+def bleu(candidate: Column | str, reference: Column | str, most: int = 4) -> Column:
+    """Sentence BLEU of white-space words, n-grams up to `most`, add-one smoothing from bigrams on, with the brevity penalty."""
+    c, r = words(candidate), words(reference)
+
+    def grams(w: Column, n: int) -> Column:
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    logs = []
+    for n in range(1, most + 1):
+        own, other = grams(c, n), grams(r, n)
+        times = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
+        hits = _clipped(own, other, times)
+        plus = 0 if n == 1 else 1
+        logs.append(F.log((hits + plus) / F.greatest(F.size(own) + plus, F.lit(1))))
+    brevity = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.greatest(F.size(c), F.lit(1))))
+    return F.when((F.size(c) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(F.coalesce(brevity * F.exp(sum(logs[1:], logs[0]) / most), F.lit(0.0)))
+
+
+def _clipped(own: Column, other: Column, times) -> Column:
+    """Matched n-grams, each at most as often as the reference has it."""
+    return F.aggregate(F.array_distinct(own), F.lit(0), lambda a, g: a + F.least(times(own, g), times(other, g)))

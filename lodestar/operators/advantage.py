@@ -165,3 +165,52 @@ def policy_loss(logp: Column, old: Column, advantage: Column, low: float = 0.2,
 def value_loss(pred: Column, value: Column, returns: Column, clip: float = 0.5) -> Column:
     clipped = F.greatest(F.least(pred, value + clip), value - clip)
     return F.lit(0.5) * F.greatest((pred - returns) * (pred - returns), (clipped - returns) * (clipped - returns))
+
+
+def sequence_ratio_loss(logp: Column, old: Column, mask: Column, advantage: Column, low: float = 0.2, high: float = 0.2) -> Column:
+    """Sequence-level surrogate over token arrays: the ratio is the exponential of the mean log ratio under the mask."""
+    from ..functions.arrays import masked_mean
+
+    ratio = F.exp(F.least(masked_mean(F.zip_with(logp, old, lambda a, b: a - b), mask), F.lit(10.0)))
+    return F.greatest(-advantage * ratio, -advantage * F.greatest(F.least(ratio, F.lit(1 + high)), F.lit(1 - low)))
+
+
+def geometric_mean_loss(logp: Column, old: Column, mask: Column, advantage: Column, low: float = 0.4, high: float = 0.4) -> Column:
+    """-A times the exponential of the mean log ratio, each token's log ratio clipped on the side the advantage's sign asks for."""
+    from ..functions.arrays import masked_mean
+
+    sign = F.signum(advantage)
+    clip = lambda d: F.greatest(F.least(d, F.lit(high)), F.lit(-low))
+    kept = F.zip_with(logp, old, lambda a, b: sign * F.least(sign * (a - b), sign * clip(a - b)))
+    return -advantage * F.exp(masked_mean(kept, mask))
+
+
+def covariance_choice(tokens: DataFrame, share: float) -> DataFrame:
+    """(row_id, pos, logp, advantage) tokens with chosen: the share of tokens of highest covariance of log probability and advantage.
+
+    The cut is a quantile of all tokens, so no token order is sorted in one task.
+    """
+    m = tokens.agg(F.avg("logp").alias("ml_"), F.avg("advantage").alias("ma_"))
+    cov = tokens.join(F.broadcast(m), F.lit(True)).withColumn("cov", (F.col("logp") - F.col("ml_")) * (F.col("advantage") - F.col("ma_"))).drop("ml_", "ma_")
+    cut = cov.agg(F.expr(f"percentile(cov, {1 - share})")).scalar()
+    return cov.withColumn("chosen", F.col("cov") >= cut)
+
+
+def kl_cov_loss(tokens: DataFrame, share: float = 0.002, coefficient: float = 1.0) -> DataFrame:
+    """Tokens (with old) and loss: -A ratio, and on the chosen tokens a KL penalty more."""
+    chosen = covariance_choice(tokens, share)
+    d = F.col("logp") - F.col("old")
+    base = -F.col("advantage") * F.exp(d)
+    return chosen.withColumn("loss", F.when(F.col("chosen"), base + coefficient * F.abs(d)).otherwise(base))
+
+
+def clip_cov_loss(tokens: DataFrame, share: float = 0.002, low: float = 0.2, high: float = 0.2) -> DataFrame:
+    """Tokens (with old) and loss: the clipped surrogate, 0 on the chosen tokens."""
+    chosen = covariance_choice(tokens, share)
+    ratio = F.exp(F.col("logp") - F.col("old"))
+    surrogate = F.greatest(-F.col("advantage") * ratio, -F.col("advantage") * F.greatest(F.least(ratio, F.lit(1 + high)), F.lit(1 - low)))
+    return chosen.withColumn("loss", F.when(F.col("chosen"), 0.0).otherwise(surrogate))
+
+
+#: Policy losses by name: what compares log probabilities, advantages and masks.
+POLICY_LOSSES = {"clip": policy_loss, "sequence": sequence_ratio_loss, "geometric": geometric_mean_loss, "kl_cov": kl_cov_loss, "clip_cov": clip_cov_loss}

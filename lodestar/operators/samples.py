@@ -115,3 +115,23 @@ def transcript_messages(text: Column) -> Column:
     role = lambda p: F.when(p.startswith("<interpreter>"), F.lit("tool")).otherwise(F.lit("assistant"))
     body = lambda p: F.trim(F.regexp_replace(p, r"^<(code|interpreter|answer)>|</(code|interpreter|answer)>$", ""))
     return F.filter(F.transform(pieces, lambda p: F.struct(role(p).alias("role"), body(p).alias("content"))), lambda m: m["content"] != "")
+
+
+def multiple_choice(rows: DataFrame, id_col: str, right: str, wrong: list[str], seed: int = 0) -> DataFrame:
+    """rows with choices (the right one and the wrong ones in an order by md5 of id and seed) and gold, the right one's letter."""
+    key = lambda k: F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.lit(str(k)), F.lit(str(seed))))
+    options = F.array_sort(F.array(*[F.struct(key(k).alias("o"), F.col(c).alias("x"), F.lit(k == 0).alias("gold")) for k, c in enumerate([right, *wrong])]))
+    letters = F.array(*[F.lit(chr(65 + i)) for i in range(len(wrong) + 1)])
+    at = F.array_position(F.transform(options, lambda o: o["gold"]), F.lit(True))
+    return rows.withColumn("choices", F.transform(options, lambda o: o["x"])).withColumn("gold", F.element_at(letters, at.cast("int")))
+
+
+def letter_counts(spark, n: int, seed: int = 0) -> DataFrame:
+    """A synthetic set: id, prompt, response (counting step by step), truth."""
+    word = F.translate(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("id").cast("string"))), 1, 10), "0123456789", "aebtaesrae")
+    letter = F.substring(F.lit("abcdef"), (F.col("id") % 6 + 1).cast("int"), F.lit(1))
+    base = spark.range(n).select("id", word.alias("word"), letter.alias("letter"))
+    count = F.length("word") - F.length(F.replace("word", F.col("letter"), F.lit("")))
+    steps = F.array_join(F.transform(F.split("word", ""), lambda c: F.concat(c, F.when(c == F.col("letter"), F.lit(": yes")).otherwise(F.lit(": no")))), "; ")
+    prompt = F.concat(F.lit("How many "), F.col("letter"), F.lit(" are in "), F.col("word"), F.lit("?"))
+    return base.select("id", prompt.alias("prompt"), F.concat(steps, F.lit("; \\boxed{"), count.cast("string"), F.lit("}")).alias("response"), count.cast("string").alias("truth"))

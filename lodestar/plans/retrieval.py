@@ -101,7 +101,7 @@ def ivf_search(spark, sf):
     """Approximate, so rows only: recall is tested."""
     q, c = _vectors(spark, sf)
     centroids = vector.train_centroids(c, 16)
-    return vector.ivf_search(q, vector.assign(c, centroids), centroids, 5, 6)
+    return vector.ivf_search(q, vector.assign(c, centroids), centroids, 5, 10)
 
 
 #: Dense and lexical lists meet on vec_id = doc_id, a convention of these tables: they have no other common key.
@@ -318,3 +318,18 @@ def transcript_messages(spark, sf):
 def collapse_rows(spark, sf):
     m = samples.messages(table(spark, sf, "conversations")).withColumn("origin", F.lit("synthetic"))
     return samples.collapse(m, ["conv_id"], "messages").select("conv_id", F.size("messages").cast("long").alias("n"))
+
+
+@query("multiple_choice", "WITH o AS (SELECT item_id, k, md5(item_id || '|' || k || '|0') AS h FROM benchmark, range(4) t(k)), r AS (SELECT item_id, k, row_number() OVER (PARTITION BY item_id ORDER BY h) AS i FROM o) SELECT item_id, substr('ABCD', i, 1) AS gold FROM r WHERE k = 0")
+def multiple_choice(spark, sf):
+    b = table(spark, sf, "benchmark").select("item_id", F.lit("r").alias("r"), F.lit("x").alias("x"), F.lit("y").alias("y"), F.lit("z").alias("z"))
+    return samples.multiple_choice(b, "item_id", "r", ["x", "y", "z"]).select("item_id", "gold")
+
+
+@query("search_hybrid", f"WITH {HYBRID} SELECT qid, rank, id FROM hits")
+def search_hybrid(spark, sf):
+    from .search import search
+
+    q, c = _vectors(spark, sf)
+    asked = q.join(_asked(spark, sf), "qid")
+    return search(asked, 10, "hybrid", 0.5, c, lexical.build_index(table(spark, sf, "documents"))).select("qid", "rank", "id")

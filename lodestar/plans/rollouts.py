@@ -89,7 +89,7 @@ def resample_weights(spark, sf):
 
 # --- token sequences: a user's events in order
 
-SEQ = """tok AS (SELECT user_id AS uid, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, value / 97 AS r, (event_id % 10) / 10.0::DOUBLE AS v, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS m, -value / 487 AS a, -value / 487 * (0.9 + (event_id % 5) * 0.05) AS b FROM events)"""
+SEQ = """tok AS (SELECT user_id AS uid, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS pos, value / 97 AS r, (event_id % 10) / 10.0::DOUBLE AS v, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END AS m, -value / 487 AS a, -value / 487 * (0.9::DOUBLE + (event_id % 5) * 0.05::DOUBLE) AS b FROM events)"""
 
 
 def sequences(spark, sf):
@@ -510,3 +510,34 @@ def ext_tumbling_window(spark, sf):
     """Extension, beyond the reference's surface: event-time windows."""
     w = table(spark, sf, "events").groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
+
+
+@query("sequence_losses", f"WITH {SEQ}, s AS (SELECT uid, sum((b - a) * m) / (sum(m) + 1e-8) AS d, sum(least(b - a, greatest(least(b - a, 0.4), -0.4)) * m) / (sum(m) + 1e-8) AS g FROM tok GROUP BY uid) SELECT uid, round(greatest(-0.5 * exp(least(d, 10)), -0.5 * greatest(least(exp(least(d, 10)), 1.2), 0.8)), 6) AS seq, round(-0.5 * exp(g), 6) AS geo FROM s")
+def sequence_losses(spark, sf):
+    s, adv = sequences(spark, sf), F.lit(0.5)
+    return s.select("uid", r6(ADV.sequence_ratio_loss(F.col("b"), F.col("a"), F.col("m"), adv)).alias("seq"), r6(ADV.geometric_mean_loss(F.col("b"), F.col("a"), F.col("m"), adv)).alias("geo"))
+
+
+@query("covariance_losses", f"WITH {SEQ}, m AS (SELECT avg(b) AS mb, avg(r) AS mr FROM tok), c AS (SELECT uid, pos::INT AS pos, a, b, r, (b - mb) * (r - mr) AS cov FROM tok, m), q AS (SELECT quantile_cont(cov, 0.98) AS cut FROM c) SELECT uid, pos, round(-r * exp(b - a) + CASE WHEN cov >= cut THEN abs(b - a) ELSE 0 END, 6) AS kl_cov, round(CASE WHEN cov >= cut THEN 0 ELSE greatest(-r * exp(b - a), -r * greatest(least(exp(b - a), 1.2), 0.8)) END, 6) AS clip_cov FROM c, q")
+def covariance_losses(spark, sf):
+    t = sequences(spark, sf).select("uid", F.posexplode(F.arrays_zip("a", "b", "r")).alias("p", "z")).select("uid", (F.col("p") + 1).alias("pos"), F.col("z.b").alias("logp"), F.col("z.a").alias("old"), F.col("z.r").alias("advantage"))
+    k = ADV.kl_cov_loss(t, 0.02).select("uid", "pos", r6("loss").alias("kl_cov"))
+    return k.join(ADV.clip_cov_loss(t, 0.02).select("uid", "pos", r6("loss").alias("clip_cov")), ["uid", "pos"])
+
+
+@query("rollout_dump", "SELECT event_id % 3 AS step, count(*) AS n, count(DISTINCT event_id) AS ids FROM events GROUP BY 1")
+def rollout_dump(spark, sf):
+    path = _folder(spark, "dump")
+    rows = table(spark, sf, "events").select((F.col("event_id") % 3).alias("step"), F.col("event_id").cast("string").alias("request_id"), F.col("value").alias("score"))
+    jsonl.write_dump(rows, path)
+    back = spark.read.schema("request_id string, score double, step long").json(path)
+    return back.groupBy("step").agg(F.count("*").alias("n"), F.count_distinct("request_id").alias("ids"))
+
+
+@query("log_array", "SELECT 2 AS runs")
+def log_array(spark, sf):
+    path = _folder(spark, "log")
+    for run in (1, 2):
+        jsonl.append_log(spark.range(1).select(F.lit(run).alias("run"), F.lit(0.5).alias("mrr")), path)
+    log = jsonl.log_array(spark, path, "run int, mrr double", "run")
+    return log.select(F.json_array_length("log").alias("runs"))

@@ -167,3 +167,17 @@ def offline_eval(spark, sf):
 @query("token_amount", r"SELECT conv_id, sum(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')))::BIGINT AS tokens FROM conversations WHERE turn > 0 GROUP BY conv_id")
 def token_amount(spark, sf):
     return table(spark, sf, "conversations").filter("turn > 0").groupBy("conv_id").agg(F.sum(F.size(T.words("text"))).alias("tokens"))
+
+
+@query("letter_counts", "SELECT 200::BIGINT AS n, 200::BIGINT AS right_ones")
+def letter_counts(spark, sf):
+    from ..operators import samples
+
+    made = samples.letter_counts(spark, 200).withColumn("s", G.letter_count_score(F.col("response"), F.col("truth")))
+    return made.agg(F.count("*").alias("n"), F.sum("s").cast("long").alias("right_ones"))
+
+
+@query("bleu", "SELECT item_id, 1.0::DOUBLE AS own, 0.0::DOUBLE AS other FROM benchmark")
+def bleu(spark, sf):
+    """A text against itself is 1, against other words 0; smoothing is tested by hand."""
+    return table(spark, sf, "benchmark").select("item_id", r6(T.bleu(F.col("text"), F.col("text"))).alias("own"), r6(T.bleu(F.col("text"), F.lit("0"))).alias("other"))

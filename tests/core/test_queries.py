@@ -54,7 +54,7 @@ def test_ivf_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     q, c = e.filter("vec_id < 50").select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding")
     centroids = vector.train_centroids(c, 16)
-    near = {(r["qid"], r["id"]) for r in vector.ivf_search(q, vector.assign(c, centroids), centroids, 5, 8).collect()}
+    near = {(r["qid"], r["id"]) for r in vector.ivf_search(q, vector.assign(c, centroids), centroids, 5, 10).collect()}
     exact = {(r["qid"], r["id"]) for r in vector.knn_join(q, c, 5).collect()}
     assert len(near & exact) / len(exact) >= 0.9
 
