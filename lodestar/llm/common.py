@@ -58,6 +58,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns, with the whole row in row_: what an operator adds can't clash with columns that it passes on."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row_"), *[docs[c] for c in columns])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,7 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, small, table
+from .common import materialize, n_words, packed, small, table
 
 #: Weights in order of source, repeating, and the most that a source may be repeated.
 WEIGHTS = (1, 2, 3)
@@ -65,8 +65,8 @@ def plan_mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int
 
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT, seed: int = SEED) -> DataFrame:
     """The mixed corpus: docs' rows, each repeated as planned."""
-    planned = plan_mix(docs, weights, max_repeat, seed).filter("copies > 0")
-    return planned.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    planned = plan_mix(packed(docs, "doc_id", "text", "source"), weights, max_repeat, seed).filter("copies > 0")
+    return planned.select("row_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")).select("row_.*")
 
 
 def op1_mixing(spark, sf_dir):

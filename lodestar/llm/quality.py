@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small, table
+from .common import materialize, packed, small, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -157,9 +157,9 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that pass the base rules and are no outliers, as they came."""
     bare = with_stats(docs.select("lang", "source", "text")).select("lang", "source", "stats_", "x_")
     found = small(estimates(bare.filter(~base_failed()).select("lang", "source", "x_")))
-    every = with_stats(docs)
+    every = with_stats(packed(docs, "lang", "source", "text"))
     joined = every.join(found, every["lang"].eqNullSafe(found["key_lang"]) & every["source"].eqNullSafe(found["key_source"]), "left")
-    return joined.filter(~base_failed() & F.coalesce(distance() <= CUTOFF, F.lit(True))).select(*[docs[c] for c in docs.columns])
+    return joined.filter(~base_failed() & F.coalesce(distance() <= CUTOFF, F.lit(True))).select("row_.*")
 
 
 def op6_quality(spark, sf_dir):

@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import packed, table
 
 CANDIDATE = r"[A-Za-z0-9_\-+/]{16,}={0,2}"
 CONTEXT = 48  # code points before a candidate that are looked at
@@ -157,9 +157,10 @@ def findings(docs: DataFrame, threshold: float = THRESHOLD, forest: str | None =
 
 def redact(docs: DataFrame, threshold: float = THRESHOLD, forest: str | None = None) -> DataFrame:
     """docs with each secret replaced by REDACTED; texts without one stay as they are."""
-    scored = with_findings(docs, forest)
+    scored = with_findings(packed(docs, "text"), forest)
     clean = f"array_join(transform(found_.gaps, (g, i) -> concat(g, IF(i < size(found_.cs), IF(scores_[i] >= {threshold}, '{REDACTED}', found_.cs[i]), ''))), '')"
-    return scored.withColumn("text", F.expr(f"IF(exists(scores_, s -> s >= {threshold}), {clean}, text)")).select(*docs.columns)
+    text = F.expr(f"IF(exists(scores_, s -> s >= {threshold}), {clean}, text)")
+    return scored.select(*[text.alias(c) if c == "text" else F.col(f"row_.`{c}`") for c in docs.columns])
 
 
 def op4_secrets(spark, sf_dir):

@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, literals, materialize, small, table
+from .common import ascii_lower, literals, materialize, packed, small, table
 
 #: Fixed values: (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -86,8 +86,8 @@ def verdicts(pages: DataFrame, entries: DataFrame) -> DataFrame:
     exact = possible.join(small(entries.select("key", "rule", "verdict")), "key")
     order = F.struct(F.coalesce(F.length("rule"), F.lit(-1)), F.col("verdict") == "block")
     found = exact.groupBy("url").agg(F.max_by(F.struct("rule", "verdict"), order).alias("best"))
-    joined = pages.join(found.withColumnRenamed("url", "found_url"), pages["url"] == F.col("found_url"), "left")
-    return joined.select(*pages.columns, host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
+    joined = packed(pages, "url").join(found.withColumnRenamed("url", "found_url"), F.col("url") == F.col("found_url"), "left")
+    return joined.select("row_.*", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit("allow")).alias("verdict"))
 
 
 def op7_urls(spark, sf_dir):
