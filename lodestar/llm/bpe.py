@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 END = "</w>"
-#: Distinct white-space runs that a worker remembers before it starts anew.
-REMEMBER = 1_000_000
+#: Distinct white-space runs that a worker remembers; beyond, it forgets those that only one slice of text had.
+REMEMBER = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -196,7 +196,7 @@ class Tokenizer:
 
     def encode_runs(self, runs: list[str]) -> list[bytes]:
         """The ids of white-space runs."""
-        if len(self.words) > REMEMBER:
+        if len(self.words) > REMEMBER // 2:
             self.words = {}
         pieces = [self.pieces(r) for r in runs]
         new = {p for ps in pieces for p in ps if p.__class__ is str} - self.words.keys()
@@ -209,6 +209,12 @@ class Tokenizer:
         return " ".join(map(self.text.__getitem__, ids.tolist()))
 
 
+def spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the ranges that begin at starts, one after another."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class TextEncoder:
     """Encodes columns of whole texts, a distinct white-space run once: gathers ids instead of encoding again."""
 
@@ -219,18 +225,30 @@ class TextEncoder:
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.starts, self.sizes, self.seen = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+
+    def forget(self) -> None:
+        """Keeps the runs seen in two slices or more; all go if most are such."""
+        n = len(self.known)
+        keep = np.flatnonzero(self.seen[:n] > 1)
+        runs = list(self.known)
+        starts, sizes, ids = self.starts[keep], self.sizes[keep], self.ids
+        self.clear()
+        if len(keep) > self.remember // 2:
+            return
+        self.put([runs[k] for k in keep.tolist()], ids[spread(starts, sizes)], sizes)
 
     def add(self, runs: list[str]) -> None:
         encoded = self.encode_runs(runs)
-        sizes = np.fromiter(map(len, encoded), np.int64, len(runs)) >> 2
+        self.put(runs, np.frombuffer(b"".join(encoded), "<u4"), np.fromiter(map(len, encoded), np.int64, len(runs)) >> 2)
+
+    def put(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, total = len(self.known), int(sizes.sum())
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n + len(runs) > len(self.starts):
-            self.starts, self.sizes = np.concatenate([self.starts, np.empty_like(self.starts)]), np.concatenate([self.sizes, np.empty_like(self.sizes)])
-        if total:
-            self.ids[self.used : self.used + total] = np.frombuffer(b"".join(encoded), "<u4")
+            self.starts, self.sizes, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes, self.seen))
+        self.ids[self.used : self.used + total] = ids
         self.starts[n : n + len(runs)], self.sizes[n : n + len(runs)] = self.used + np.cumsum(sizes) - sizes, sizes
         self.used += total
         self.known.update(zip(runs, range(n, n + len(runs))))
@@ -242,14 +260,16 @@ class TextEncoder:
         coded = runs.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.known) > self.remember:
-            self.clear()
+            self.forget()
         new = [r for r in distinct if r not in self.known]
         if new:
             self.add(new)
-        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        own = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        self.seen[own] += 1
+        place = own[coded.indices.to_numpy()]
         sizes = self.sizes[place]
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.ids[np.repeat(self.starts[place] - ends[:-1], sizes) + np.arange(ends[-1])]
+        out = self.ids[spread(self.starts[place], sizes)]
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         return out, np.diff(ends[bounds])
 
