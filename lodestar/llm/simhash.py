@@ -186,6 +186,11 @@ def links(distinct: DataFrame, radius: int = 4, n: int | None = None, shard: int
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(fp, root) links -> (fp, label): label is the smallest fp of the component. Each round's labels are a written table."""
+    # one row a fingerprint, its smallest root; its other roots are linked to that one, which leaves few of a dense group's links
+    edges = materialize(edges, "shard-links")
+    first = materialize(edges.groupBy("fp").agg(F.min("root").alias("least")), "first-roots")
+    others = edges.join(first, "fp").filter("root <> least").select(F.greatest("root", "least").alias("fp"), F.least("root", "least").alias("root")).distinct()
+    edges = first.withColumnRenamed("least", "root").unionByName(others).distinct()
     both = materialize(edges.unionByName(edges.select(F.col("root").alias("fp"), F.col("fp").alias("root"))), "links")
     labels = materialize(both.groupBy("fp").agg(F.min(F.least("fp", "root")).alias("label")), "labels")
     for _ in range(max_rounds):
@@ -220,7 +225,8 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 8, shard: int = 96)
     found = near_duplicates(docs, width, radius, shard)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies_")).withColumnRenamed("doc_id", "kept_id_")
     kept = materialize(kept, "kept")
-    stay = packed(docs, "doc_id").join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id_")))
+    # merged at every size: what stays grows with the corpus, so it is never broadcast
+    stay = packed(docs, "doc_id").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id_")))
     single = stay.filter("copies_ = 1").select("row_.*")
     if kept.filter("copies_ > 1").isEmpty():
         return single
