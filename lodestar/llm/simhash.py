@@ -184,8 +184,12 @@ def links(distinct: DataFrame, radius: int = 4, n: int | None = None, shard: int
     return dealt.mapInArrow(run, "fp long, root long").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(fp, root) links -> (fp, label): label is the smallest fp of the component. Each round's labels are a written table."""
+def components(edges: DataFrame) -> DataFrame:
+    """(fp, root) links -> (fp, label): label is the smallest fp of the component. Each round's labels are a written table.
+
+    A round lowers a fingerprint's label to its neighbours' least, tells the same to the fingerprint that its old label names,
+    and then takes the label of its label, so that trees of labels merge and flatten and rounds stay few on long chains.
+    """
     # one row a fingerprint, its smallest root; its other roots are linked to that one, which leaves few of a dense group's links
     edges = materialize(edges, "shard-links")
     first = materialize(edges.groupBy("fp").agg(F.min("root").alias("least")), "first-roots")
@@ -193,16 +197,17 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = first.withColumnRenamed("least", "root").unionByName(others).distinct()
     both = materialize(edges.unionByName(edges.select(F.col("root").alias("fp"), F.col("fp").alias("root"))), "links")
     labels = materialize(both.groupBy("fp").agg(F.min(F.least("fp", "root")).alias("label")), "labels")
-    for _ in range(max_rounds):
+    changed = True
+    while changed:  # labels only fall, so this ends
         near = both.join(labels.select(F.col("fp").alias("root"), "label"), "root").groupBy("fp").agg(F.min("label").alias("near"))
-        least = labels.join(near, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("via"))
-        jumped = least.join(labels.select(F.col("fp").alias("via"), F.col("label").alias("jump")), "via", "left")
+        least = materialize(labels.join(near, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("via")), "least-labels")
+        hooks = least.filter("via < old").groupBy(F.col("old").alias("fp")).agg(F.min("via").alias("hook"))
+        hooked = least.join(hooks, "fp", "left").select("fp", "old", F.least("via", "hook").alias("via"))
+        jumped = hooked.join(least.select(F.col("fp").alias("via"), F.col("via").alias("jump")), "via", "left")
         after = materialize(jumped.select("fp", "old", F.coalesce("jump", "via").alias("label")), "labels")
         changed = not after.filter("label <> old").isEmpty()
         labels = after.select("fp", "label")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    return labels
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, shard: int = SHARD) -> DataFrame:

@@ -91,3 +91,16 @@ def test_keep_one(spark, docs, no_docs):
     assert ids.count(1) == 1 and len(ids) == len(set(ids)) and 7 in ids
     assert 4 in ids and 5 not in ids and 6 not in ids  # wordless texts are one group
     assert S.keep_one(no_docs).count() == 0 and S.near_duplicates(no_docs).count() == 0
+
+
+def test_components_of_long_chains(spark, monkeypatch):
+    rng = random.Random(5)
+    chains = [rng.sample(range(k << 20, (k + 1) << 20), 400) for k in range(4)]
+    chains.append(list(range(9 << 20, (9 << 20) + 400)))
+    links = [(max(a, b), min(a, b)) for c in chains for a, b in zip(c, c[1:])]
+    rounds = []
+    write = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, name: (rounds.append(name), write(df, name))[1])
+    got = {r["fp"]: r["label"] for r in S.components(spark.createDataFrame(links, "fp long, root long")).collect()}
+    assert got == {x: min(c) for c in chains for x in c}
+    assert rounds.count("least-labels") <= 15
