@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, packed, table
+from .common import materialize, table
 
 SEED = 42
 SHARD = 32  # random fingerprints in a shard, at most
@@ -221,21 +221,104 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, shard: int
     return fps.join(owners, "fp")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 8, shard: int = 96) -> DataFrame:
+def shingles(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
+    """Sorted distinct hashes of a whole text's shingles; empty for a wordless text."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    n = max(1, len(words) - width + 1) if words else 0
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), np.uint64, n))
+
+
+def similar_groups(sets: list[np.ndarray], least: float) -> list[int]:
+    """For each set the first set of its component, links being all pairs whose Jaccard similarity is `least` or more.
+
+    Sets that are left are compared with a leader, then with what is found. The Jaccard distance is a metric, so only sets whose
+    distances to the leader differ by no more than a link's need comparing.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    parts = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    marked = np.zeros(len(vocabulary), bool)
+    reach = 1 - least + 1e-9
+
+    def similarity(i: int, others: np.ndarray) -> np.ndarray:
+        marked[parts[i]] = True
+        both = np.array([np.count_nonzero(marked[parts[j]]) for j in others.tolist()], np.int64)
+        marked[parts[i]] = False
+        union = sizes[i] + sizes[others] - both
+        return np.where(union > 0, both / np.maximum(union, 1), 1.0)
+
+    out = list(range(len(sets)))
+    left = np.arange(len(sets))
+    while len(left):
+        leader, left = int(left[0]), left[1:]
+        far = 1 - similarity(leader, left)
+        near = far <= reach
+        todo = list(zip(left[near].tolist(), far[near].tolist()))
+        left, away = left[~near], far[~near]
+        for i, _ in todo:
+            out[i] = leader
+        while todo and len(left):
+            i, d = todo.pop()
+            at = np.flatnonzero((np.abs(away - d) <= reach) & (least * sizes[i] <= sizes[left] + 1e-9) & (least * sizes[left] <= sizes[i] + 1e-9))
+            got = at[similarity(i, left[at]) >= least - 1e-9]
+            for j in got.tolist():
+                out[left[j]] = leader
+                todo.append((int(left[j]), float(away[j])))
+            left, away = np.delete(left, got), np.delete(away, got)
+    return out
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = 8, shard: int = 96, least: float = 0.8) -> DataFrame:
     """docs with one document of each group of near-duplicates, its smallest doc_id; one row of it if it is repeated.
 
-    Texts that share 0.8 or more of their five-word shingles mostly differ in 5 to 8 bits, seldom in 4 or fewer, while of
-    unrelated fingerprints three pairs in ten thousand million come within 8.
+    Components of fingerprints within the radius are candidates only. Within each, documents are linked whose sets of
+    shingles have a Jaccard similarity of `least` or more, and one of each component of such links stays: nothing goes without
+    a partner that similar. Texts that share 0.8 or more of their five-word shingles mostly differ in 5 to 8 bits, and pairs
+    beyond the radius are missed unless others link them. A task holds the distinct sets of one candidate component.
     """
     found = near_duplicates(docs, width, radius, shard)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("copies_")).withColumnRenamed("doc_id", "kept_id_")
-    kept = materialize(kept, "kept")
-    # merged at every size: what stays grows with the corpus, so it is never broadcast
-    stay = packed(docs, "doc_id").join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept_id_")))
-    single = stay.filter("copies_ = 1").select("row_.*")
-    if kept.filter("copies_ > 1").isEmpty():
-        return single
-    return single.unionByName(stay.filter("copies_ > 1").dropDuplicates(["doc_id"]).select("row_.*"))
+    ids = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("component_"), F.count("*").alias("n_")).withColumnRenamed("doc_id", "found_id_"), "ids")
+    sizes = ids.groupBy(F.col("component_").alias("sized_")).agg(F.sum("n_").alias("rows_"))
+    placed = ids.join(sizes, F.col("component_").eqNullSafe(F.col("sized_"))).select("found_id_", "component_", "rows_")
+    placed = materialize(placed, "candidates")
+    # columns by number, so that those added can't clash with them; merged at every size: the ids grow with the corpus
+    names = docs.columns
+    numbered = docs.select(*[docs[c].alias(f"c{i}_") for i, c in enumerate(names)])
+    own, text = f"c{names.index('doc_id')}_", f"c{names.index('text')}_"
+    stay = numbered.join(placed.hint("merge"), F.col(own).eqNullSafe(F.col("found_id_")))
+    columns = [F.col(f"c{i}_") for i in range(len(names))]
+    single = stay.filter("rows_ = 1").select(*columns)
+
+    def resolve(sets: list[np.ndarray], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        first = similar_groups(sets, least)
+        kept = [r for i, r in enumerate(rows) if first[i] == i]
+        return pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # rows come by component, then by doc_id: the first row of a set of shingles is the one that may stay
+        last, sets, rows, seen = None, [], [], set()
+        for batch in batches:
+            component = batch.column(0).to_pylist()
+            bare = pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
+            texts = bare.column(names.index("text"))
+            for k, c in enumerate(component):
+                if rows and c != last:
+                    yield resolve(sets, rows)
+                    sets, rows, seen = [], [], set()
+                last = c
+                own_set = shingles(texts[k].as_py(), width)
+                key = xxhash.xxh3_128_digest(own_set.tobytes())
+                if key not in seen:
+                    seen.add(key)
+                    sets.append(own_set)
+                    rows.append(bare.take(pa.array([k])))
+        if rows:
+            yield resolve(sets, rows)
+
+    many = stay.filter("rows_ > 1").select("component_", *columns).repartition("component_").sortWithinPartitions("component_", F.col(own).asc_nulls_last())
+    chosen = many.mapInArrow(run, numbered.schema)
+    return single.unionByName(chosen).toDF(*names)
 
 
 def op3_simhash(spark, sf_dir):

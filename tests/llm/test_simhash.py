@@ -5,6 +5,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lodestar.llm import simhash as S
 
@@ -104,3 +105,39 @@ def test_components_of_long_chains(spark, monkeypatch):
     got = {r["fp"]: r["label"] for r in S.components(spark.createDataFrame(links, "fp long, root long")).collect()}
     assert got == {x: min(c) for c in chains for x in c}
     assert rounds.count("least-labels") <= 15
+
+
+def jaccard(a, b, width=5):
+    a, b = ({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set() for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def test_keep_one_deletes_only_what_is_similar(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    change = lambda words, n: [f"x{rng.randrange(10**6)}" if i % (len(words) // n) == 0 else w for i, w in enumerate(words)]
+    texts = [" ".join(x) for x in (base, change(base, 2), change(base, 20), change(base, 60), [f"u{i}" for i in range(90)], [f"v{i}" for i in range(90)])]
+    monkeypatch.setattr(S, "fingerprints", lambda docs, width=4: docs.select("doc_id", F.lit(1).cast("long").alias("fp")))  # all are candidates of one another
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "doc_id long, text string, component_ string")
+    got = {r["doc_id"] for r in S.keep_one(df).collect()}
+    want = {i for i, t in enumerate(texts) if not any(jaccard(t, u) >= 0.8 for u in texts[:i])}
+    assert got == want and 1 not in got and 3 in got
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_similar_groups(seed):
+    rng = random.Random(seed)
+    sets = [set(range(k * 100, k * 100 + 60)) for k in range(4)] + [set()] * 2
+    for _ in range(80):
+        s = set(rng.choice(sets))
+        for x in rng.sample(sorted(s), min(len(s), rng.randrange(6))):
+            s.discard(x)
+        sets.append(s | {rng.randrange(1000) for _ in range(rng.randrange(5))})
+    got = S.similar_groups([S.np.array(sorted(s), "u8") for s in sets], 0.8)
+    want = list(range(len(sets)))
+    for _ in sets:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if not a | b or len(a & b) >= 0.8 * len(a | b):
+                    want[i] = min(want[i], want[j])
+    assert got == want
