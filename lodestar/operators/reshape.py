@@ -49,9 +49,10 @@ def unpad(rows: DataFrame) -> DataFrame:
 
 
 def unfold(rows: DataFrame, column: str, parts: int) -> DataFrame:
-    """An array column cut into equal parts, one row each; the other columns repeat."""
+    """An array column cut into equal parts, one row each; the last part also holds what is left over. The other columns repeat."""
     size = (F.size(column) / parts).cast("int")
-    return rows.select(*[c for c in rows.columns if c != column], F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(F.col(column), (i * size + 1).cast("int"), size))).alias("part", column))
+    length = lambda i: F.when(i == parts - 1, F.size(column) - i * size).otherwise(size)
+    return rows.select(*[c for c in rows.columns if c != column], F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(F.col(column), (i * size + 1).cast("int"), length(i)))).alias("part", column))
 
 
 def fold(rows: DataFrame, position: str, size: int, columns: list[str]) -> DataFrame:

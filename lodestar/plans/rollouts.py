@@ -172,7 +172,7 @@ def value_loss(spark, sf):
 def sequence_masks(spark, sf):
     n = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
     s = sequences(spark, sf)
-    head = F.slice("m", 6, 10_000)
+    head = F.slice("m", F.lit(6), F.size("m"))
     return s.select("uid", F.size("r").cast("long").alias("n"), F.size(A.pad(F.col("r"), 100, 0.0)).cast("long").alias("padded"), F.size(A.truncate(F.col("r"), 10, "middle")).cast("long").alias("cut"), n(A.position_ids(F.col("m"))).alias("positions"), n(A.response_mask(F.col("m"), head)).alias("response"))
 
 
