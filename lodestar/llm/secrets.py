@@ -141,7 +141,9 @@ def with_findings(docs: DataFrame, forest: str | None = None) -> DataFrame:
     """docs with found_ (candidates and the texts between them) and scores_, one probability a candidate."""
     forest = forest or train(docs.sparkSession, x="x")
     found = docs.withColumn("found_", candidates(F.col("text")))
-    xs = features("c", f"right(found_.gaps[i], {CONTEXT})", f"left(found_.gaps[i + 1], {CONTEXT})")
+    # a keyword may end the candidate before, as in aws_secret_access_key = "...", which then takes part in the context
+    before = f"right(concat(IF(i > 0, found_.cs[i - 1], ''), found_.gaps[i]), {CONTEXT})"
+    xs = features("c", before, f"left(found_.gaps[i + 1], {CONTEXT})")
     scored = found.withColumn("xs_", F.expr(f"transform(found_.cs, (c, i) -> {xs})"))
     return scored.withColumn("scores_", F.expr(f"transform(xs_, x -> {forest})")).drop("xs_")
 

@@ -186,3 +186,12 @@ def test_findings_and_redaction(spark, docs, no_docs, forest):
     clean = {r["doc_id"]: r["text"] for r in secrets.redact(df, forest=forest).collect()}
     assert clean[201] == "é 🙂 password=[SECRET] x" and clean[202] == texts[2] and clean[7] == by_text[7] and clean[4] is None
     assert secrets.redact(df, forest=forest).columns == df.columns and secrets.findings(no_docs, forest=forest).count() == 0
+
+
+def test_keywords_inside_long_identifiers(spark, forest):
+    digits = "4b579d3cee1dcaf48e80dfd04d785e892fc7d365"
+    secret = [f'aws_secret_access_key = "{digits}"', f"GITHUB_ACCESS_TOKEN={digits}", f"production_database_password={digits}"]
+    plain = [f"git_commit_revision={digits}", f'latest_build_checksum = "{digits}"']
+    df = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
+    found = {(r["doc_id"], r["secret"]) for r in secrets.findings(df, forest=forest).collect()}
+    assert found == {(i, digits) for i in range(len(secret))}
