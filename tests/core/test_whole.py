@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from lodestar import plans
 from lodestar.operators import reshape
 from lodestar.plans import rollouts
 
@@ -19,3 +20,9 @@ def test_response_of_a_long_sequence(spark, monkeypatch):
     monkeypatch.setattr(rollouts, "sequences", lambda spark, sf: one)
     got = rollouts.sequence_masks(spark, "").first()
     assert (got["n"], got["response"]) == (12_000, 2000 - 5 + 5000)
+
+
+def test_ivf_answers_every_vector(spark):
+    sf = "/root/testdata/sf0.001"
+    want = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").distinct().count()
+    assert plans.QUERIES["ivf_search"](spark, sf).select("qid").distinct().count() == want
