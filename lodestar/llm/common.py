@@ -14,6 +14,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: A side of a join is broadcast only if it was counted and has at most this many (narrow) rows.
 BROADCAST_ROWS = 100_000
+#: The same for a side that is nothing but a few fixed-width numbers a row.
+NARROW_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -1,12 +1,14 @@
 """SimHash near-duplicates with BK-trees.
 
 A document's fingerprint has a bit set where over half of its shingles' XXH64 have it. Two fingerprints that differ in at
-most `radius` bits agree in some choice of bit bands (with b bands, in b - radius of them at least), so the distinct
-fingerprints are dealt into shards by (choice of bands, their value), enough bands for shards to stay small at any size.
-Each shard is one BK-tree: children are keyed by integer Hamming distance to the parent, and a search follows only the
-edges within the radius. Shard trees reach the tasks by a shuffle rather than a broadcast, whose size would grow with the
-corpus. A shard gives one link a fingerprint, to the smallest of its component there, never the pairs of a group; the links'
-components are found by rounds of smallest labels over written tables.
+most `radius` bits agree in one of radius + 1 bands, so the distinct fingerprints are dealt into shards by (band, its value);
+a crowded shard is dealt again by bands of its remaining bits. Each shard is one BK-tree: children are keyed by integer Hamming
+distance to the parent, and a search follows only the edges within the radius. Shard trees reach the tasks by a shuffle rather
+than a broadcast, whose size would grow with the corpus. A shard gives one link a fingerprint, to the smallest of its component
+there, never the pairs of a group; the links' components are found by rounds of smallest labels over written tables.
+
+keep_one() removes documents, so it takes fingerprint links as candidates only (see there): wide fingerprints, BK-trees that
+give each text its nearest, and the exact similarity of every candidate link before components.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the only shingle; repeated rows and exact copies share a fingerprint; a null doc_id is never a component's id
@@ -15,19 +17,22 @@ unless all of its are null; an empty table gives an empty result. Added columns
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from itertools import combinations
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .bpe import slices
+from .common import NARROW_ROWS, literals, materialize, small, table
 
 SEED = 42
-SHARD = 32  # random fingerprints in a shard, at most
+SHARD = 2048  # fingerprints in a shard; a larger one is dealt again
 _BYTE_LANES = np.uint64(0x0101010101010101)
 _CHUNK = 255  # rows that a byte lane can count
 
@@ -134,24 +139,41 @@ def shard_links(items: list[int], radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def bands(n: int, radius: int, shard: int = SHARD) -> list[int]:
-    """Bit masks of the choices of bands, as many as it takes for n random fingerprints to make shards of `shard` or fewer."""
-    count = radius + 1
-    while count < 2 * radius + 8 and n > 2 ** (64 * (count - radius) // count) * shard:
-        count += 1
-    edges = [round(64 * i / count) for i in range(count + 1)]
-    masks = [((1 << edges[i + 1]) - 1) & ~((1 << edges[i]) - 1) for i in range(count)]
-    return [sum(masks[i] for i in chosen) for chosen in combinations(range(count), count - radius)]
+def bands(n_bits: list[int], radius: int) -> list[int]:
+    """Bit masks of radius + 1 bands of these bits: two values that differ in at most radius of them agree in some band."""
+    edges = [round(len(n_bits) * i / (radius + 1)) for i in range(radius + 2)]
+    return [sum(1 << b for b in n_bits[x:y]) for x, y in zip(edges, edges[1:])]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def links(distinct: DataFrame, radius: int = 4, n: int | None = None, shard: int = SHARD) -> DataFrame:
+def deal(distinct: DataFrame, radius: int, shard: int) -> list[DataFrame]:
+    """(fp, choice, value) tables whose shards (choice, value) together hold each pair within the radius in one shard at least.
+
+    A shard's fingerprints agree in the bands chosen so far and differ elsewhere only, so a shard of more than `shard` of them is
+    dealt again by bands of the remaining bits, until no shard is crowded or fewer bits than bands are left.
+    """
+    masked = lambda mask: F.col("fp").bitwiseAND(mask).alias("value")
+    level = [(str(i), m) for i, m in enumerate(bands(list(range(64)), radius))]
+    out, keyed = [], distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(c).alias("choice"), masked(F.lit(_signed(m)))) for c, m in level])).alias("k")).select("fp", "k.*")
+    while True:
+        left = {c: [b for b in range(64) if not m >> b & 1] for c, m in level}
+        below = [(c, f"{c}.{i}", mask | m) for c, mask in level if len(left[c]) > radius for i, m in enumerate(bands(left[c], radius))]
+        crowded = keyed.groupBy("choice", "value").count().filter((F.col("count") > shard) & F.col("choice").isin([c for c, _, _ in below])).drop("count")
+        crowded = materialize(crowded, "crowded-shards")
+        if crowded.isEmpty():
+            return [*out, keyed]
+        marked = keyed.join(small(crowded.withColumn("many", F.lit(True))), ["choice", "value"], "left")
+        out.append(marked.filter(F.col("many").isNull()).select("fp", "choice", "value"))
+        again = literals(distinct.sparkSession, [(c, d, _signed(m)) for c, d, m in below], "choice string, next string, mask long")
+        keyed = materialize(marked.filter("many").join(F.broadcast(again), "choice").select("fp", F.col("next").alias("choice"), masked(F.col("mask"))), "dealt-again")
+        level = [(d, m) for _, d, m in below]
+
+
+def links(distinct: DataFrame, radius: int = 4, shard: int = SHARD) -> DataFrame:
     """(fp, root) links between distinct fingerprints whose components are those of all pairs within the radius."""
-    masks = bands(distinct.count() if n is None else n, radius, shard)
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("choice", "value"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: list[int] = []
@@ -180,8 +202,8 @@ def links(distinct: DataFrame, radius: int = 4, n: int | None = None, shard: int
         if len(own) > 1 and (found := shard_links(own, radius)):
             yield flush(found)
 
-    dealt = keyed.repartition("choice", "value").sortWithinPartitions("choice", "value")
-    return dealt.mapInArrow(run, "fp long, root long").distinct()
+    dealt = [k.select("fp", "choice", "value").repartition("choice", "value").sortWithinPartitions("choice", "value") for k in deal(distinct, radius, shard)]
+    return reduce(DataFrame.unionByName, [d.mapInArrow(run, "fp long, root long") for d in dealt]).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -214,111 +236,289 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, shard: int
     """One row a document: doc_id, fp, component_id (the smallest doc_id of its component) and group_rows (rows of its fingerprint)."""
     fps = materialize(fingerprints(docs, width), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("group_rows")), "distinct")
-    labels = components(links(distinct.select("fp"), radius, shard=shard))
-    labelled = distinct.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
-    ids = labelled.filter(F.col("label") != F.col("fp")).select("label").distinct().join(labelled, "label").groupBy("label").agg(F.min("first_id").alias("component_id"))
-    owners = labelled.join(ids, "label", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"), "group_rows")
+    labels = components(links(distinct.select("fp"), radius, shard))
+    # only fingerprints with a link have labels; their components' ids are combined before the shuffle
+    linked = materialize(labels.join(distinct.select("fp", "first_id"), "fp"), "linked")
+    ids = small(materialize(linked.groupBy("label").agg(F.min("first_id").alias("component_id")), "component-ids"))
+    named = linked.join(ids, "label").select("fp", "component_id", F.lit(True).alias("named"))
+    owners = distinct.join(named, "fp", "left").select("fp", F.when(F.col("named"), F.col("component_id")).otherwise(F.col("first_id")).alias("component_id"), "group_rows")
     return fps.join(owners, "fp")
 
 
-def shingles(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
-    """Sorted distinct hashes of a whole text's shingles; empty for a wordless text."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    n = max(1, len(words) - width + 1) if words else 0
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), seed) for i in range(n)), np.uint64, n))
+# --- removal: wide fingerprints for candidates, exact similarity for links
+
+WIDE_BITS, WIDE_RADIUS = 128, 20  # texts that share 0.8 of their five-word shingles differ in 12 of 128 bits on average
+WIDE_KEYS, KEY_BITS = 40, 24  # shards a text is in; bits of the fingerprint that a shard agrees in
+CHUNK = 4096  # texts in one tree
+
+
+def key_masks() -> list[tuple[int, int]]:
+    """For each shard key the bits of the two halves that it takes, chosen by md5."""
+    chosen = [sorted(range(WIDE_BITS), key=lambda b: hashlib.md5(f"{k}|{b}".encode()).digest())[:KEY_BITS] for k in range(WIDE_KEYS)]
+    return [(sum(1 << b for b in bits if b < 64), sum(1 << (b - 64) for b in bits if b >= 64)) for bits in chosen]
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finaliser (splitmix)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, A-Z lower-cased, one after another, and the bounds of each text among them."""
+    runs = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
+    flat, bounds = runs.flatten(), runs.offsets.to_numpy()
+    coded = flat.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.large_binary()).to_pylist()  # lower() of bytes changes A-Z alone
+    own = np.fromiter((xxhash.xxh3_64_intdigest(w.lower()) for w in distinct), np.uint64, len(distinct))
+    words = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    before = np.concatenate([[0], np.cumsum(words)])
+    return own[coded.indices.to_numpy()][words], before[bounds - bounds[0]]
+
+
+def shingle_hashes(words: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
+    """Each text's distinct shingle hashes, sorted; the whole sequence where it has fewer words, none where it has no word."""
+    n = max(0, len(words) - width + 1)
+    h = words[:n].copy()
+    for j in range(1, width):
+        h = _mix(h) + words[j : j + n]
+    h = _mix(h)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+        if b - a >= width or a == b:
+            out.append(np.unique(h[a : max(a, b - width + 1)]))
+        else:
+            own = words[a : a + 1]
+            for j in range(a + 1, b):
+                own = _mix(own) + words[j : j + 1]
+            out.append(_mix(own))
+    return out
+
+
+def majority(h: np.ndarray) -> int:
+    """The 64 bits that over half of the hashes have."""
+    n, out = len(h), 0
+    padded = np.zeros(max(1, -(-n // _CHUNK)) * _CHUNK, np.uint64)
+    padded[:n] = h
+    padded = padded.reshape(-1, _CHUNK)
+    for bit in range(8):
+        lanes = ((padded >> np.uint64(bit)) & _BYTE_LANES).sum(axis=1, dtype=np.uint64)
+        counts = lanes.astype("<u8").view(np.uint8).reshape(-1, 8).sum(axis=0, dtype=np.int64)
+        for byte in np.flatnonzero(2 * counts > n):
+            out |= 1 << (8 * int(byte) + bit)
+    return out
+
+
+def text_sets(docs: DataFrame, width: int = 5) -> DataFrame:
+    """One row a document: doc_id, text_hash, node (hash of its set of shingles) and hi, lo, its wide fingerprint over pairs of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 2):
+                words, bounds = word_hashes(batch.column(2))
+                node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in shingle_hashes(words, bounds, width)), np.uint64, batch.num_rows)
+                pairs = shingle_hashes(words, bounds, 2)
+                hi = np.fromiter((majority(x) for x in pairs), np.uint64, batch.num_rows)
+                lo = np.fromiter((majority(_mix(x)) for x in pairs), np.uint64, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (node, hi, lo))], ["doc_id", "text_hash", "node", "hi", "lo"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, hi long, lo long")
+
+
+class NearestTree:
+    """A BK-tree of wide fingerprints that finds an item's nearest."""
+
+    def __init__(self) -> None:
+        self.items: list[int] = []
+        self.children: list[dict[int, int]] = []
+
+    def insert(self, item: int) -> None:
+        at, new = 0, len(self.items)
+        self.items.append(item)
+        self.children.append({})
+        while new:
+            d = (self.items[at] ^ item).bit_count()
+            child = self.children[at].setdefault(d, new)
+            if child == new:
+                return
+            at = child
+
+    def nearest(self, item: int, radius: int, but: int = -1) -> tuple[int, int] | None:
+        """(distance, place) of the nearest item within the radius other than place `but`, the earliest of equal ones."""
+        best, stack = None, [0] if self.items else []
+        while stack:
+            at = stack.pop()
+            d = (self.items[at] ^ item).bit_count()
+            if d <= radius and at != but and (best is None or (d, at) < best):
+                best, radius = (d, at), d
+            stack += [c for e, c in self.children[at].items() if -radius <= e - d <= radius]
+        return best
+
+
+def shard_candidates(items: list[int], radius: int = WIDE_RADIUS) -> tuple[list[tuple[int, int]], list[int]]:
+    """Pairs of places (a text, its nearest of all and its nearest before it) and the places of leaders, which no leader before is near."""
+    leaders, pairs, leading = NearestTree(), set(), []
+    for start in range(0, len(items), CHUNK):
+        tree, own = NearestTree(), items[start : start + CHUNK]
+        for i, item in enumerate(own):
+            if got := tree.nearest(item, radius):
+                pairs.add((start + i, start + got[1]))
+            tree.insert(item)
+            if got := leaders.nearest(item, radius):
+                pairs.add((start + i, leading[got[1]]))
+            else:
+                leading.append(start + i)
+                leaders.insert(item)
+        for i, item in enumerate(own):
+            if got := tree.nearest(item, radius, but=i):
+                pairs.add((start + i, start + got[1]))
+    return sorted((a, b) for a, b in pairs if a != b), leading
 
 
-def similar_groups(sets: list[np.ndarray], least: float) -> list[int]:
-    """For each set the first set of its component, links being all pairs whose Jaccard similarity is `least` or more.
+def candidate_links(nodes: DataFrame) -> DataFrame:
+    """nodes: node, hi, lo, one row a distinct set -> (a, b) pairs of nodes that may be similar.
 
-    Sets that are left are compared with a leader, then with what is found. The Jaccard distance is a metric, so only sets whose
-    distances to the leader differ by no more than a link's need comparing.
+    A text is in WIDE_KEYS shards, each of those texts that agree in KEY_BITS bits of the wide fingerprint, and in each it is
+    linked to its nearest within WIDE_RADIUS. Shards are looked through where the rows are first; only leaders go on to the shuffle
+    by key, so a group of any size is a few rows a task there. Links and rows a text are the same at any size.
     """
-    sizes = np.array([len(x) for x in sets], np.int64)
-    vocabulary, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(sizes)
-    parts = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
-    marked = np.zeros(len(vocabulary), bool)
-    reach = 1 - least + 1e-9
-
-    def similarity(i: int, others: np.ndarray) -> np.ndarray:
-        marked[parts[i]] = True
-        both = np.array([np.count_nonzero(marked[parts[j]]) for j in others.tolist()], np.int64)
-        marked[parts[i]] = False
-        union = sizes[i] + sizes[others] - both
-        return np.where(union > 0, both / np.maximum(union, 1), 1.0)
-
-    out = list(range(len(sets)))
-    left = np.arange(len(sets))
-    while len(left):
-        leader, left = int(left[0]), left[1:]
-        far = 1 - similarity(leader, left)
-        near = far <= reach
-        todo = list(zip(left[near].tolist(), far[near].tolist()))
-        left, away = left[~near], far[~near]
-        for i, _ in todo:
-            out[i] = leader
-        while todo and len(left):
-            i, d = todo.pop()
-            at = np.flatnonzero((np.abs(away - d) <= reach) & (least * sizes[i] <= sizes[left] + 1e-9) & (least * sizes[left] <= sizes[i] + 1e-9))
-            got = at[similarity(i, left[at]) >= least - 1e-9]
-            for j in got.tolist():
-                out[left[j]] = leader
-                todo.append((int(left[j]), float(away[j])))
-            left, away = np.delete(left, got), np.delete(away, got)
-    return out
+    masks = key_masks()
+    keys = [np.array(x, np.uint64) for x in zip(*masks)]
+    salt = _mix(np.arange(1, WIDE_KEYS + 1, dtype=np.uint64))
+
+    def pairs_of(key: np.ndarray, hi: np.ndarray, lo: np.ndarray, node: np.ndarray) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """Pairs of nodes of equal keys, which come together, and a mask of rows that do not lead their shard."""
+        cut = np.flatnonzero(key[1:] != key[:-1]) + 1
+        starts, ends = np.concatenate([[0], cut]), np.concatenate([cut, [len(key)]])
+        found, follows = [], np.zeros(len(key), bool)
+        for a, b in zip(starts[ends - starts > 1].tolist(), ends[ends - starts > 1].tolist()):
+            got, leading = shard_candidates([x << 64 | y for x, y in zip(hi[a:b].tolist(), lo[a:b].tolist())])
+            own = node[a:b].tolist()
+            found += [(own[i], own[j]) for i, j in got]
+            follows[a:b] = True
+            follows[a + np.array(leading)] = False
+        return found, follows
+
+    def both(found: list[tuple[int, int]]) -> tuple[pa.Array, pa.Array]:
+        x = np.array(sorted({(max(p), min(p)) for p in found}), np.uint64).reshape(-1, 2).view(np.int64)
+        return pa.array(x[:, 0]), pa.array(x[:, 1])
+
+    names = ["a", "b", "node", "hi", "lo", "leads"]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, hi, lo = (batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(3))
+            if not len(node):
+                continue
+            key = _mix(_mix((hi[:, None] & keys[0]) + salt) + (lo[:, None] & keys[1])).ravel()
+            order = np.argsort(key, kind="stable")
+            row = order // WIDE_KEYS
+            found, follows = pairs_of(key[order], hi[row], lo[row], node[row])
+            leads = np.full(len(node), (1 << WIDE_KEYS) - 1, np.int64)
+            np.bitwise_and.at(leads, row[follows], ~(np.int64(1) << (order[follows] % WIDE_KEYS)))
+            a, b = both(found)
+            none = lambda k: pa.nulls(k, pa.int64())
+            yield pa.RecordBatch.from_arrays([a, b, none(len(a)), none(len(a)), none(len(a)), none(len(a))], names)
+            yield pa.RecordBatch.from_arrays([none(len(node)), none(len(node)), *(batch.column(i) for i in range(3)), pa.array(leads)], names)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last shard of a batch may go on in the next
+        for batch in batches:
+            columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+            if held is not None:
+                columns = [np.concatenate([x, y]) for x, y in zip(held, columns)]
+            key = columns[0]
+            if not len(key):
+                continue
+            last = int(np.searchsorted(key, key[-1]))
+            held = [x[last:] for x in columns]
+            if last:
+                found, _ = pairs_of(key[:last], *(x[:last].view(np.uint64) for x in columns[1:]))
+                if found:
+                    yield pa.RecordBatch.from_arrays(list(both(found)), ["a", "b"])
+        if held is not None:
+            found, _ = pairs_of(held[0], *(x.view(np.uint64) for x in held[1:]))
+            if found:
+                yield pa.RecordBatch.from_arrays(list(both(found)), ["a", "b"])
 
+    near = materialize(nodes.select("node", "hi", "lo").mapInArrow(local, "a long, b long, node long, hi long, lo long, leads long"), "local-links")
+    each = F.array(*[F.when(F.col("leads").bitwiseAND(F.lit(1 << k)) != 0, F.xxhash64(F.lit(k), F.col("hi").bitwiseAND(F.lit(_signed(x))), F.col("lo").bitwiseAND(F.lit(_signed(y))))) for k, (x, y) in enumerate(masks)])
+    keyed = near.filter("node IS NOT NULL").select(F.explode(F.array_compact(each)).alias("key"), "hi", "lo", "node")
+    far = keyed.repartition("key").sortWithinPartitions("key", "hi", "lo", "node").mapInArrow(shards, "a long, b long")
+    return near.filter("a IS NOT NULL").select("a", "b").unionByName(far).distinct()
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 8, shard: int = 96, least: float = 0.8) -> DataFrame:
-    """docs with one document of each group of near-duplicates, its smallest doc_id; one row of it if it is repeated.
 
-    Components of fingerprints within the radius are candidates only. Within each, documents are linked whose sets of
-    shingles have a Jaccard similarity of `least` or more, and one of each component of such links stays: nothing goes without
-    a partner that similar. Texts that share 0.8 or more of their five-word shingles mostly differ in 5 to 8 bits, and pairs
-    beyond the radius are missed unless others link them. A task holds the distinct sets of one candidate component.
+def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """The (fp, root) pairs of nodes whose sets of shingles have a Jaccard similarity of `least` or more.
+
+    A set is made once, from the text of its node's first document, and meets its partners by two joins: one pair a row.
     """
-    found = near_duplicates(docs, width, radius, shard)
-    ids = materialize(found.groupBy("doc_id").agg(F.min("component_id").alias("component_"), F.count("*").alias("n_")).withColumnRenamed("doc_id", "found_id_"), "ids")
-    sizes = ids.groupBy(F.col("component_").alias("sized_")).agg(F.sum("n_").alias("rows_"))
-    placed = ids.join(sizes, F.col("component_").eqNullSafe(F.col("sized_"))).select("found_id_", "component_", "rows_")
-    placed = materialize(placed, "candidates")
-    # columns by number, so that those added can't clash with them; merged at every size: the ids grow with the corpus
-    names = docs.columns
-    numbered = docs.select(*[docs[c].alias(f"c{i}_") for i, c in enumerate(names)])
-    own, text = f"c{names.index('doc_id')}_", f"c{names.index('text')}_"
-    stay = numbered.join(placed.hint("merge"), F.col(own).eqNullSafe(F.col("found_id_")))
-    columns = [F.col(f"c{i}_") for i in range(len(names))]
-    single = stay.filter("rows_ = 1").select(*columns)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("end")).distinct()
+    firsts = materialize(nodes.join(ends, nodes["node"] == ends["end"]).select("node", F.col("first.doc_id").alias("first_id"), F.col("first.text_hash").alias("first_hash")), "compared")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    chosen = texts.join(small(firsts, NARROW_ROWS), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash"))).select("node", "text")
 
-    def resolve(sets: list[np.ndarray], rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        first = similar_groups(sets, least)
-        kept = [r for i, r in enumerate(rows) if first[i] == i]
-        return pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 1):
+                got = [x.tobytes() for x in shingle_hashes(*word_hashes(batch.column(1)), width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["node", "shingles"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # rows come by component, then by doc_id: the first row of a set of shingles is the one that may stay
-        last, sets, rows, seen = None, [], [], set()
+    made = materialize(chosen.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
+    made = made.dropDuplicates(["node"])  # repeated rows
+
+    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            component = batch.column(0).to_pylist()
-            bare = pa.RecordBatch.from_arrays(batch.columns[1:], batch.schema.names[1:])
-            texts = bare.column(names.index("text"))
-            for k, c in enumerate(component):
-                if rows and c != last:
-                    yield resolve(sets, rows)
-                    sets, rows, seen = [], [], set()
-                last = c
-                own_set = shingles(texts[k].as_py(), width)
-                key = xxhash.xxh3_128_digest(own_set.tobytes())
-                if key not in seen:
-                    seen.add(key)
-                    sets.append(own_set)
-                    rows.append(bare.take(pa.array([k])))
-        if rows:
-            yield resolve(sets, rows)
-
-    many = stay.filter("rows_ > 1").select("component_", *columns).repartition("component_").sortWithinPartitions("component_", F.col(own).asc_nulls_last())
-    chosen = many.mapInArrow(run, numbered.schema)
-    return single.unionByName(chosen).toDF(*names)
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(shared >= (least - 1e-9) * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["fp", "root"]).filter(pa.array(keep, pa.bool_()))
+
+    left, right = (made.select(F.col("node").alias(c), F.col("shingles").alias(f"{c}_set")) for c in "ab")
+    compared = pairs.join(left, "a").join(right, "b").select("a", "b", "a_set", "b_set")
+    return compared.mapInArrow(same, "fp long, root long")
+
+
+def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
+    """docs with one document of each group of near-duplicates, its smallest doc_id; one row of it if it is repeated.
+
+    Documents with equal sets of shingles, and those linked by pairs of a Jaccard similarity of `least` or more, transitively, are a
+    group. Candidates come from BK-trees of wide fingerprints and every link is checked on the texts, so nothing goes without a
+    partner that similar. A pair is missed if it shares none of the shards, or if both lie near others in all of them that
+    are not similar. Texts stay where they are: the ids to remove, and those to compare, are joined to them, by broadcast up to
+    NARROW_ROWS counted rows, by a shuffle beyond. A repeated row is one with equal doc_id and text.
+    """
+    bare = docs.select("doc_id", "text")
+    rows = materialize(text_sets(bare, width), "text-sets")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    nodes = materialize(rows.groupBy("node", "hi", "lo").agg(first, F.count("*").alias("n")), "nodes")
+    pairs = materialize(candidate_links(nodes), "candidate-links")
+    labels = components(similar_links(bare, nodes, pairs, width, least))
+    linked = materialize(labels.join(nodes, labels["fp"] == nodes["node"]).select("label", "node", "first"), "linked-sets")
+    heads = small(materialize(linked.groupBy("label").agg(F.min("first").alias("head")), "heads"))
+    headed = linked.join(heads, "label").select(F.col("node").alias("linked_node"), "head")
+    # the rows to remove: all but the first of every set that has several rows or a link
+    several = nodes.join(headed, nodes["node"] == headed["linked_node"], "left").filter("n > 1 OR head IS NOT NULL")
+    several = several.select(F.col("node").alias("own_node"), F.coalesce("head", "first").alias("head"))
+    others = rows.join(small(materialize(several, "several")), F.col("node") == F.col("own_node")).filter(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))))
+    gone = materialize(others.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "removed-ids")
+    again = materialize(rows.groupBy("doc_id", "text_hash").count().filter("count > 1").select(F.col("doc_id").alias("again_id"), F.col("text_hash").alias("again_hash")), "repeated-ids")
+    # columns by number, so that those added can't clash with them
+    names = docs.columns
+    numbered = docs.select(*[docs[c].alias(f"c{i}_") for i, c in enumerate(names)])
+    own, text = F.col(f"c{names.index('doc_id')}_"), F.xxhash64(f"c{names.index('text')}_")
+    is_in = lambda keys, name: own.eqNullSafe(keys[f"{name}_id"]) & (text == keys[f"{name}_hash"])
+    gone = small(gone, NARROW_ROWS)
+    stay = numbered.join(gone, is_in(gone, "gone"), "left_anti")
+    if not again.isEmpty():
+        again = small(again, NARROW_ROWS)
+        once = stay.withColumn("hash_", text).join(again, is_in(again, "again"), "left_semi").dropDuplicates([f"c{names.index('doc_id')}_", "hash_"]).drop("hash_")
+        stay = stay.join(again, is_in(again, "again"), "left_anti").unionByName(once)
+    return stay.toDF(*names)
 
 
 def op3_simhash(spark, sf_dir):
