@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -69,6 +70,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# --- blocked Bloom filters over 64-bit hashes: all bits of a key lie in one 64-bit block
+
+BITS_A_KEY = 16
+MOST_BLOCKS = 1 << 20  # 8 MB; a longer list has more false positives for the exact join to remove
+
+
+def bloom_blocks(keys: int, most: int = MOST_BLOCKS) -> int:
+    return min(most, 1 << max(0, math.ceil(math.log2(max(1, keys * BITS_A_KEY / 64)))))
+
+
+def _block(h: str, blocks: int) -> str:
+    return f"int(pmod(shiftright({h}, 24), {blocks}))"
+
+
+def _mask(h: str) -> str:
+    return "(" + " | ".join(f"shiftleft(1L, int(shiftrightunsigned({h}, {6 * i}) & 63L))" for i in range(4)) + ")"
+
+
+def bloom(keys: DataFrame, h: str, blocks: int) -> DataFrame:
+    """One row: words, the blocks of the filter of a column of hashes, in order."""
+    own = keys.select(F.expr(_block(h, blocks)).alias("block"), F.expr(_mask(h)).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
+    every = keys.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
+    filled = every.join(own, "block", "left").select("block", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
+    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "word"))), lambda s: s["word"]).alias("words"))
+
+
+def bloom_hit(h: str, words: str, blocks: int) -> str:
+    """SQL: may the filter in the array `words` have the hash? The one-element array names the hash, which is made once."""
+    return f"exists(array({h}), x -> ({words}[{_block('x', blocks)}] & {_mask('x')}) = {_mask('x')})"
+
+
 def literals(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
     """A small table of fixed values, as one expression."""
     fields = [x.split() for x in ddl.split(", ")]

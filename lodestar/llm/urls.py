@@ -1,8 +1,8 @@
 """URL filters: a blocked Bloom filter of listed canonical URLs before an exact hash join. DataFrame functions only.
 
 The list has one entry a rule: a host with a path prefix, which fits that host and all its subdomains, or a whole canonical
-URL (host, path and query without the fragment). A url's possible keys are its canonical form and every (host suffix, path
-prefix) of the lengths that the list has. Keys are tested against the filter, where all bits of a key lie in one 64-bit
+URL (see canonical()). A url's possible keys are its canonical form and every (host suffix, path prefix) of the lengths that
+the list has, an array that is one value of the plan whatever its size. Keys are tested against the filter, where all bits of a key lie in one 64-bit
 block; possible hits go to an exact join with the list, which removes the filter's false positives. The longest rule that fits
 wins over shorter ones and over listed urls; without a rule a listed url's verdict holds, else the url is allowed.
 
@@ -18,14 +18,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, literals, materialize, packed, small, table
+from .common import MOST_BLOCKS, ascii_lower, bloom, bloom_blocks, bloom_hit, literals, materialize, packed, small, table
 
 #: Fixed values: (verdict, host, path prefix).
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Canonical urls listed one by one; a parameter.
-LISTED = ("adult-x.example.com/en/1", "casino-x.example.org/")
-BITS_A_KEY = 16
-MOST_BLOCKS = 1 << 20  # 8 MB; a longer list has more false positives for the join to remove
+#: Sites whose pages are listed, with what their hosts begin and end with, and the pages' languages.
+SITES, BEGIN, END, LANGUAGES = ("ads-track", "adult-x", "casino-win", "free-bets"), ("", "blog.", "m.", "www."), ("com", "net", "org"), ("de", "en", "es", "fr")
+#: Pages listed of each site, host and language, numbered from 0: 384,000 canonical urls; a parameter.
+PAGES = 2000
 
 
 def host_of(url: Column) -> Column:
@@ -39,49 +39,42 @@ def path_of(url: Column) -> Column:
 
 
 def canonical(url: Column) -> Column:
-    """Host in lower case, path and query; no scheme, no fragment."""
-    rest = F.when(F.instr(url, "://") > 0, F.substr(url, F.instr(url, "://") + 3))
-    return F.concat(host_of(url), F.regexp_extract(rest, r"^[^/?#]*([^#]*)", 1))
-
-
-def listing(spark: SparkSession, rules=RULES, urls=LISTED) -> DataFrame:
-    """The list as a table: key, rule (null for a listed url), host_labels, path_size, verdict."""
-    rows = [("r:" + h + p, h + p, len(h.split(".")), len(p), v) for v, h, p in rules] + [("u:" + u, None, 0, 0, "block") for u in urls]
-    return literals(spark, rows, "key string, rule string, host_labels int, path_size int, verdict string")
-
-
-def _block(key: str, blocks: int) -> str:
-    return f"int(pmod(xxhash64({key}), {blocks}))"
+    """Host in lower case and path, without scheme, query and fragment, a slash or .html at its end; null for a url without ://."""
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.regexp_replace(path_of(url), r"(?:\.html|/)$", "")))
 
 
-def _mask(key: str) -> str:
-    bits = [f"shiftleft(1L, int(shiftrightunsigned(xxhash64({key}, 'bits'), {6 * i}) & 63L))" for i in range(4)]
-    return "(" + " | ".join(bits) + ")"
+def listed_urls(spark: SparkSession, pages: int = PAGES) -> DataFrame:
+    """The listed canonical urls, one column url, by rule."""
+    lists = (BEGIN, SITES, END, LANGUAGES)
+    hosts = math.prod(map(len, lists))
+    at, picked = F.col("id"), []
+    for x in lists:
+        picked.append(F.element_at(F.array(*map(F.lit, x)), (at % len(x) + 1).cast("int")))
+        at = F.floor(at / len(x))
+    begin, site, end, language = picked
+    return spark.range(hosts * pages).select(F.concat(begin, site, F.lit(".example."), end, F.lit("/"), language, F.lit("/"), at.cast("string")).alias("url"))
 
 
-def bloom(entries: DataFrame, blocks: int) -> DataFrame:
-    """One row: words, the filter's blocks in order."""
-    own = entries.select(F.expr(_block("key", blocks)).alias("block"), F.expr(_mask("key")).alias("mask")).groupBy("block").agg(F.bit_or("mask").alias("word"))
-    every = entries.sparkSession.range(blocks).select(F.col("id").cast("int").alias("block"))
-    filled = every.join(own, "block", "left").select("block", F.coalesce("word", F.lit(0).cast("long")).alias("word"))
-    return filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("block", "word"))), lambda s: s["word"]).alias("words"))
+def listing(spark: SparkSession, rules=RULES, urls: DataFrame | None = None) -> DataFrame:
+    """The list as a table: key, rule (null for a listed url), path_size, verdict."""
+    own = literals(spark, [("r:" + h + p, h + p, len(p), v) for v, h, p in rules], "key string, rule string, path_size int, verdict string")
+    urls = listed_urls(spark) if urls is None else urls
+    return own.unionByName(urls.select(F.concat(F.lit("u:"), "url").alias("key"), F.lit(None).cast("string").alias("rule"), F.lit(0).alias("path_size"), F.lit("block").alias("verdict")))
 
 
 def verdicts(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """pages with host, path, rule and verdict."""
     pages = pages.drop(*[c for c in pages.columns if c.lower() in {"host", "path", "rule", "verdict"}])
-    n, labels, sizes = entries.agg(F.count("*"), F.coalesce(F.max("host_labels"), F.lit(0)), F.coalesce(F.collect_set(F.when(F.col("rule").isNotNull(), F.col("path_size"))), F.array())).first()
-    blocks = min(MOST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, n * BITS_A_KEY / 64)))))
-    words = materialize(bloom(entries, blocks), "bloom")
-    # every key of a distinct url, then those that the filter lets pass
+    entries = materialize(entries, "url-list").withColumn("h", F.xxhash64("key"))
+    blocks = bloom_blocks(entries.count(), MOST_BLOCKS)
+    sizes = entries.agg(F.array_sort(F.collect_set(F.when(F.col("rule").isNotNull(), F.col("path_size")))).alias("sizes"))
+    words, sizes = materialize(bloom(entries, "h", blocks), "bloom"), materialize(sizes, "path-sizes")
+    # every key of a distinct url, then those that the filter lets pass; filter and sizes are one row each: scalar subqueries
     urls = pages.select("url").filter("url IS NOT NULL").distinct().withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    parts = F.split("host", r"\.", -1)
-    suffix = lambda i: F.array_join(F.slice(parts, F.size(parts) - i + 1, i), ".")
-    own = [F.when(F.size(parts) >= i, suffix(F.lit(i))) for i in range(1, (labels or 0) + 1)]
-    prefixes = [F.when(F.length("path") >= s, F.substring("path", 1, s)) for s in sorted(sizes)]
-    keyed = urls.withColumn("keys", F.concat(F.array(F.concat(F.lit("u:"), canonical(F.col("url")))), F.array(*[F.concat(F.lit("r:"), h, p) for h in own for p in prefixes]).cast("array<string>")))
-    # the filter is one row of a bounded size: a scalar subquery, not a join
-    tested = keyed.withColumn("words", words.scalar()).withColumn("hits", F.expr(f"filter(keys, k -> k IS NOT NULL AND (words[{_block('k', blocks)}] & {_mask('k')}) = {_mask('k')})"))
+    keyed = urls.withColumn("own", canonical(F.col("url"))).withColumn("labels", F.split("host", r"\.", -1)).withColumn("sizes", sizes.scalar())
+    by_rule = "flatten(transform(sequence(1, size(labels)), k -> transform(filter(sizes, s -> s <= length(path)), s -> concat('r:', array_join(slice(labels, k, size(labels)), '.'), substr(path, 1, s)))))"
+    keyed = keyed.withColumn("keys", F.expr(f"array_compact(array_append({by_rule}, concat('u:', own)))")).withColumn("words", words.scalar())
+    tested = keyed.withColumn("hits", F.expr(f"filter(keys, k -> {bloom_hit('xxhash64(k)', 'words', blocks)})"))
     possible = tested.filter(F.size("hits") > 0).select("url", F.explode("hits").alias("key"))
     exact = possible.join(small(entries.select("key", "rule", "verdict")), "key")
     order = F.struct(F.coalesce(F.length("rule"), F.lit(-1)), F.col("verdict") == "block")
@@ -105,5 +98,6 @@ u AS (SELECT *, CASE
   WHEN ('.' || host) LIKE '%.org' AND starts_with(path, '/fr/') THEN 'org/fr/'
   WHEN ('.' || host) LIKE '%.net' AND starts_with(path, '/') THEN 'net/' END AS rule FROM h)
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-  WHEN host || regexp_extract(rest, '^[^/?#]*([^#]*)', 1) IN ('adult-x.example.com/en/1', 'casino-x.example.org/') THEN 'block' ELSE 'allow' END AS verdict FROM u
+  WHEN try_cast(regexp_extract(own, '^(?:(?:blog|m|www)\.)?(?:ads-track|adult-x|casino-win|free-bets)\.example\.(?:com|net|org)/(?:de|en|es|fr)/(0|[1-9][0-9]*)$', 1) AS BIGINT) < 2000 THEN 'block' ELSE 'allow' END AS verdict
+FROM (SELECT *, host || regexp_replace(path, '(\.html|/)$', '') AS own FROM u)
 """
