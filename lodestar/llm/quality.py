@@ -1,14 +1,17 @@
 """Quality rules: robust multivariate outliers.
 
-Word statistics of every whole text are transformed into four numbers (log mean word length; square roots of the shares of
-symbols, of repeated lines and of words in repeated windows). Minimum-covariance-determinant estimates per language and
-source come from concentration steps over all rows: distances to the present estimate, the h-th smallest distance of each
-group, then mean and covariance of the rows below it. A document is rejected where its Mahalanobis distance to its group's
-estimate is beyond the cutoff. Each step aggregates partially before its shuffle, so a hot source is one small row a task.
-
-Most texts have no symbols, repeats or repeated lines at all, so every covariance gets a floor on its diagonal (FLOORS): what
-such a share may vary by in clean text. Groups of fewer than MIN_ROWS rows are estimated together, by language and, if
-those are still few, all together.
+Statistics of every whole text are transformed into seven numbers: the logarithm of the mean word length; square roots of the
+shares of symbols, of repeated lines, of words in repeated windows, of punctuation and of capitals; and the ratio of the logarithms
+of distinct and of all words. Minimum-covariance-determinant estimates per language and source come from concentration steps
+over all rows: distances to the present estimate, the h-th smallest distance of each group, then mean and covariance of the
+rows below it. Each group has several starts (medians, and small subsets drawn by hash); the start of the least determinant
+goes on until its determinant falls no more. A document is rejected where its squared Mahalanobis distance is beyond the
+chi-square quantile. Each step aggregates partially before its shuffle, so a hot source is one small row a task.
+
+Symbols, repeats and repeated lines are exactly none in most texts, so their covariance would be singular: the diagonal gets a
+floor (FLOORS) that says what such a share may vary by in clean text. The other numbers' floors only keep the matrix regular, their
+estimates decide. Groups of fewer than MIN_ROWS rows are estimated together, by language and, if those are still few, all
+together. Quantiles of distances are Spark's approximate ones.
 
 Defined cases: a null text has no words and fails the base rules; null languages and sources are groups of their own;
 repeated rows count as often as they occur and get the same verdict; an empty table gives an empty result. Added columns
@@ -30,13 +33,17 @@ from .common import materialize, packed, small, table
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEATED = 50, 50  # words; percent of words
-FLOORS = (0.08, 0.03, 0.2, 0.2)  # standard deviations added to the four numbers' own
+PUNCTUATION = b".,;:!?"
+CAPITALS = bytes(range(65, 91))
+#: Standard deviations added to the seven numbers' own: word length, symbols, repeated lines and windows, punctuation, capitals, distinct words.
+FLOORS = (0.005, 0.03, 0.12, 0.12, 0.005, 0.005, 0.003)
 H = 0.75  # share of a group's rows that the estimate rests on
-STEPS = 3
-CUTOFF = 30.0  # of the squared distance; chi-square with 4 degrees of freedom exceeds it 5 times in a million
-MIN_ROWS = 40
+STARTS, FIRST_STEPS, MOST_STEPS = 4, 2, 30
+SETTLED = 1e-3  # a fall of the logarithm of the determinant that is none
+TAIL = 1e-8  # chance that normal data are beyond the cutoff; texts have longer tails than normal data
+MIN_ROWS = 100
 P = len(FLOORS)
-STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+STAT_COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_punctuation", "n_capitals", "n_types")
 
 
 def text_stats(text: str | None) -> tuple[int, ...]:
@@ -65,7 +72,8 @@ def text_stats(text: str | None) -> tuple[int, ...]:
             covered[1:-1] |= again
             covered[2:] |= again
             repeats = int(covered.sum())
-    return n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines)
+    marks, capitals = (len(data) - len(data.translate(None, x)) for x in (PUNCTUATION, CAPITALS))
+    return n, chars, symbols, len(lines) - len(set(lines)), repeats, len(lines), marks, capitals, len(set(words))
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in STAT_COLUMNS]))
@@ -74,24 +82,45 @@ def _stats(texts: pd.Series) -> pd.DataFrame:
 
 
 def with_stats(docs: DataFrame) -> DataFrame:
-    """docs with a struct column `stats_` and the four transformed numbers in an array `x_`."""
+    """docs with a struct column `stats_` and the transformed numbers in an array `x_`."""
     stats = docs.withColumn("stats_", _stats.asNondeterministic()("text"))
-    share = lambda a, b: F.sqrt(F.col(f"stats_.{a}") / F.greatest(F.col(f"stats_.{b}"), F.lit(1)))
-    return stats.withColumn("x_", F.array(F.log(F.greatest(F.col("stats_.word_chars") / F.greatest(F.col("stats_.n_words"), F.lit(1)), F.lit(0.1))), share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words")))
+    least = lambda c, k: F.greatest(F.col(f"stats_.{c}"), F.lit(k))
+    share = lambda a, b: F.sqrt(F.col(f"stats_.{a}") / least(b, 1))
+    length = F.log(F.greatest(F.col("stats_.word_chars") / least("n_words", 1), F.lit(0.1)))
+    shares = [share("n_symbols", "word_chars"), share("n_dup_lines", "n_lines"), share("n_repeat_words", "n_words"), share("n_punctuation", "n_words"), share("n_capitals", "n_words")]
+    return stats.withColumn("x_", F.array(length, *shares, F.log(least("n_types", 1)) / F.log(least("n_words", 2))))
 
 
 def base_failed() -> Column:
     return (F.col("stats_.n_words") < MIN_WORDS) | (100 * F.col("stats_.n_repeat_words") > MAX_REPEATED * F.col("stats_.n_words"))
 
 
-def consistency(h: float) -> float:
-    """What the covariance of the h closest rows is multiplied by to be that of normal data in P = 4 dimensions."""
-    below4 = lambda x: 1 - math.exp(-x / 2) * (1 + x / 2)
-    lo, hi = 0.0, 100.0
+def chi_square_below(x: float, k: int) -> float:
+    """The chi-square distribution of k degrees of freedom, by the series of the incomplete gamma function."""
+    a, y = k / 2, x / 2
+    term = total = 1 / a
+    n = 0
+    while term > total * 1e-17:
+        n += 1
+        term *= y / (a + n)
+        total += term
+    return total * math.exp(a * math.log(y) - y - math.lgamma(a)) if x > 0 else 0.0
+
+
+def chi_square_quantile(share: float, k: int) -> float:
+    lo, hi = 0.0, 400.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if below4(mid) < h else (lo, mid)
-    return h / (1 - math.exp(-lo / 2) * (1 + lo / 2 + lo * lo / 8))
+        lo, hi = (mid, hi) if chi_square_below(mid, k) < share else (lo, mid)
+    return lo
+
+
+def consistency(h: float, k: int = P) -> float:
+    """What the covariance of the h closest rows is multiplied by to be that of normal data."""
+    return h / chi_square_below(chi_square_quantile(h, k), k + 2)
+
+
+CUTOFF = chi_square_quantile(1 - TAIL, P)
 
 
 def distance(x: str = "x_", centre: str = "centre", precision: str = "precision") -> Column:
@@ -101,20 +130,51 @@ def distance(x: str = "x_", centre: str = "centre", precision: str = "precision"
 
 
 def _estimate(moments: DataFrame) -> DataFrame:
-    """Rows of key, n, sums and products -> key, centre, precision, by numpy over one row a group."""
+    """Rows of key_, start, n, sums, products and before -> key_, start, centre, precision, its determinant, and before; numpy over one row a group."""
     factor, floors = consistency(H), np.diag(np.square(FLOORS))
 
     def run(frames):
         for f in frames:
-            centre, precision = [], []
+            centre, precision, logdet = [], [], []
             for n, s, p in zip(f["n"], f["sums"], f["products"]):
                 m = np.array(s) / n
                 cov = np.array(p).reshape(P, P) / n - np.outer(m, m)
+                whole = factor * (cov + cov.T) / 2 + floors
                 centre.append(m.tolist())
-                precision.append(np.linalg.inv(factor * (cov + cov.T) / 2 + floors).ravel().tolist())
-            yield pd.DataFrame({"key_": f["key_"], "centre": centre, "precision": precision})
+                precision.append(np.linalg.inv(whole).ravel().tolist())
+                logdet.append(float(np.linalg.slogdet(whole)[1]))
+            yield pd.DataFrame({"key_": f["key_"], "start": f["start"], "centre": centre, "precision": precision, "logdet": logdet, "before": f["before"]})
+
+    return moments.mapInPandas(run, "key_ string, start int, centre array<double>, precision array<double>, logdet double, before double")
 
-    return moments.mapInPandas(run, "key_ string, centre array<double>, precision array<double>")
+
+def _moments(rows: DataFrame) -> DataFrame:
+    """key_, start, x_ rows -> what _estimate() takes, but before."""
+    sums = [F.sum(F.col("x_")[i]).alias(f"s{i}") for i in range(P)]
+    products = [F.sum(F.col("x_")[i] * F.col("x_")[j]).alias(f"p{i}_{j}") for i in range(P) for j in range(i, P)]
+    whole = rows.groupBy("key_", "start").agg(F.count("*").alias("n"), *sums, *products)
+    return whole.select("key_", "start", "n", F.array(*[f"s{i}" for i in range(P)]).alias("sums"), F.array(*[f"p{min(i, j)}_{max(i, j)}" for i in range(P) for j in range(P)]).alias("products"))
+
+
+def _starts(x: DataFrame) -> DataFrame:
+    """The starting estimates of each group: its medians with the floors, and subsets of P + 1 rows each, drawn by hash."""
+    medians = x.groupBy("key_").agg(*[F.percentile_approx(F.col("x_")[i], 0.5).alias(f"m{i}") for i in range(P)])
+    # a spread of some tenths in every direction: the first step takes the rows nearest to the medians
+    wide = [1.0 / (f + 0.05) ** 2 if i == j else 0.0 for i, f in enumerate(FLOORS) for j in range(P)]
+    none = F.lit(None).cast("double")
+    middle = medians.select("key_", F.lit(0).alias("start"), F.array(*[f"m{i}" for i in range(P)]).alias("centre"), F.array(*map(F.lit, wide)).alias("precision"), none.alias("logdet"), none.alias("before"))
+    drawn = [F.min_by("x_", F.xxhash64("x_", F.lit(100 * s + k))).alias(f"d{s}_{k}") for s in range(1, STARTS) for k in range(P + 1)]
+    subsets = x.groupBy("key_").agg(*drawn).select("key_", F.explode(F.array(*[F.struct(F.lit(s).alias("start"), F.array(*[f"d{s}_{k}" for k in range(P + 1)]).alias("rows")) for s in range(1, STARTS)])).alias("s"))
+    rows = subsets.select("key_", "s.start", F.explode("s.rows").alias("x_"))
+    return middle.unionByName(_estimate(_moments(rows).withColumn("before", none)))
+
+
+def _step(x: DataFrame, now: DataFrame) -> DataFrame:
+    """A concentration step of every start of every group."""
+    far = x.join(now, "key_").select("key_", "start", "x_", distance().alias("d"), "logdet")
+    within = small(materialize(far.groupBy("key_", "start").agg(F.percentile_approx("d", H).alias("most"), F.first("logdet").alias("before")), "quality-within"))
+    near = far.join(within.drop("before"), ["key_", "start"]).filter("d <= most")
+    return small(materialize(_estimate(_moments(near).join(within.select("key_", "start", "before"), ["key_", "start"])), "quality-estimate"))
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -131,18 +191,15 @@ def estimates(rows: DataFrame) -> DataFrame:
     named = small(materialize(keys(rows), "quality-keys"))
     x = rows.join(named, rows["lang"].eqNullSafe(named["key_lang"]) & rows["source"].eqNullSafe(named["key_source"])).select("key_", "x_")
     x = materialize(x, "quality-x")
-    medians = x.groupBy("key_").agg(*[F.percentile_approx(F.col("x_")[i], 0.5).alias(f"m{i}") for i in range(P)])
-    start = [float(f) ** -2 if i == j else 0.0 for i, f in enumerate(FLOORS) for j in range(P)]
-    now = medians.select("key_", F.array(*[f"m{i}" for i in range(P)]).alias("centre"), F.array(*map(F.lit, start)).alias("precision"))
-    for _ in range(STEPS):
-        now = small(materialize(now, "quality-estimate"))
-        far = x.join(now, "key_").select("key_", "x_", distance().alias("d"))
-        within = small(materialize(far.groupBy("key_").agg(F.percentile_approx("d", H).alias("most")), "quality-within"))
-        near = far.join(within, "key_").filter("d <= most")
-        sums = [F.sum(F.col("x_")[i]).alias(f"s{i}") for i in range(P)]
-        products = [F.sum(F.col("x_")[i] * F.col("x_")[j]).alias(f"p{i}{j}") for i in range(P) for j in range(i, P)]
-        moments = near.groupBy("key_").agg(F.count("*").alias("n"), *sums, *products)
-        now = _estimate(moments.select("key_", "n", F.array(*[f"s{i}" for i in range(P)]).alias("sums"), F.array(*[f"p{min(i, j)}{max(i, j)}" for i in range(P) for j in range(P)]).alias("products")))
+    now = small(materialize(_starts(x), "quality-starts"))
+    for _ in range(FIRST_STEPS):
+        now = _step(x, now)
+    best = now.groupBy("key_").agg(F.min_by(F.struct("start", "centre", "precision", "logdet", "before"), F.struct("logdet", "start")).alias("b"))
+    now = small(materialize(best.select("key_", "b.*"), "quality-best"))
+    for _ in range(MOST_STEPS):
+        now = _step(x, now)
+        if now.filter(F.col("before") - F.col("logdet") > SETTLED).isEmpty():
+            break
     return materialize(named.join(now, "key_").select("key_lang", "key_source", "centre", "precision"), "quality-final")
 
 
