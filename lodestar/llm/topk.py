@@ -1,30 +1,34 @@
 """Exact top-k search by tiled matrix products.
 
 Candidate rows are packed into shards, query rows into tiles, both as binary matrices of a bounded size; each (tile, shard)
-cell is one matrix product with a partial selection, and a query's partial lists are merged by a tree of top-k merges
-(within the task, then across tasks). Tiles and shards meet by an equi-join on the cells of a grid: the stated query set against
+cell is one matrix product with a partial selection. A query's partial lists are merged by a tree of top-k merges: a task keeps
+one running list a query over all its cells, which is all that it writes; lists of FAN tasks are merged, then those of FAN such
+merges, and so on, so that no merge takes more than FAN lists of a query. Tiles and shards meet by an equi-join on the cells of a grid: the stated query set against
 all rows, in blocks.
 
 Defined cases: vectors that are null, empty or hold a null or non-finite component take no part, as query or candidate; a
-query meets only candidates of its own dimension; ties go to the smaller id; a repeated id is a row like any other, but a
+query meets only candidates of its own dimension; rows without an id take no part; ties go to the smaller id; a repeated id is a row like any other, but a
 query's own id is never its candidate; a query with fewer candidates than k returns all of them; an empty table gives an
 empty result. Scores are sums of products of integers held as doubles: exact below 2**53.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 TILE, SHARD = 2048, 8192
+FAN = 64  # lists of a query in one merge
 
 
 def pack(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -82,18 +86,29 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return out_s, out_i
 
 
-def cells(batches: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
-    """(tile, shard) rows -> query_id, vec_id, score: each cell's k best of every query."""
+def cells(batches: Iterator[pd.DataFrame], k: int, task: int) -> Iterator[pd.DataFrame]:
+    """(tile, shard) rows -> query_id, leaf and top, the task's k best of every query: a tile's running lists are merged cell by cell.
+
+    A running list is k scores and ids a query, and a task holds those of the tiles that it meets.
+    """
+    held: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     for frame in batches:
         for dim, qi, qd, ci, cd in frame[["dim", "q_ids", "q_data", "c_ids", "c_data"]].itertuples(index=False):
             qids, cids = np.frombuffer(qi, "<i8"), np.frombuffer(ci, "<i8")
             q, c = np.frombuffer(qd, "<f8").reshape(-1, dim), np.frombuffer(cd, "<f8").reshape(-1, dim)
+            key = hashlib.blake2b(qi + qd, digest_size=16).digest()
+            if key not in held:
+                held[key] = qids, np.full((len(q), k), -np.inf), np.full((len(q), k), -1, np.int64)
+            _, top, who = held[key]
             for a in range(0, len(q), 256):
-                s = q[a : a + 256] @ c.T
-                s[qids[a : a + 256, None] == cids[None, :]] = -np.inf
-                got, who = best(s, cids, k)
-                rows, cols = np.nonzero(np.isfinite(got))
-                yield pd.DataFrame({"query_id": qids[a : a + 256][rows], "vec_id": who[rows, cols], "score": got[rows, cols].astype(np.int64)})
+                b = min(a + 256, len(q))
+                s = q[a:b] @ c.T
+                s[qids[a:b, None] == cids[None, :]] = -np.inf
+                got, ids = best(s, cids, k)
+                top[a:b], who[a:b] = best(np.hstack([top[a:b], got]), np.hstack([who[a:b], ids]), k)
+    for qids, top, who in held.values():
+        lists = [[{"s": -int(x), "i": int(i)} for x, i in zip(xs, ids) if np.isfinite(x)] for xs, ids in zip(top, who)]
+        yield pd.DataFrame({"query_id": qids, "leaf": task, "top": lists})
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = 5, tile: int = TILE, shard: int = SHARD) -> DataFrame:
@@ -113,11 +128,14 @@ def top_k(rows: DataFrame, is_query: Column, k: int = 5, tile: int = TILE, shard
         left = tiles.select("*", own("q_ids", down, "down"), every(across, "across"))
         right = shards.select("*", own("c_ids", across, "across"), every(down, "down"))
         joined = left.join(right, ["dim", "down", "across"])
-    partial = joined.mapInPandas(lambda it: cells(it, k), "query_id long, vec_id long, score long")
-    # a partial list is kept as an array: its merge is associative, so it combines before the shuffle
+    lists = joined.mapInPandas(lambda it: cells(it, k, TaskContext.get().partitionId()), "query_id long, leaf long, top array<struct<s: long, i: long>>")
+    merged = materialize(lists, "top-lists")
+    level = merged.agg(F.coalesce(F.max("leaf"), F.lit(0)) + 1).first()[0]
     ordered = lambda a: F.slice(F.array_sort(a), 1, k)
-    lists = partial.groupBy("query_id", F.expr("pmod(xxhash64(vec_id), 8)").alias("leaf")).agg(ordered(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))).alias("top"))
-    merged = lists.groupBy("query_id").agg(ordered(F.flatten(F.collect_list("top"))).alias("top"))
+    while level > 1:
+        level = -(-level // FAN)
+        merged = merged.groupBy("query_id", F.expr(f"leaf % {level}").alias("leaf")).agg(ordered(F.flatten(F.collect_list("top"))).alias("top"))
+    merged = merged.filter(F.size("top") > 0)
     return merged.select("query_id", F.posexplode("top").alias("at", "hit")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("hit.i").alias("vec_id"), (-F.col("hit.s")).alias("score"))
 
 
