@@ -21,7 +21,7 @@ any length stays in one file; an empty table gives no file and an empty result.
 
 from __future__ import annotations
 
-import re
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -30,23 +30,24 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import TextEncoder, slices, tokenizer_path
+from .bpe import REMEMBER, TextEncoder, slices, tokenizer_path
 from .common import materialize, scratch, small, table
 
 MAGIC = b"LDTOK1\r\n"
-BLOCK = 1024  # ids
-LANES = 4096  # blocks side by side
+BLOCK = 2048  # ids
+LANES = 2048  # blocks side by side
 FILE_IDS = BLOCK * LANES
-ORDER1, ORDER2 = 1 << 10, 1 << 11  # entries a lane
+ORDER0, ORDER1, ORDER2 = 1 << 10, 1 << 10, 1 << 11  # entries a lane
 TOTAL = 20  # bits of the order-0 frequencies' sum
 END_ID = 2
 
 _U = np.uint64
-_TOP, _BOT = _U(1 << 48), _U(1 << 32)
+_TOP, _BOT = _U(1 << 48), _U(1 << 40)  # what a flag and an id leave of the range is 1 << 4 at least
 
 
 @cache
@@ -64,17 +65,18 @@ class Model:
 
     def __init__(self, n: int):
         lanes = np.arange(n, dtype=np.int64)
-        self.base1, self.base2 = lanes * ORDER1, lanes * ORDER2
+        self.base0, self.base1, self.base2 = lanes * ORDER0, lanes * ORDER1, lanes * ORDER2
+        self.t0 = np.zeros(n * ORDER0, np.int8)  # how often the lane had an id, by its lower bits
         self.t1, self.t2 = np.zeros(n * ORDER1, np.int32), np.zeros(n * ORDER2, np.int32)  # confidence << 20 | place + 1
         self.lane8 = lanes * 8
-        self.e1, self.e2, self.e0 = np.full(n * 8, 1024, np.int32), np.full(n * 8, 2048, np.int32), np.full(n, 1024, np.int32)
+        self.e1, self.e2, self.e0 = np.full(n * 8, 1024, np.int32), np.full(n * 8, 2048, np.int32), np.full(n * 8, 1024, np.int32)
         self.w1, self.w2, self.w0 = np.full(n, 24000, np.int32), np.full(n, 24000, np.int32), np.full(n, 12000, np.int32)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
         self.stretch, self.squash = _tables()
 
     def narrow(self, n: int) -> None:
         """Goes on with the first n lanes."""
-        for name in ("base1", "base2", "lane8", "e0", "w0", "w1", "w2", "p1", "p2"):
+        for name in ("base0", "base1", "base2", "lane8", "w0", "w1", "w2", "p1", "p2"):
             setattr(self, name, getattr(self, name)[:n])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
@@ -86,9 +88,10 @@ class Model:
         k1, k2 = self.s1 >> 20, self.s2 >> 20
         self.guess = np.where((k2 > 0) | (self.c1 == 0), self.c2, self.c1)
         both = self.c1 == self.c2
-        self.j1, self.j2 = self.lane8 + 2 * k1 + both, self.lane8 + 2 * k2 + both
-        self.q1, self.q2 = self.e1[self.j1], self.e2[self.j2]
-        self.x1, self.x2, self.x0 = self.stretch[self.q1], self.stretch[self.q2], self.stretch[self.e0]
+        self.j1, self.j2 = self.lane8 + (2 * k1 + both), self.lane8 + (2 * k2 + both)
+        self.j0 = self.lane8 + self.t0[self.base0 + (self.guess & (ORDER0 - 1))]
+        self.q1, self.q2, self.q0 = self.e1[self.j1], self.e2[self.j2], self.e0[self.j0]
+        self.x1, self.x2, self.x0 = self.stretch[self.q1], self.stretch[self.q2], self.stretch[self.q0]
         dot = (self.w1 * self.x1 + self.w2 * self.x2 + self.w0 * self.x0) >> 15
         self.p = self.squash[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
         return self.guess, self.p << 4
@@ -101,78 +104,99 @@ class Model:
             np.minimum(w, 1 << 17, out=w)  # so that three products fit 31 bits
             np.maximum(w, -(1 << 17), out=w)
         # shifts round down, so that estimates stay within 15 of either end
-        self.e1[self.j1] = np.minimum(self.q1 + ((target - self.q1) >> 4), 4095)
-        self.e2[self.j2] = np.minimum(self.q2 + ((target - self.q2) >> 4), 4095)
-        self.e0 += (target - self.e0) >> 5
-        np.minimum(self.e0, 4095, out=self.e0)
+        for e, j, q in ((self.e1, self.j1, self.q1), (self.e2, self.j2, self.q2), (self.e0, self.j0, self.q0)):
+            e[j] = np.minimum(q + ((target - q) >> 4), 4095)
         new = (place + 1).astype(np.int32)
+        i0 = self.base0 + (new & (ORDER0 - 1))
+        self.t0[i0] = np.minimum(self.t0[i0] + 1, 7)
         for t, i, s, c in ((self.t1, self.i1, self.s1, self.c1), (self.t2, self.i2, self.s2, self.c2)):
             k = s >> 20
             # right: surer, up to 3; wrong: less sure, replaced when not sure at all
-            right = c == new
-            t[i] = np.where(right, np.minimum(k + 1, 3) << 20 | c, np.where(k > 1, (k - 2) << 20 | c, new))
+            t[i] = np.where(c == new, np.minimum(s + (1 << 20), 3 << 20 | c), np.where(k > 1, s - (2 << 20), new))
         self.p2, self.p1 = self.p1, place
 
 
-class Encoder:
-    def __init__(self, n: int, most: int):
+class Coder:
+    """A range coder of n lanes: low and range of 64 bits, 16-bit words out as the top settles, the range cut where it straddles."""
+
+    def __init__(self, n: int):
         self.low, self.range = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U)
-        self.out, self.used = np.zeros((n, most), np.uint16), np.zeros(n, np.int64)
-
-    def code(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> _U(bits)
-        low, rng = self.low[at] + r * start, r * freq
-        while True:
-            flat = (low ^ (low + rng)) >= _TOP
-            todo = np.flatnonzero(~flat | (rng < _BOT))
-            if not len(todo):
-                break
-            lanes = todo if isinstance(at, slice) else at[todo]
-            cut = flat[todo]  # straddles: the range is cut so that the top is settled
+
+    def narrow(self, n: int) -> None:
+        self.low, self.range = self.low[:n], self.range[:n]
+
+    def flag(self, hit: np.ndarray, share: np.ndarray) -> None:
+        """Codes hits; share is what of the range a hit takes."""
+        self.low += np.where(hit, _U(0), share)
+        self.range = np.where(hit, share, self.range - share)
+
+    def symbol(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, r: np.ndarray) -> None:
+        self.low[at] += r * start
+        self.range[at] = r * freq
+
+    def settled(self):
+        """Rounds of (lanes, their upper words) to shift out."""
+        low, rng = self.low, self.range
+        todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
+        while len(todo):
             a, b = low[todo], rng[todo]
+            cut = (a ^ (a + b)) >= _TOP  # straddles: the range is cut so that the top is settled
             b = np.where(cut, (~a + _U(1)) & (_BOT - _U(1)), b)
             b = np.where(b == 0, _BOT, b)
-            self.out[lanes, self.used[lanes]] = (a >> _U(48)).astype(np.uint16)
-            self.used[lanes] += 1
-            low[todo], rng[todo] = a << _U(16), b << _U(16)
-        self.low[at], self.range[at] = low, rng
+            yield todo, a >> _U(48)
+            a, b = a << _U(16), b << _U(16)
+            low[todo], rng[todo] = a, b
+            todo = todo[((a ^ (a + b)) < _TOP) | (b < _BOT)]
+
+
+class Encoder(Coder):
+    def __init__(self, n: int, most: int):
+        super().__init__(n)
+        self.out, self.first = np.zeros(n * most, np.uint16), np.arange(n, dtype=np.int64) * most
+        self.at = self.first.copy()
+
+    def shift(self) -> None:
+        for lanes, words in self.settled():
+            at = self.at[lanes]
+            self.out[at] = words
+            self.at[lanes] = at + 1
 
-    def finish(self, n: int) -> None:
-        lanes = np.arange(n)
+    def finish(self) -> None:
         for _ in range(4):
-            self.out[lanes, self.used[:n]] = (self.low[:n] >> _U(48)).astype(np.uint16)
-            self.used[:n] += 1
-            self.low[:n] <<= _U(16)
+            self.out[self.at[: len(self.low)]] = self.low >> _U(48)
+            self.at[: len(self.low)] += 1
+            self.low = self.low << _U(16)
 
+    def words(self, lane: int) -> np.ndarray:
+        return self.out[self.first[lane] : self.at[lane]]
 
-class Decoder:
+
+class Decoder(Coder):
     def __init__(self, words: np.ndarray, starts: np.ndarray):
+        super().__init__(len(starts))
         self.words, self.at = words, starts.copy()
-        n = len(starts)
-        self.low, self.range, self.value = np.zeros(n, _U), np.full(n, (1 << 64) - 1, _U), np.zeros(n, _U)
+        self.value = np.zeros(len(starts), _U)
         for _ in range(4):
             self.value = self.value << _U(16) | self.words[self.at]
             self.at += 1
 
-    def target(self, at: np.ndarray | slice, bits: int) -> np.ndarray:
-        return np.minimum((self.value[at] - self.low[at]) // (self.range[at] >> _U(bits)), _U((1 << bits) - 1))
-
-    def advance(self, at: np.ndarray | slice, start: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        r = self.range[at] >> _U(bits)
-        low, rng = self.low[at] + r * start, r * freq
-        while True:
-            flat = (low ^ (low + rng)) >= _TOP
-            todo = np.flatnonzero(~flat | (rng < _BOT))
-            if not len(todo):
-                break
-            lanes = todo if isinstance(at, slice) else at[todo]
-            a, b = low[todo], rng[todo]
-            b = np.where(flat[todo], (~a + _U(1)) & (_BOT - _U(1)), b)
-            b = np.where(b == 0, _BOT, b)
-            self.value[lanes] = self.value[lanes] << _U(16) | self.words[self.at[lanes]]
-            self.at[lanes] += 1
-            low[todo], rng[todo] = a << _U(16), b << _U(16)
-        self.low[at], self.range[at] = low, rng
+    def narrow(self, n: int) -> None:
+        super().narrow(n)
+        self.value = self.value[:n]
+
+    def places(self, at: np.ndarray, r: np.ndarray) -> np.ndarray:
+        """Which of the 1 << TOTAL parts of width r the value is in: a quotient of doubles, put right by its remainder."""
+        off = self.value[at] - self.low[at]
+        got = np.minimum((off / r).astype(_U), _U((1 << TOTAL) - 1))
+        rest = off - got * r
+        got -= rest >> _U(63)
+        return np.minimum(got + ((rest >= r) & (rest < _U(1 << 63))), _U((1 << TOTAL) - 1))
+
+    def shift(self) -> None:
+        for lanes, _ in self.settled():
+            at = self.at[lanes]
+            self.value[lanes] = self.value[lanes] << _U(16) | self.words[at]
+            self.at[lanes] = at + 1
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -189,7 +213,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 def encode_lanes(places: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
     """Up to LANES blocks of places -> each block's 16-bit words."""
     n = -(-len(places) // BLOCK)
-    grid = np.zeros(n * BLOCK, np.int64)
+    grid = np.zeros(n * BLOCK, np.int32)
     grid[: len(places)] = places
     steps = np.ascontiguousarray(grid.reshape(n, BLOCK).T)
     last = len(places) - (n - 1) * BLOCK
@@ -201,17 +225,22 @@ def encode_lanes(places: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
         if t == last and n > 1:
             width = n - 1
             model.narrow(width)
-        place = steps[t, :width]
+            rest = coder.low[width:], coder.range[width:]
+            coder.narrow(width)
+        place = steps[t, :width].astype(np.int64)
         guess, p = model.predict()
         hit = guess == place + 1
-        p = p.astype(_U)
-        coder.code(slice(0, width), np.where(hit, _U(0), p), np.where(hit, p, _U(1 << 16) - p), 16)
+        coder.flag(hit, (coder.range >> _U(16)) * p.astype(_U))
         miss = np.flatnonzero(~hit)
         if len(miss):
-            coder.code(miss, start[place[miss]], freq[place[miss]], TOTAL)
+            own = place[miss]
+            coder.symbol(miss, start[own], freq[own], coder.range[miss] >> _U(TOTAL))
+        coder.shift()
         model.update(place, hit)
-    coder.finish(n)
-    return [coder.out[i, : coder.used[i]] for i in range(n)]
+    if width < n:
+        coder.low, coder.range = np.concatenate([coder.low, rest[0]]), np.concatenate([coder.range, rest[1]])
+    coder.finish()
+    return [coder.words(i) for i in range(n)]
 
 
 def decode_lanes(words: np.ndarray, starts: np.ndarray, count: int, freq: np.ndarray) -> np.ndarray:
@@ -221,8 +250,8 @@ def decode_lanes(words: np.ndarray, starts: np.ndarray, count: int, freq: np.nda
     ends = np.cumsum(freq).astype(_U)
     freq = freq.astype(_U)
     start = ends - freq
-    out = np.zeros((BLOCK, n), np.int64)
-    model, coder = Model(n), Decoder(np.concatenate([words, np.zeros(8, np.uint16)]).astype(_U), starts)
+    out = np.zeros((BLOCK, n), np.int32)
+    model, coder = Model(n), Decoder(np.concatenate([words, np.zeros(8, np.uint16)]), starts)
     # the first place whose share of the sum reaches past a target, by a table of its upper bits
     coarse = np.searchsorted(ends, np.arange(1 << 14, dtype=_U) << _U(TOTAL - 14), "right")
     single = np.append(coarse[1:], len(freq) - 1) == coarse
@@ -231,22 +260,24 @@ def decode_lanes(words: np.ndarray, starts: np.ndarray, count: int, freq: np.nda
         if t == last and n > 1:
             width = n - 1
             model.narrow(width)
+            coder.narrow(width)
         guess, p = model.predict()
-        p = p.astype(_U)
-        every = slice(0, width)
-        hit = coder.target(every, 16) < p
-        coder.advance(every, np.where(hit, _U(0), p), np.where(hit, p, _U(1 << 16) - p), 16)
+        share = (coder.range >> _U(16)) * p.astype(_U)
+        hit = coder.value - coder.low < share
+        coder.flag(hit, share)
         place = guess.astype(np.int64) - 1
         miss = np.flatnonzero(~hit)
         if len(miss):
-            got = coder.target(miss, TOTAL)
+            r = coder.range[miss] >> _U(TOTAL)
+            got = coder.places(miss, r)
             upper = (got >> _U(TOTAL - 14)).astype(np.int64)
             found = coarse[upper]
             hard = np.flatnonzero(~single[upper])
             if len(hard):
                 found[hard] = np.searchsorted(ends, got[hard], "right")
             place[miss] = found
-            coder.advance(miss, start[found], freq[found], TOTAL)
+            coder.symbol(miss, start[found], freq[found], r)
+        coder.shift()
         out[t, :width] = place
         model.update(place, hit)
     return out.T.reshape(-1)[:count] if n > 1 else out[:count, 0]
@@ -312,48 +343,70 @@ def decode_file(data: bytes) -> tuple[int, int, list[int | None], np.ndarray, np
 
 
 _OPEN: dict[str, TextEncoder] = {}
-#: Letters whose case and composition no normalisation splits, and marks that are one pre-token together.
-plain_word = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+([.,!?;:]*)").fullmatch
+#: A plain run: letters whose case and composition no normalisation splits, then marks, which are one pre-token together.
+PLAIN_RUN = r"^(?P<word>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<marks>[!-/:-@\[-`{-~]*)$"
 
 
 def library_encoder(path: str) -> TextEncoder:
-    """Whole texts by the tokenizers library, a distinct white-space run once (the file's pre-tokens never span white space)."""
+    """Whole texts by the tokenizers library, a distinct white-space run once (the file's pre-tokens never span white space).
+
+    Most runs are a plain word with or without marks after it. Of these each distinct lower-cased word and each string of marks
+    goes to the library once: words, many a call, by the file's own model with a split at spaces alone, as all else that the
+    file's normaliser and split do is done. Other runs go to the file's tokenizer as they are.
+    """
     if path not in _OPEN:
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(path)
         special = {t.content: i for i, t in own.get_added_tokens_decoder().items()}
         mark, mark_id = next(iter(special.items()), (None, None))
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        byte_level = [p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "ByteLevel"]
+        bare = Tokenizer.from_str(json.dumps(spec | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *byte_level]}}))
 
         ends = np.zeros(own.get_vocab_size(), bool)  # ids that end a pre-token
         for t, i in own.get_vocab().items():
             ends[i] = t.endswith("</w>")
-
-        def cut(some: list[int], texts: list[str], out: list[bytes], ids: np.ndarray, cuts: np.ndarray, gap: int) -> None:
-            raw = ids.tobytes()
-            starts = np.concatenate([[0], cuts[:-1] + gap])
-            for k, x, y in zip(some, (4 * starts).tolist(), (4 * cuts).tolist()):
-                out[k] = raw[x:y]
+        known: dict[str, bytes] = {}
+        encode = lambda by, text: np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        def cut(ids: np.ndarray, cuts: np.ndarray, gap: int) -> list[bytes]:
+            raw, starts = ids.tobytes(), np.concatenate([[0], cuts[:-1] + gap])
+            return [raw[x:y] for x, y in zip((4 * starts).tolist(), (4 * cuts).tolist())]
+
+        def learn(words: list[str]) -> None:
+            if len(known) > REMEMBER:
+                known.clear()
+            new = [w for w in words if w not in known]
+            for a in range(0, len(new), 500):
+                some = new[a : a + 500]
+                ids = encode(bare, " ".join(some))
+                known.update(zip(some, cut(ids, np.flatnonzero(ends[ids]) + 1, 0)))
 
         def runs(texts: list[str]) -> list[bytes]:
-            # One call for many runs. Plain words, with or without a mark after, have one pre-token or two, so word ends tell
-            # them apart; other runs are told apart by a special token between them; those that hold its text go alone.
+            parts = pc.extract_regex(pa.array(texts, pa.large_string()), PLAIN_RUN)
+            plain = np.flatnonzero(pc.is_valid(parts).to_numpy(zero_copy_only=False))
+            words = pc.utf8_lower(parts.field("word")).take(pa.array(plain)).dictionary_encode()
+            marks = parts.field("marks").take(pa.array(plain)).dictionary_encode()
+            distinct = words.dictionary.to_pylist()
+            learn(distinct)
+            of_words = [known[w] for w in distinct]
+            of_marks = [encode(own, m).tobytes() if m else b"" for m in marks.dictionary.to_pylist()]
             out: list[bytes] = [b""] * len(texts)
-            found = [plain_word(t) for t in texts]
-            plain = [k for k, m in enumerate(found) if m]
-            other = [k for k, m in enumerate(found) if not m and mark is not None and mark not in texts[k]]
-            alone = [k for k, m in enumerate(found) if not m and (mark is None or mark in texts[k])]
-            encode = lambda text: np.array(own.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            for a in range(0, len(plain), 2000):
-                some = plain[a : a + 2000]
-                ids = encode(" ".join([texts[k] for k in some]))
-                words = np.cumsum([1 + bool(found[k][1]) for k in some])
-                cut(some, texts, out, ids, np.flatnonzero(ends[ids])[words - 1] + 1, 0)
+            for k, w, m in zip(plain.tolist(), words.indices.to_pylist(), marks.indices.to_pylist()):
+                out[k] = of_words[w] + of_marks[m]
+            rest = np.ones(len(texts), bool)
+            rest[plain] = False
+            # the others are told apart by a special token between them; those that hold its text go alone
+            rest = np.flatnonzero(rest).tolist()
+            other = [k for k in rest if mark is not None and mark not in texts[k]]
             for a in range(0, len(other), 2000):
                 some = other[a : a + 2000]
-                ids = encode(mark.join([texts[k] for k in some]))
-                cut(some, texts, out, ids, np.append(np.flatnonzero(ids == mark_id), len(ids)), 1)
-            for k in alone:
+                ids = encode(own, mark.join([texts[k] for k in some]))
+                for k, got in zip(some, cut(ids, np.append(np.flatnonzero(ids == mark_id), len(ids)), 1)):
+                    out[k] = got
+            for k in {*rest} - {*other}:
                 out[k] = np.array(own.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes()
             return out
 
