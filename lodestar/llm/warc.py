@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch, small, table
 
-SEGMENT = 32 << 10  # bytes of a block in one record
-CHUNK = 16 << 10  # bytes in one chunk of the transfer framing
+SEGMENT = 8 << 10  # bytes of a block in one record
+CHUNK = 4 << 10  # bytes in one chunk of the transfer framing
 ARCHIVE = 8 << 20  # bytes of an archive, give or take a record
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
