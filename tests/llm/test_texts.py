@@ -1,6 +1,9 @@
 """BPE, token files, quality, licenses and secrets against brute force."""
 
+import math
+import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -106,36 +109,77 @@ def plain_stats(text):
     many = Counter(windows)
     covered = {i + k for i, w in enumerate(windows) if many[w] > 1 for k in range(3)}
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(covered), len(lines)
+    count = lambda some: sum(c in some for c in text or "")
+    return len(words), sum(map(len, words)), count("#*$%&|<>"), len(lines) - len(set(lines)), len(covered), len(lines), count(".,;:!?"), sum("A" <= c <= "Z" for c in text or ""), len(set(words))
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.sampled_from("ab \n\t#é|日"), max_size=60))
+@given(st.text(alphabet=st.sampled_from("aB \n\t#é|日."), max_size=60))
 def test_quality_statistics(text):
     assert quality.text_stats(text) == plain_stats(text)
 
 
-def test_quality_rejects_junk_and_keeps_clean(spark, docs, no_docs):
-    import random
-
+def prose(rng, n, junk=""):
+    vocabulary = [a + b for a in "ri sto li wal eve nor sum gar bel har".split() for b in "ver ne ght ker ning th mer den low bour er st".split()]
+    out = []
+    for i in range(n):
+        w = rng.choice(vocabulary)
+        out.append((w.capitalize() if rng.random() < 0.1 else w) + (rng.choice(",.") if rng.random() < 0.12 else "") + junk + ("\n" if i % 12 == 11 else ""))
+    return " ".join(out)
+
+
+def plain_mcd(x, starts=60, seed=1):
+    """Squared distances by a plain minimum-covariance-determinant estimate: many random starts, steps until nothing changes."""
+    rng, n, best = np.random.default_rng(seed), len(x), None
+    floors, factor = np.diag(np.square(quality.FLOORS)), quality.consistency(quality.H)
+    for _ in range(starts):
+        rows = x[rng.choice(n, x.shape[1] + 1, replace=False)]
+        last = None
+        while True:
+            centre, cov = rows.mean(0), factor * np.cov(rows.T, bias=True) + floors
+            d = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(cov), x - centre)
+            chosen = np.sort(np.argsort(d, kind="stable")[: math.ceil(quality.H * n)])
+            if last is not None and (chosen == last).all():
+                break
+            rows, last = x[chosen], chosen
+        det = np.linalg.slogdet(cov)[1]
+        if best is None or det < best[0]:
+            best = det, d
+    return best[1]
+
+
+def test_quality_verdicts_against_plain_estimates(spark, docs, no_docs):
     rng = random.Random(4)
-    prose = lambda n, junk="": " ".join(rng.choice("the and river stone under light walker evening".split()) + junk for _ in range(n))
-    rows = [(300 + i, prose(60 + 900 * (i % 11 == 0) + i % 200), "en", f"s{i % 3}") for i in range(240)] + [(1000 + i, prose(90, "*#"), "en", "s1") for i in range(12)]
+    rows = [(300 + i, prose(rng, 80 + i % 400), "en", "s1" if i % 2 else None) for i in range(360)]
+    rows += [(1000 + i, prose(rng, 120, "*#"), "en", "s1") for i in range(12)]
+    rows += [(1100 + i, prose(rng, 90).replace(",", "").replace(".", "").lower(), "en", "s1") for i in range(12)]  # no marks, no capitals: no floor tells
+    rows += [(1200 + i, "\n".join(["menu of the day"] * 30 + [prose(rng, 9).replace("\n", "") for _ in range(14)]), "en", "s1") for i in range(6)]  # repeated lines
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    got = {r["doc_id"] for r in quality.keep_good(df.unionByName(docs.select(df.columns))).collect()}
-    failed = {i for i, t, *_ in rows if 100 * plain_stats(t)[4] > 50 * plain_stats(t)[0]}
-    assert not [i for i in got if i and i >= 1000] and {i for i, *_ in rows if i < 1000} - failed <= got
-    assert 4 not in got and 5 not in got and quality.keep_good(no_docs).count() == 0
-    assert quality.keep_good(docs).columns == docs.columns
+    got = {r["doc_id"]: r for r in quality.judge(quality.with_stats(df)).collect()}
+    want = {}
+    for source in ("s1", None):
+        own = [got[i] for i, _, _, s in rows if s == source and not got[i]["base_failed"]]
+        want |= {r["doc_id"]: d <= quality.CUTOFF for r, d in zip(own, plain_mcd(np.array([r["x_"] for r in own])))}
+    same = sum(got[i]["kept"] == kept for i, kept in want.items())
+    assert same >= 0.99 * len(want)
+    assert not any(got[i]["kept"] for i in got if 1000 <= i) and sum(got[i]["kept"] for i in got if i < 1000) >= 357
+    # medians and floors alone, without an estimate, keep the texts without marks
+    x = np.array([got[i]["x_"] for i in range(300, 660)])
+    plain = np.square((np.array(got[1100]["x_"]) - np.median(x, 0)) / (np.array(quality.FLOORS) + [0.08, 0, 0, 0, 0.2, 0.2, 0.2])).sum()
+    assert plain <= quality.CUTOFF
+    kept = {r["doc_id"] for r in quality.keep_good(df.unionByName(docs.select(df.columns))).collect()}
+    assert not [i for i in kept if i and i >= 1000] and 4 not in kept and 5 not in kept
+    assert quality.keep_good(no_docs).count() == 0 and quality.keep_good(docs).columns == docs.columns
+
+
+def test_few_rows_are_estimated_by_language_and_all_together(spark):
+    rows = [("en" if i < 130 else None if i < 140 else "de", f"s{i % 7}", [0.0] * quality.P) for i in range(160)]
+    named = {(r["key_lang"], r["key_source"]): r["key_"] for r in quality.keys(spark.createDataFrame(rows, "lang string, source string, x_ array<double>")).collect()}
+    assert {k for (lang, _), k in named.items() if lang == "en"} == {'{"lang":"en"}|*'} and {k for (lang, _), k in named.items() if lang != "en"} == {"*"}
 
 
-def test_determinant_estimate_resists_outliers(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(0, 1, (400, 4)) * [0.1, 0.05, 0.1, 0.1] + [1.6, 0.1, 0.2, 0.2]
-    x[:80] += 5
-    rows = spark.createDataFrame([("en", "s", v.tolist()) for v in x], "lang string, source string, x_ array<double>")
-    got = quality.estimates(rows).first()
-    assert np.allclose(got["centre"], x[80:].mean(0), atol=0.05)
+def test_chi_square():
+    assert abs(quality.chi_square_quantile(0.95, 7) - 14.0671) < 1e-3 and abs(quality.chi_square_quantile(0.5, 4) - 3.3567) < 1e-3
 
 
 def plain_places(text):
@@ -143,10 +187,47 @@ def plain_places(text):
     return len(w), sorted((i, label) for p, label in licenses.PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split())
 
 
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def plain_spans(text):
+    """Labels, bounds and scores of licence spans by comparing every place of a text with every place of every template."""
+    w, k, good = plain_words(text), licenses.K, []
+    for label, texts in licenses.TEMPLATES.items():
+        for n, template in enumerate(texts):
+            t = plain_words(template)
+            places = {}
+            for j in range(len(t) - k + 1):
+                places.setdefault(tuple(t[j : j + k]), []).append(j)
+            votes = sorted((i - j, i, j) for i in range(len(w) - k + 1) for j in places.get(tuple(w[i : i + k]), []))
+            bands, last = [], None
+            for d, i, j in votes:
+                if last is None or d - last > licenses.GAP:
+                    bands.append([])
+                bands[-1].append((i, j))
+                last = d
+            for band in bands:
+                first, end, grams = min(i for i, _ in band), max(i for i, _ in band) + k - 1, len(t) - k + 1
+                score = len({j for _, j in band}) / grams
+                if score >= licenses.COVER and end - first + 1 <= licenses.STRETCH * len(t):
+                    good.append((first, end, f"{label}#{n}", score, grams, label))
+    out, reach = [], -1
+    for s in sorted(good):
+        if s[0] > reach:
+            out.append([])
+        out[-1].append(s)
+        reach = max(reach, s[1])
+    best = [max(c, key=lambda s: (s[3], s[4], s[5])) for c in out]
+    return sorted((s[5], s[0], s[1], round(s[3], 9)) for s in best)
+
+
 def test_license_scan(spark, docs, no_docs):
     texts = [
         "Released under the MIT License. And again: UNDER-THE mit;license", "Licensed under the Apache License, Version 2.0.", "cc by nc cc BY nc", "xcc by nc", "This work is licensed under the GNU General Public License, version 3.",
         "filler " * 500 + licenses.TEMPLATES["mit-text"][0].replace(" a copy", " one copy") + " end", "the license of nothing", "under the mit licensed", "日本 under the mit license 日本",
+        licenses.TEMPLATES["lgpl-2.1"][1], licenses.TEMPLATES["isc"][0], licenses.TEMPLATES["unlicense"][0], licenses.TEMPLATES["bsd-3"][0] + " x y z " + licenses.TEMPLATES["gpl-2"][1], licenses.TEMPLATES["cc-by-nc-sa"][0],
+        " and ".join(["released under the mit license"] * 300), licenses.TEMPLATES["isc"][0],
     ]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     got = licenses.scan(df).collect()
@@ -155,11 +236,12 @@ def test_license_scan(spark, docs, no_docs):
     for r in got:
         n, places = plain_places(by_text[r["doc_id"]])
         assert r["n_words"] == n and sorted((p["at"], p["label"]) for p in r["places"]) == places
+        assert sorted((s["label"], s["first"], s["last"], round(s["score"], 9)) for s in r["spans"]) == plain_spans(by_text[r["doc_id"]])
     spans = {r["doc_id"]: {s["label"] for s in r["spans"]} for r in got}
-    assert "gpl-3" in spans[104] and "mit-text" in spans[105] and not spans[106] and not spans[7]
-    first = next(s for r in got if r["doc_id"] == 105 for s in r["spans"] if s["label"] == "mit-text")
-    assert first["first"] == 500
+    assert spans[104] == {"gpl-3"} and spans[105] == {"mit-text"} and not spans[106] and not spans[7]
+    assert spans[109] == {"lgpl-2.1"} and spans[110] == spans[115] == {"isc"} and spans[111] == {"unlicense"} and spans[112] == {"bsd-3", "gpl-2"} and spans[113] == {"cc-by-nc-sa"}
     assert licenses.scan(no_docs).count() == 0
+    assert all(not r["spans"] for r in licenses.scan(df, templates={}).collect())
 
 
 @pytest.fixture(scope="module")
@@ -195,3 +277,29 @@ def test_keywords_inside_long_identifiers(spark, forest):
     df = spark.createDataFrame(list(enumerate(secret + plain)), "doc_id long, text string")
     found = {(r["doc_id"], r["secret"]) for r in secrets.findings(df, forest=forest).collect()}
     assert found == {(i, digits) for i in range(len(secret))}
+
+
+def test_findings_outside_the_templates(spark, forest):
+    """Leaks and look-alikes in forms that no labelled row has: precision and recall."""
+    rng = random.Random(3)
+    some = lambda n, letters=string.ascii_letters + string.digits: "".join(rng.choice(letters) for _ in range(n))
+    wide, digits = string.ascii_letters + string.digits + "+/", "0123456789abcdef"
+    leaks = [
+        f"aws_secret_access_key = {some(40, wide)}", "password: Xk9#mQ2$vLp1", "postgres://app:s3cr3tPw9x@db.internal:5432/x", "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(some(64, wide) for _ in range(5)) + "\n-----END RSA PRIVATE KEY-----", f"SG.{some(22)}.{some(43)}",
+        "mysql -u admin -pQ7rT9zLw2 shop", f"//registry.npmjs.org/:_authToken=npm_{some(36)}", f"export GITHUB_TOKEN=ghp_{some(36)}", f"Authorization: Bearer eyJ{some(30)}.eyJ{some(60)}.{some(43)}", f"AccountKey={some(86, wide)}==", f"xoxb-{some(11, string.digits)}-{some(24)}",
+        f"sk_live_{some(24)}", f'{{"client_secret": "{some(32)}"}}', "  db_password: correcthorse-battery9", f"ENCRYPTION_KEY={some(64, digits)}", f'token = "{some(40, digits)}"',
+    ]
+    plain = [
+        f"commit {some(40, digits)}", "see https://www.example.com/articles/internationalisation-of-products/index.html", "The characterization of internationalization misunderstandings", "uuid 123e4567-e89b-12d3-a456-426614174000", f"sha256:{some(64, digits)}",
+        "import com.example.project.service.UserAccountServiceImpl", "password: ${DB_PASSWORD}", "api_key = your_api_key_here", "the password is required for access", "token = self.tokenizer.get_next_token(text)", "src/main/java/org/apache/commons/StringUtils.java",
+        "Donaudampfschifffahrtsgesellschaft", "password=os.environ['DB_PASSWORD']", "2024-01-01T00:00:00.000Z-backup-file-name", "call +1 (487) 555-7209 or 4736962573099581", "secret: the recipe of grandmother", "x" * 200_000 + " end",
+    ]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(leaks)] + [(100 + i, t) for i, t in enumerate(plain)], "doc_id long, text string")
+    found = {r["doc_id"] for r in secrets.findings(df, forest=forest).collect()}
+    assert len([i for i in found if i < 100]) >= 14 and not [i for i in found if i >= 100]
+
+
+def test_spans_in_a_text_of_many_candidates(spark, forest):
+    text = " ".join(f"é wörter{'x' * (i % 30)}andthenationofwords password=b7db7aa4a5{i:08x}" for i in range(3000))
+    found = secrets.findings(spark.createDataFrame([(1, text)], "doc_id long, text string"), forest=forest).collect()
+    assert len(found) >= 2900 and all(text[r["start"] : r["start"] + r["size"]] == r["secret"] for r in found)

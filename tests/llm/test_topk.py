@@ -18,8 +18,9 @@ def brute(rows, k):
     return out
 
 
-@pytest.mark.parametrize("tile", [4, 2048])
-def test_top_k(spark, tile):
+@pytest.mark.parametrize(("tile", "fan"), [(4, 64), (2048, 2)])
+def test_top_k(spark, tile, fan, monkeypatch):
+    monkeypatch.setattr(topk, "FAN", fan)
     rng = np.random.default_rng(5)
     rows = [(i, rng.integers(-6, 6, 8).astype(float).tolist()) for i in range(620)]
     rows += [(i, rows[3][1]) for i in range(700, 760)]  # ties
@@ -31,3 +32,9 @@ def test_top_k(spark, tile):
 
 def test_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_repeated_and_missing_ids(spark):
+    rows = [(50, [1.0, 2.0]), (50, [1.0, 2.0]), (None, [9.0, 9.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (8, [0.0, 1.0])]
+    got = sorted(tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, v array<double>"), F.col("vec_id") % 50 == 0, 5, 4, 2).collect())
+    assert {(q, v, s) for q, _, v, s in got} == {(50, 7, 5), (50, 8, 2)}
