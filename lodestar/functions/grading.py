@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 
@@ -10,9 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import choice_letter, hash_answer, process_answer, qa_score
-
-DEPTH = 8  # nested braces that are followed
+from .text import choice_letter, hash_answer, process_answer, qa_score, strip
 
 #: Text that a final answer's normalisation replaces, in order.
 REPLACED = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), ("\\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
@@ -22,16 +21,30 @@ REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "k
 LATEX = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
 
 
-def balanced(depth: int = DEPTH) -> str:
-    """A pattern of text whose braces match, nested up to a depth."""
-    return r"(?:[^{}])*" if depth == 0 else r"(?:[^{}]|\{" + balanced(depth - 1) + r"\})*"
+def braced(tail: Column) -> Column:
+    """Contents of the first pair of braces, matched to any depth and length in one pass over the braces; null if they do not match."""
+    step = lambda s, p: F.when(s["end"] > 0, s).otherwise(
+        F.struct(
+            (s["depth"] + F.when(p == "{", 1).when(p == "}", -1).otherwise(0)).alias("depth"),
+            (s["at"] + F.length(p)).alias("at"),
+            F.when((p == "}") & (s["depth"] == 1), s["at"] + 1).otherwise(0).alias("end"),
+        )
+    )
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+    own = F.substr(tail, F.instr(tail, "{"))
+    pieces = F.regexp_extract_all(own, F.lit(r"([{}]|[^{}]+)"), 1)
+    end = F.when(F.instr(tail, "{") > 0, F.aggregate(pieces, start, step)["end"])
+    return F.when(end > 0, F.substr(own, F.lit(2), end - 2))
 
 
 def last_boxed(text: Column) -> Column:
-    r"""Contents of the last \boxed{...} or \fbox{...}, braces matched, or of `\boxed x` up to a dollar sign; null without one."""
-    braced = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\(?:boxed|fbox)\s*\{(" + balanced() + r")\}"), 1), F.lit(-1))
-    spaced = F.try_element_at(F.regexp_extract_all(text, F.lit(r"\\boxed ([^$]*)"), 1), F.lit(-1))
-    return F.coalesce(braced, spaced)
+    r"""Contents of the last \boxed{...}, braces matched, else of the last \fbox{...}; of `\boxed x`, where there is one, up to a dollar sign.
+
+    null without one, and where the last one's braces do not match.
+    """
+    after = lambda marker: F.when(F.contains(text, F.lit(marker)), F.substring_index(text, marker, -1))
+    spaced = F.substring_index(after("\\boxed "), "$", 1)
+    return F.coalesce(spaced, braced(F.coalesce(after("\\boxed"), after("\\fbox"))))
 
 
 def _replace_all(text: Column, table: list[tuple[str, str]]) -> Column:
@@ -61,14 +74,14 @@ def final_answer(text: Column) -> Column:
     """A final answer normalised: after the last =, units and words gone, markup unwrapped, numbers without commas."""
     t = F.substring_index(text, "=", -1)
     t = _replace_all(t, REPLACED + [(x, "") for x in REMOVED])
-    t = F.regexp_replace(t, r"(.*?)(\$)(.*?)(\$)(.*)", r"\$$3\$")
+    t = F.regexp_replace(t, r".*?\$(.*?)\$.*", r"\$$1\$")
     for tag in ("text", "textbf", "overline"):
         t = F.regexp_replace(t, r"\\" + tag + r"\{(.*?)\}", "$1")
     t = F.regexp_replace(t, r"\\boxed\{(.*)\}", "$1")
     t = F.regexp_replace(F.regexp_replace(t, r"frac([^{])(.)", r"frac{$1}{$2}"), r"sqrt([^{])", r"sqrt{$1}")
     t = F.replace(t, F.lit("$"), F.lit(""))
     bare = F.replace(t, F.lit(","), F.lit(""))
-    return F.trim(F.when(bare.rlike(r"^\d+$"), bare).otherwise(t))
+    return strip(F.when(bare.rlike(r"^\d+$"), bare).otherwise(t))
 
 
 def minerva(solution: Column, truth: Column) -> Column:
@@ -106,13 +119,35 @@ def math_equal(given: Column, truth: Column) -> Column:
     return F.coalesce(same(given, truth) | tuples, F.lit(False))
 
 
+#: Words of measure that an answer's number may carry.
+UNITS = "degree|cm|centimeter|mm|km|kg|gram|meter|mile|second|minute|hour|day|week|month|year|foot|feet|inch|yard|liter|dollar|cent|point|unit|mph|percent"
+
+
+def bare_answer(text: Column) -> Column:
+    """An answer without its phrase, dollar signs, units and closing mark; a mixed number as a sum of halves, commas of thousands gone."""
+    t = F.regexp_replace(strip(text), r"(?is)^.*?(?:final\s+)?answer\s*(?:is|:)\s*:?\s*", "")
+    t = F.regexp_replace(F.replace(t, F.lit("$"), F.lit("")), r"\\text\{([^{}]*)\}", "$1")
+    t = F.regexp_replace(t, r"\^?\{?\\circ\}?", "")
+    t = F.regexp_replace(t, r"(?i)(?<=[\d}])\s*(?:" + UNITS + r")(?:es|s)?(?:\s*\^?\s*[23])?\.?$", "")
+    t = F.regexp_replace(strip(t), r"[.]$", "")
+    t = F.regexp_replace(t, r"(?<=\d),(?=\d{3}(?:\D|$))", "")
+    whole, top, low = (F.regexp_extract(t, r"^(-?\d+)\s+(\d+)/(\d+)$", k).try_cast("bigint") for k in (1, 2, 3))
+    mixed = F.when(t.rlike(r"^-?\d+\s+\d+/\d+$"), F.concat((whole * low + F.when(F.startswith(t, F.lit("-")), -top).otherwise(top)).cast("string"), F.lit("/"), low.cast("string")))
+    return F.coalesce(mixed, strip(t))
+
+
+def grade_answer(given: Column, truth: Column) -> Column:
+    """math_equal() of both answers bare; false where either is null."""
+    return math_equal(bare_answer(given), bare_answer(truth))
+
+
 def letter_count_score(text: Column, truth: Column) -> Column:
-    return F.when(F.coalesce(F.trim(last_boxed(text)) == truth, F.lit(False)), 1.0).otherwise(0.0)
+    return F.when(F.coalesce(strip(last_boxed(text)) == truth, F.lit(False)), 1.0).otherwise(0.0)
 
 
 def verdict(text: Column) -> Column:
     """1 where a judge's boxed verdict is True."""
-    return F.when(F.coalesce(F.trim(last_boxed(text)) == "True", F.lit(False)), 1.0).otherwise(0.0)
+    return F.when(F.coalesce(strip(last_boxed(text)) == "True", F.lit(False)), 1.0).otherwise(0.0)
 
 
 def pass_rate(results: Column, most: int = 10) -> Column:
@@ -121,42 +156,58 @@ def pass_rate(results: Column, most: int = 10) -> Column:
     return F.coalesce(F.try_divide(F.size(F.filter(cases, lambda ok: ok)), F.size(cases)), F.lit(0.0))
 
 
+def infix_number(text: str | None) -> float | None:
+    """Value of an infix expression by two stacks, so that no depth of parentheses is too much; null if malformed or not finite."""
+    tight = {"+": 1, "-": 1, "*": 2, "/": 2, "@": 2, "~": 3}
+    values: list[float] = []
+    waiting: list[str] = []
+
+    def apply() -> None:
+        op = waiting.pop()
+        w = values.pop()
+        if op == "~":
+            values.append(-w)
+            return
+        v = values.pop()
+        values.append(v + w if op == "+" else v - w if op == "-" else v * w if op == "*" else v / w if op == "/" else 3 * v - 2 * w)
+
+    operand = True  # is a number or an opening parenthesis next?
+    try:
+        for t in re.findall(r"\d+|[-+*/@()]", text or ""):
+            if operand:
+                if t.isdigit():
+                    values.append(float(t))
+                    operand = False
+                elif t in "(-":
+                    waiting.append("(" if t == "(" else "~")
+                else:
+                    return None
+            elif t == ")":
+                while waiting[-1] != "(":
+                    apply()
+                waiting.pop()
+            elif t in tight:
+                while waiting and waiting[-1] != "(" and tight[waiting[-1]] >= tight[t]:
+                    apply()
+                waiting.append(t)
+                operand = True
+            else:
+                return None
+        if operand:
+            return None
+        while waiting:
+            if waiting[-1] == "(":
+                return None
+            apply()
+        return values[0] if math.isfinite(values[0]) else None
+    except (IndexError, ZeroDivisionError, OverflowError):
+        return None
+
+
 @F.pandas_udf(T.DoubleType())
 def infix_value(texts: pd.Series) -> pd.Series:
     """Value of an infix expression of integers, + - * / @ (a @ b is 3a - 2b, as tight as *) and parentheses; null if malformed."""
-
-    def value(text: str | None) -> float | None:
-        todo = re.findall(r"\d+|[-+*/@()]", text or "")
-
-        def factor() -> float:
-            t = todo.pop(0)
-            if t == "(":
-                v = line()
-                if todo.pop(0) != ")":
-                    raise ValueError("a parenthesis is open")
-                return v
-            return -factor() if t == "-" else float(int(t))
-
-        def product() -> float:
-            v = factor()
-            while todo and todo[0] in "*/@":
-                op, w = todo.pop(0), factor()
-                v = v * w if op == "*" else v / w if op == "/" else 3 * v - 2 * w
-            return v
-
-        def line() -> float:
-            v = product()
-            while todo and todo[0] in "+-":
-                v = v + product() if todo.pop(0) == "+" else v - product()
-            return v
-
-        try:
-            v = line()
-            return None if todo else v
-        except (ValueError, IndexError, ZeroDivisionError):
-            return None
-
-    return pd.Series([value(t) for t in texts], dtype="float64")
+    return pd.Series([infix_number(t) for t in texts], dtype="float64")
 
 
 # --- scorers by data source

@@ -8,12 +8,19 @@ from pyspark.sql import functions as F
 #: Fixed value: ASCII punctuation, as answers are stripped of it.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TOKEN = r"[\p{L}\p{N}]+"
+#: All white space, not the space alone.
+WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def strip(text: Column | str) -> Column:
+    """text without white space of any kind at either end."""
+    return F.btrim(_c(text), F.lit(WHITE))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of letters and digits; digits stay tokens."""
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(f"({TOKEN})"), 1)
@@ -47,7 +54,7 @@ def substring_match(prediction: Column, golds: Column) -> Column:
 def all_tagged(text: Column, open_: str, close: str) -> Column:
     """Contents between a pair of literal tags, trimmed, in order; lazy, over line ends."""
     quote = lambda s: "".join("\\" + ch if ch in "|[]()<>{}.$^*+?\\" and ch not in "<>" else ch for ch in s)
-    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s){quote(open_)}(.*?){quote(close)}"), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(text, F.lit(f"(?s){quote(open_)}(.*?){quote(close)}"), 1), lambda x: strip(x))
 
 
 def last_answer(text: Column | str) -> Column:
@@ -81,6 +88,7 @@ def semantic_score(text: Column | str, judge: Column | str, weight: float = 0.3)
 
 
 # --- process rewards
+#: The forms that process rewards read (steps, boxes and tags), as their producers write them.
 
 def first_tagged(text: Column, tag: str) -> Column:
     return F.try_element_at(all_tagged(text, f"<{tag}>", f"</{tag}>"), F.lit(1))
@@ -92,7 +100,7 @@ def last_box(text: Column) -> Column:
 
 def steps(think: Column) -> Column:
     """Contents of `Step n:` sections, the colon ASCII or full-width; case matters."""
-    return F.transform(F.regexp_extract_all(think, F.lit(r"(?s)Step\s*\d+\s*[：:]\s*(.+?)(?=Step\s*\d+|$)"), 1), lambda x: F.trim(x))
+    return F.transform(F.regexp_extract_all(think, F.lit(r"(?s)Step\s*\d+\s*[：:]\s*(.+?)(?=Step\s*\d+|$)"), 1), lambda x: strip(x))
 
 
 def valid_steps(think: Column) -> Column:
@@ -114,7 +122,7 @@ def process_answer(response: Column | str, truth: Column | str) -> Column:
     r = _c(response)
     answer = first_tagged(r, "answer")
     given = F.coalesce(last_box(answer), last_box(r), answer)
-    return F.coalesce((F.lower(F.trim(given)) == F.lower(F.trim(_c(truth)))).cast("double"), F.lit(0.0))
+    return F.coalesce((F.lower(strip(given)) == F.lower(strip(truth))).cast("double"), F.lit(0.0))
 
 
 def process_total(format_: Column, answer: Column, process: Column | None = None, weights=(0.5, 1.0, 1.0)) -> Column:
@@ -176,7 +184,7 @@ def channel_calls(text: Column | str) -> Column:
     bare = F.regexp_replace(_c(text), r"(?s)<\|channel\|>analysis.*?<\|end\|>", "")
     pattern = r"(?s)to=functions\.(\w+).*?<\|message\|>(.*?)<\|call\|>"
     names, arguments = F.regexp_extract_all(bare, F.lit(pattern), 1), F.regexp_extract_all(bare, F.lit(pattern), 2)
-    return F.zip_with(names, arguments, lambda n, a: F.struct(n.alias("name"), F.trim(a).alias("arguments")))
+    return F.zip_with(names, arguments, lambda n, a: F.struct(n.alias("name"), strip(a).alias("arguments")))
 
 
 def code_block(text: Column | str) -> Column:
@@ -188,13 +196,13 @@ def code_block(text: Column | str) -> Column:
 
 def clean_title(text: Column | str) -> Column:
     """[title] becomes a full stop, other brackets go, double spaces shrink."""
-    t = F.replace(F.trim(_c(text)), F.lit(" [title]"), F.lit(". "))
+    t = F.replace(strip(text), F.lit(" [title]"), F.lit(". "))
     return F.replace(F.regexp_replace(t, r"\[.*?\]", ""), F.lit("  "), F.lit(" "))
 
 
 def clean_contents(text: Column | str) -> Column:
     """Line ends and spaces go, as for text without word spaces."""
-    return F.trim(F.replace(F.replace(_c(text), F.lit("\n"), F.lit("")), F.lit(" "), F.lit("")))
+    return strip(F.replace(F.replace(_c(text), F.lit("\n"), F.lit("")), F.lit(" "), F.lit("")))
 
 
 def title_line(text: Column | str) -> Column:
@@ -233,23 +241,27 @@ def pairs_text(json: Column | str, spaced: bool = False) -> Column:
 
 
 def bleu(candidate: Column | str, reference: Column | str, most: int = 4) -> Column:
-    """Sentence BLEU of white-space words, n-grams up to `most`, add-one smoothing from bigrams on, with the brevity penalty."""
-    c, r = words(candidate), words(reference)
+    """Sentence BLEU of white-space words, n-grams up to `most`, add-one smoothing from bigrams on, with the brevity penalty.
+
+    The nth occurrence of an n-gram is one of its own, so that clipped matches are an intersection of sets.
+    """
+    bound = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)  # noqa: E731  # x is made once, not once an element
 
     def grams(w: Column, n: int) -> Column:
-        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(F.array().cast("array<string>"))
-
-    logs = []
-    for n in range(1, most + 1):
-        own, other = grams(c, n), grams(r, n)
-        times = lambda xs, g: F.size(F.filter(xs, lambda x: x == g))
-        hits = _clipped(own, other, times)
-        plus = 0 if n == 1 else 1
-        logs.append(F.log((hits + plus) / F.greatest(F.size(own) + plus, F.lit(1))))
-    brevity = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.greatest(F.size(c), F.lit(1))))
-    return F.when((F.size(c) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(F.coalesce(brevity * F.exp(sum(logs[1:], logs[0]) / most), F.lit(0.0)))
-
-
-def _clipped(own: Column, other: Column, times) -> Column:
-    """Matched n-grams, each at most as often as the reference has it."""
-    return F.aggregate(F.array_distinct(own), F.lit(0), lambda a, g: a + F.least(times(own, g), times(other, g)))
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, made).otherwise(F.array().cast("array<string>"))
+
+    def numbered(w: Column, n: int) -> Column:
+        return bound(F.array_sort(grams(w, n)), lambda s: F.transform(s, lambda g, i: F.concat(g, F.lit("\n"), (i - F.array_position(s, g)).cast("string"))))
+
+    def whole(c: Column, r: Column) -> Column:
+        logs = []
+        for n in range(1, most + 1):
+            plus = 0 if n == 1 else 1
+            hits = F.size(F.array_intersect(numbered(c, n), numbered(r, n)))
+            logs.append(F.log((hits + plus) / F.greatest(F.size(c) - n + 1 + plus, F.lit(1))))
+        brevity = F.least(F.lit(1.0), F.exp(1 - F.size(r) / F.greatest(F.size(c), F.lit(1))))
+        scored = F.coalesce(brevity * F.exp(sum(logs[1:], logs[0]) / most), F.lit(0.0))
+        return F.when((F.size(c) == 0) | (F.size(r) == 0), F.lit(0.0)).otherwise(scored)
+
+    return bound(F.struct(words(candidate).alias("c"), words(reference).alias("r")), lambda w: whole(w["c"], w["r"]))

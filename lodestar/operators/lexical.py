@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.scratch import written
 
 BROADCAST_ROWS = 100_000
 
@@ -38,11 +39,24 @@ class LexicalIndex:
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
-    """Postings, term and corpus statistics; documents without text are left out."""
-    toks = docs.filter(F.length(text_col) > 0).select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t")).withColumn("len", F.size("t"))
-    postings = toks.select("doc_id", "len", F.explode("t").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"))
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, terms, toks.agg(F.count("*").alias("n"), F.avg("len").alias("avgdl")))
+    """Postings, term and corpus statistics; documents without text are left out.
+
+    The postings are written in the shared folder, so that texts are cut into terms once whatever is asked of the index; the terms'
+    and the corpus's statistics are made from them.
+    """
+    present = docs.filter(F.length(text_col) > 0)
+    toks = present.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("t")).withColumn("len", F.size("t"))
+    postings = written(toks.select("doc_id", "len", F.explode("t").alias("term")).groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf")), "postings")
+    terms = written(postings.groupBy("term").agg(F.count("*").alias("df")), "terms")
+    held = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("held"))
+    corpus = written(present.agg(F.count("*").alias("n")).join(F.broadcast(held), F.lit(True)).select("n", F.try_divide("held", "n").alias("avgdl")), "corpus-size")  # one row each
+    return LexicalIndex(postings, terms, corpus)
+
+
+def index_rows(docs: DataFrame, id_col: str, columns: tuple[str, ...] = ("contents", "text", "body")) -> DataFrame:
+    """id and contents of documents: the first of the columns that is there and not blank; rows without any go."""
+    own = [F.when(F.length(F.trim(c)) > 0, F.col(c)) for c in columns if c in docs.columns]
+    return docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(*own, F.lit(None).cast("string")).alias("contents")).filter("contents IS NOT NULL")
 
 
 def bm25(queries: DataFrame, index: LexicalIndex, k: int, k1: float = 0.9, b: float = 0.4, most_tf: int | None = None, boost: Sequence[str] = (), factor: float = 1.2) -> DataFrame:

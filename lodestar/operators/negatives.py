@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .samples import with_position
 from .vector import knn_join
 
 
@@ -19,19 +20,21 @@ def hard_negatives(queries: DataFrame, corpus: DataFrame, top: int = 10, skip: i
     return near.filter(F.col("rank") > skip).withColumn("pick", F.row_number().over(pick)).filter(F.col("pick") <= n).select("qid", "id", "rank", "pick")
 
 
-def easy_negatives(samples: DataFrame, n: int = 3, seed: int = 0, pool: int = 64) -> DataFrame:
-    """n distinct contents of other rows for each of (id, contents): id, contents, pick.
+def easy_negatives(samples: DataFrame, n: int = 3, seed: int = 0) -> DataFrame:
+    """n distinct contents of other rows for each of (id, contents), all others if they are fewer: id, contents, pick.
 
-    Contents are laid on a ring by hash. A row's negatives are the n contents next after its own hash of (id, seed) in its
-    bucket, so each row meets `pool` contents and not the whole table.
+    Distinct contents lie on a ring in the order of their hashes; a row takes those from the place that its id's hash names on, its
+    own left out. Places are joined by equality: each row meets n + 1 contents, whatever the table's size.
     """
     distinct = samples.select("contents").filter("contents IS NOT NULL").distinct()
-    buckets = max(1, distinct.count() // pool)
-    bucket = lambda h: F.conv(F.substring(h, 1, 12), 16, 10).cast("long") % buckets
-    ring = distinct.withColumn("bucket", bucket(hash_order(F.col("contents"), seed=seed))).withColumnRenamed("contents", "other")
-    asked = samples.withColumn("bucket", bucket(hash_order(F.col("id"), seed=seed)))
-    met = asked.join(ring, "bucket").filter(F.col("other") != F.col("contents"))
-    pick = Window.partitionBy("id").orderBy(hash_order(F.col("id"), F.col("other"), seed=seed))
+    ring = with_position(distinct.withColumn("h_", hash_order(F.col("contents"), seed=seed)), "h_").select(F.col("contents").alias("other"), "position")
+    m = ring.count()
+    if m == 0:
+        return samples.select("id", "contents", F.lit(1).alias("pick")).filter("false")
+    start = F.conv(F.substring(hash_order(F.col("id"), seed=seed), 1, 12), 16, 10).cast("long") % m
+    asked = samples.select("id", "contents", start.alias("start"), F.explode(F.sequence(F.lit(0), F.lit(min(n + 1, m) - 1))).alias("step"))
+    met = asked.withColumn("position", (F.col("start") + F.col("step")) % m).join(ring, "position").filter(~F.col("other").eqNullSafe(F.col("contents")))
+    pick = Window.partitionBy("id").orderBy("step")
     return met.withColumn("pick", F.row_number().over(pick)).filter(F.col("pick") <= n).select("id", F.col("other").alias("contents"), "pick")
 
 

@@ -97,8 +97,7 @@ def preference_loss(margin: Column, reference: Column | None = None, beta: float
     d = margin if reference is None else margin - reference
     if kind == "ipo":
         return (d - 1 / (2 * beta)) * (d - 1 / (2 * beta))
-    log_sigmoid = lambda x: -F.log1p(F.exp(-x))
-    return -(1 - smoothing) * log_sigmoid(beta * d) - smoothing * log_sigmoid(-beta * d)
+    return (1 - smoothing) * softplus(-beta * d) + smoothing * softplus(beta * d)
 
 
 def softmean(rows: DataFrame, value: str, beta: float) -> DataFrame:
@@ -131,3 +130,58 @@ def ready_rows(store: DataFrame, fields: list[str], consumed: DataFrame | None =
     if consumed is not None:
         ready = ready.join(consumed.filter(F.col("task") == task).select("row_id"), "row_id", "left_anti")
     return ready.select("row_id", *fields)
+
+
+def token_rloo(rows: DataFrame, group: str, rewards: str, mask: str, outcome: str, weight: float, outcome_weight: float) -> DataFrame:
+    """rows with returns: leave-one-out token rewards and outcomes of a group, weighted, summed from the end under the mask.
+
+    Token rewards are set against the group's mean rewards under the mask, outcomes, which count at the last place under the mask, against
+    the group's outcomes; each sum of means is divided by n - 1, each own value multiplied by n / (n - 1). A group of one has none.
+    """
+    on = lambda x, m: F.when(m > 0, x).otherwise(F.lit(0.0))
+    sums = rows.withColumn("held_", F.aggregate(F.col(mask), F.lit(0.0), lambda a, m: a + F.when(m > 0, 1.0).otherwise(0.0)))
+    own = F.aggregate(F.zip_with(rewards, mask, on), F.lit(0.0), lambda a, x: a + x)
+    sums = sums.withColumn("mean_", F.coalesce(F.try_divide(own, F.col("held_")), F.lit(0.0)))
+    w = Window.partitionBy(group)
+    n = F.count("*").over(w)
+    base = sums.withColumn("n_", n).withColumn("b_", F.sum("mean_").over(w)).withColumn("o_", F.sum(outcome).over(w))
+    scaled = lambda x, total: F.when(F.col("n_") > 1, (x * F.col("n_") - total) / (F.col("n_") - 1)).otherwise(F.lit(0.0))
+    last = F.array_max(F.transform(mask, lambda m, i: F.when(m > 0, i)))
+    tokens = F.zip_with(rewards, F.transform(mask, lambda m, i: F.struct(m.alias("m"), (i == last).alias("end"))), lambda r, s: on(weight * scaled(r, F.col("b_")) + F.when(s["end"], outcome_weight * scaled(F.col(outcome), F.col("o_"))).otherwise(F.lit(0.0)), s["m"]))
+    summed = F.aggregate(F.reverse(tokens), F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("all")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.array_append(a["all"], a["s"] + x).alias("all")), lambda a: F.reverse(a["all"]))
+    return base.withColumn("returns", summed).drop("held_", "mean_", "n_", "b_", "o_")
+
+
+def contrast_loss(rows: DataFrame, beta: float = 1.0) -> DataFrame:
+    """(uid, score, acc) rows with loss: -log sigmoid of the score against the mean of worse peers (acc > 0) or better ones, 0 without any.
+
+    Means are running sums by acc less those of equal acc: no pairs are made.
+    """
+    def outside(order: Column) -> Column:
+        along = Window.partitionBy("uid").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+        same = Window.partitionBy("uid", "acc")
+        return F.try_divide(F.sum("score").over(along) - F.sum("score").over(same), F.count("*").over(along) - F.count("*").over(same))
+
+    other = F.coalesce(F.when(F.col("acc") > 0, outside(F.col("acc").asc())).otherwise(outside(F.col("acc").desc())), F.lit(0.0))
+    margin = beta * (F.col("score") - other) * F.when(F.col("acc") > 0, 1.0).otherwise(-1.0)
+    return rows.withColumn("loss", softplus(-margin))
+
+
+def softplus(x: Column) -> Column:
+    """ln(1 + e^x) without overflow."""
+    return F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))
+
+
+def sppo_loss(logp: Column, old: Column, mask: Column, reward: Column, eta: float = 1.0) -> Column:
+    """Squared difference of the summed log ratio under the mask and the scaled reward; null without a place under the mask."""
+    ratio = F.aggregate(F.zip_with(F.zip_with(logp, old, lambda a, b: a - b), mask, lambda d, m: d * m), F.lit(0.0), lambda a, x: a + x)
+    return F.when(F.exists(mask, lambda m: m > 0), (ratio - eta * reward) * (ratio - eta * reward))
+
+
+def last_reply(turns: DataFrame, truth: DataFrame, score) -> DataFrame:
+    """(conv_id, turn, role, text) and (conv_id, truth) -> conv_id, response, reward, reply, done: the last assistant message graded."""
+    last = turns.groupBy("conv_id").agg(F.max_by("text", F.when(F.col("role") == "assistant", F.col("turn"))).alias("response"))
+    graded = last.join(truth, "conv_id").withColumn("response", F.coalesce("response", F.lit(""))).withColumn("reward", score(F.col("response"), F.col("truth")))
+    right = F.col("reward") == 1.0
+    reply = F.when(right, F.lit("Your response is correct!")).otherwise(F.lit("Your response is incorrect! You need to reflect on your answer and try again."))
+    return graded.select("conv_id", "response", "reward", reply.alias("reply"), right.alias("done"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import date_number
+from ..functions.text import date_number, strip
+from ..sources.scratch import written
 
 SYSTEM = "Answer the question step by step."
 
@@ -46,8 +47,12 @@ def ordered_split(rows: DataFrame, order: str, ratio: float, head: int | None =
 
 
 def with_position(rows: DataFrame, order: str) -> DataFrame:
-    """rows with position, 0-based in order: counts by partition of a range partitioning, then row numbers within."""
-    parted = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id()).withColumn("in_part_", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    """rows with position, 0-based in order: counts by partition of a range partitioning, then row numbers within.
+
+    The partitioned rows are written once: the counts and the numbers come from the same partitions, whatever is planned anew.
+    """
+    numbered = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("part_", F.spark_partition_id()).withColumn("in_part_", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
+    parted = written(numbered, "positions")
     counts = parted.groupBy("part_").agg((F.max("in_part_") + 1).alias("n_"))
     before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
     return parted.join(F.broadcast(before), "part_").withColumn("position", F.col("before_") + F.col("in_part_")).drop("part_", "in_part_", "before_")
@@ -113,7 +118,7 @@ def transcript_messages(text: Column) -> Column:
     """A transcript with <code>, <interpreter> and <answer> elements as messages: assistant, and tool for interpreter output."""
     pieces = F.regexp_extract_all(text, F.lit(r"(?s)(<code>.*?</code>|<interpreter>.*?</interpreter>|<answer>.*?</answer>|(?:(?!<code>|<interpreter>|<answer>).)+)"), 1)
     role = lambda p: F.when(p.startswith("<interpreter>"), F.lit("tool")).otherwise(F.lit("assistant"))
-    body = lambda p: F.trim(F.regexp_replace(p, r"^<(code|interpreter|answer)>|</(code|interpreter|answer)>$", ""))
+    body = lambda p: strip(F.regexp_replace(p, r"^<(code|interpreter|answer)>|</(code|interpreter|answer)>$", ""))
     return F.filter(F.transform(pieces, lambda p: F.struct(role(p).alias("role"), body(p).alias("content"))), lambda m: m["content"] != "")
 
 

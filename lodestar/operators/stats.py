@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import masked_sum, total
+from .samples import with_position
 
 
 def group_mean_std(rows: DataFrame, group: str, score: str, eps: float = 1e-6) -> DataFrame:
@@ -18,8 +21,33 @@ def group_mean_std(rows: DataFrame, group: str, score: str, eps: float = 1e-6) -
 
 
 def label_codes(rows: DataFrame, label: str) -> DataFrame:
-    """label -> code, contiguous from 0 in the labels' order; one row a distinct label."""
-    return rows.select(label).distinct().withColumn("code", F.dense_rank().over(Window.orderBy(label)) - 1)
+    """label -> code, contiguous from 0 in the labels' order; one row a distinct label, however many there are."""
+    return with_position(rows.select(label).distinct(), label).withColumnRenamed("position", "code")
+
+
+def group_index(rows: DataFrame, label: str, near: float = 1e-6) -> DataFrame:
+    """label -> index: whole numbers, floats that are all near them and numerals as those numbers, any other labels by label_codes().
+
+    Labels held as text of different kinds stay apart: "1" and "1.0" are numerals only if all labels are whole numerals.
+    """
+    kind = rows.schema[label].dataType.typeName()
+    distinct = rows.select(label).distinct()
+    if kind in ("byte", "short", "integer", "long", "boolean"):
+        return distinct.withColumn("index", F.col(label).cast("long"))
+    number = F.col(label).cast("double") if kind in ("float", "double", "decimal") else F.when(F.trim(label).rlike(r"^[+-]?[0-9]+$"), F.trim(label).try_cast("double"))
+    whole = F.coalesce(F.abs(number - F.rint(number)) <= near, F.lit(False))
+    if kind != "string" and kind not in ("float", "double", "decimal") or not distinct.agg(F.coalesce(F.bool_and(whole), F.lit(True))).first()[0]:
+        return label_codes(rows, label).withColumnRenamed("code", "index")
+    return distinct.withColumn("index", F.rint(number).cast("long"))
+
+
+def outcome_shares(rows: DataFrame, ok: Column) -> DataFrame:
+    """One row: total, success, failure and both as percentages of the total; a null outcome is a failure."""
+    good = F.count_if(F.coalesce(ok, F.lit(False)))
+    counted = rows.agg(F.count("*").alias("total"), good.alias("success"))
+    share = lambda c: F.coalesce(F.try_divide(F.lit(100.0) * c, F.col("total")), F.lit(0.0))
+    failure = F.col("total") - F.col("success")
+    return counted.select("total", "success", failure.alias("failure"), share(F.col("success")).alias("success_pct"), share(failure).alias("failure_pct"))
 
 
 def masked_moments(rows: DataFrame, value: str, mask: str) -> DataFrame:
@@ -92,39 +120,59 @@ def majority_value(rows: DataFrame, group: list[str], vote: str, value: str, pos
     return best.select(*group, F.col("b.vote").alias(vote), F.col("b.value").alias(value))
 
 
+@cache
+def _picks(n: int, size: int, n_bootstrap: int, seed: int) -> np.ndarray:
+    return np.random.RandomState(seed).choice(n, size=(n_bootstrap, size), replace=True)
+
+
+def _rolled(x: np.ndarray, codes: np.ndarray, n_bootstrap: int, seed: int) -> dict[str, np.ndarray]:
+    """The metrics of groups of n values each, (groups, n): draws depend on n alone, so they are made once for all groups."""
+    g, n = x.shape
+    out = {f"mean@{n}": x.mean(1), f"std@{n}": x.std(1)}
+    sizes = [2**k for k in range(1, n.bit_length()) if 2**k < n] + ([n] if n > 1 else [])
+    voted = np.maximum(codes, 0)
+    kinds = int(voted.max(initial=0)) + 1
+    votes = (codes[:, :, None] == np.arange(kinds)).astype(np.float32)
+    for size in sizes:
+        picks = _picks(n, size, n_bootstrap, seed)
+        times = np.zeros((n_bootstrap, n), np.float32)
+        np.add.at(times, (np.arange(n_bootstrap)[:, None], picks), 1)
+        step = max(1, (8 << 20) // picks.size)
+        for a in range(0, g, step):
+            b = min(a + step, g)
+            drawn = x[a:b][:, picks]
+            counts = times @ votes[a:b]  # of each kind in each draw
+            own = voted[a:b][:, picks]
+            often = np.take_along_axis(counts, own, 2) * (codes[a:b][:, picks] >= 0)
+            at = np.argmax(often == often.max(2, keepdims=True), axis=2)  # the first of the most frequent
+            voted_for = np.take_along_axis(drawn, at[:, :, None], 2)[:, :, 0]
+            for name, v in (("best", drawn.max(2)), ("worst", drawn.min(2)), ("maj", voted_for)):
+                for what, f in (("mean", v.mean(1)), ("std", v.std(1))):
+                    out.setdefault(f"{name}@{size}/{what}", np.empty(g))[a:b] = f
+    return out
+
+
 def validation_rollup(rows: DataFrame, seed: int = 42, n_bootstrap: int = 1000) -> DataFrame:
     """(source, uid, value, pred, position) -> source, metric, value: mean@N, std@N, best/worst/maj@n for n = 2, 4 .. N, over uids.
 
-    A uid's responses are one group, as many as were drawn for a prompt.
+    A uid's responses are one group, as many as were drawn for a prompt: an array a row. Groups of equal size are reduced together.
     """
-
-    def one(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("position")
-        x, preds = f["value"].to_numpy(float), f["pred"].to_numpy()
-        n = len(x)
-        out = {f"mean@{n}": x.mean(), f"std@{n}": x.std()}
-        sizes, k = [], 2
-        while k < n:
-            sizes.append(k)
-            k *= 2
-        if n > 1:
-            sizes.append(n)
-        codes = pd.factorize(preds)[0]
-        for size in sizes:
-            best, worst = bootstrap(x, size, [lambda d: d.max(1), lambda d: d.min(1)], n_bootstrap, seed)
-            for name, (m, s) in (("best", best), ("worst", worst)):
-                out[f"{name}@{size}/mean"], out[f"{name}@{size}/std"] = m, s
-            rng = np.random.RandomState(seed)
-            picks = rng.choice(n, size=(n_bootstrap, size), replace=True)
-            own = codes[picks]
-            counts = (own[:, :, None] == np.arange(codes.max() + 1)).sum(1)
-            often = np.take_along_axis(counts, np.maximum(own, 0), 1) * (own >= 0)
-            at = np.argmax(often == often.max(1, keepdims=True), axis=1)  # the first of the most frequent
-            firsts = x[picks[np.arange(n_bootstrap), at]]
-            out[f"maj@{size}/mean"], out[f"maj@{size}/std"] = float(np.mean(firsts)), float(np.std(firsts))
-        return pd.DataFrame({"source": [key[0]] * len(out), "metric": list(out), "value": list(out.values())})
-
-    return rows.groupBy("source", "uid").applyInPandas(one, "source string, metric string, value double").groupBy("source", "metric").agg(F.avg("value").alias("value"))
+    listed = F.array_sort(F.collect_list(F.struct("position", F.col("value").cast("double").alias("value"), F.col("pred").cast("string").alias("pred"))))
+    groups = rows.groupBy("source", "uid").agg(listed.alias("l")).select("source", F.col("l.value").alias("x"), F.col("l.pred").alias("p"))
+
+    def run(frames):
+        for f in frames:
+            sources, xs = f["source"].to_numpy(), [np.asarray(v, float) for v in f["x"]]
+            codes = [pd.factorize(np.asarray(p, object))[0] for p in f["p"]]
+            sizes = np.array(list(map(len, xs)), np.int64)
+            for n in np.unique(sizes):
+                at = np.flatnonzero(sizes == n)
+                got = _rolled(np.stack([xs[i] for i in at]), np.stack([codes[i] for i in at]), n_bootstrap, seed)
+                for metric, values in got.items():
+                    yield pd.DataFrame({"source": sources[at], "metric": metric, "value": values})
+
+    each = groups.mapInPandas(run, "source string, metric string, value double")
+    return each.groupBy("source", "metric").agg(F.avg("value").alias("value"))
 
 
 def section(metric: Column, core: Column) -> Column:

@@ -56,7 +56,7 @@ def inverted_index(spark, sf):
 
 def knn_sql(k: int, score: str, direction: str, where: str = "true", extra: str = "") -> str:
     return f"""
-q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 20),
+q AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0),
 c AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings WHERE {where}),
 s AS (SELECT qid, id, {score} AS score FROM q JOIN c ON {extra or 'true'}),
 near AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) {direction}, id)::INT AS rank FROM s QUALIFY rank <= {k})"""
@@ -68,7 +68,7 @@ L2 = "list_sum(list_transform(list_zip(q.e, c.e), lambda z: (z[1] - z[2]) ** 2))
 
 def _vectors(spark, sf):
     e = table(spark, sf, "embeddings")
-    return e.filter("vec_id < 20").select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding", "label")
+    return e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), "embedding"), e.select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
 @query("dense_topk_ip", f"WITH {knn_sql(5, IP, 'DESC')} SELECT qid, rank, id, round(score, 6) AS score FROM near")
@@ -105,13 +105,14 @@ def ivf_search(spark, sf):
     return vector.ivf_search(q, vector.assign(c, centroids), centroids, 5, 10)
 
 
+#: Queries are every fiftieth vector and every benchmark text: an id that is both has both lists.
 #: Dense and lexical lists meet on vec_id = doc_id, a convention of these tables: they have no other common key.
-HYBRID = f"{bm25_ctes()}, {knn_sql(10, IP, 'DESC')}, lists AS (SELECT qid, id, 0.5 / (60 + rank) AS s FROM near UNION ALL SELECT qid, id, 0.5 / (60 + rank) FROM lex WHERE rank <= 10 AND qid < 20), fused AS (SELECT qid, id, sum(s) AS score FROM lists GROUP BY qid, id), hits AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id)::INT AS rank FROM fused QUALIFY rank <= 10)"
+HYBRID = f"{bm25_ctes()}, {knn_sql(10, IP, 'DESC')}, lists AS (SELECT qid, id, 0.5 / (60 + rank) AS s FROM near UNION ALL SELECT qid, id, 0.5 / (60 + rank) FROM lex WHERE rank <= 10), fused AS (SELECT qid, id, sum(s) AS score FROM lists GROUP BY qid, id), hits AS (SELECT qid, id, score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, id)::INT AS rank FROM fused QUALIFY rank <= 10)"
 
 
 def _hybrid(spark, sf):
     q, c = _vectors(spark, sf)
-    lex = _bm25(spark, sf).filter("qid < 20").withColumnRenamed("doc_id", "id")
+    lex = _bm25(spark, sf).withColumnRenamed("doc_id", "id")
     return fusion.rrf(vector.knn_join(q, c, 10), lex, 10)
 
 
@@ -140,7 +141,7 @@ def ranking_eval_planted(spark, sf):
     asked = _asked(spark, sf).withColumn("lead", lead(F.col("text")))
     w = F.split("text", r"[ \n]")
     grams = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 5), " ")))).alias("lead"))
-    found = grams.join(F.broadcast(asked), "lead").filter(F.contains("whole", F.col("text"))).groupBy("qid").agg(F.min("doc_id").alias("id"))
+    found = grams.join(lexical.small(asked), "lead").filter(F.contains("whole", F.col("text"))).groupBy("qid").agg(F.min("doc_id").alias("id"))
     truth = asked.select("qid").join(found, "qid", "left")
     got = fusion.evaluate_ranking(truth, _bm25(spark, sf).withColumnRenamed("doc_id", "id"))
     return got.select("n", "n_usable", *[r6(c).alias(c) for c in ("top3", "top5", "mrr")])
@@ -167,11 +168,10 @@ def hard_negatives(spark, sf):
 
 EASY = """
 b AS (SELECT item_id AS id, text AS contents FROM benchmark),
-d AS (SELECT DISTINCT contents AS other FROM b),
-k AS (SELECT greatest(1, count(*) // 64) AS n FROM d),
-ring AS (SELECT other, ('0x' || substr(md5(other || '|0'), 1, 12))::BIGINT % n AS bucket FROM d, k),
-want AS (SELECT id, contents, ('0x' || substr(md5(id || '|0'), 1, 12))::BIGINT % n AS bucket FROM b, k),
-easy AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY md5(id || '|' || other || '|0'))::INT AS pick FROM want JOIN ring USING (bucket) WHERE other <> contents QUALIFY pick <= 3)"""
+ring AS (SELECT contents AS other, row_number() OVER (ORDER BY md5(contents || '|0')) - 1 AS p FROM (SELECT DISTINCT contents FROM b WHERE contents IS NOT NULL)),
+k AS (SELECT count(*) AS m FROM ring),
+want AS (SELECT id, contents, m, ('0x' || substr(md5(id || '|0'), 1, 12))::BIGINT % m AS start, unnest(range(least(4, m))) AS step FROM b, k),
+easy AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY step)::INT AS pick FROM want JOIN ring ON p = (start + step) % m WHERE other IS DISTINCT FROM contents QUALIFY pick <= 3)"""
 
 
 @query("easy_negatives", f"WITH {EASY} SELECT id, other AS contents, pick FROM easy")
@@ -257,16 +257,16 @@ def rl_sample(spark, sf):
     return s.select("data_source", F.col("extra_info.index").alias("index"), F.md5(F.col("prompt")[1]["content"]).alias("question"), F.col("reward_model.ground_truth").alias("ground_truth"))
 
 
-PREF = "p AS (SELECT a.doc_id AS id, a.lang AS prompt, left(a.text, 20) AS chosen, left(b.text, 20) AS rejected FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id WHERE l.quality = 1)"
+PREF = "p AS (SELECT a.doc_id AS id, a.lang AS prompt, a.text AS chosen, b.text AS rejected FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 JOIN labels l ON l.doc_id = a.doc_id WHERE l.quality = 1)"
 
 
-@query("preference_explode", f"WITH {PREF} SELECT id, prompt, 0 AS place, chosen AS response FROM p UNION ALL SELECT id, prompt, 1, rejected FROM p")
+@query("preference_explode", f"WITH {PREF} SELECT id, prompt, 0 AS place, md5(chosen) AS response FROM p UNION ALL SELECT id, prompt, 1, md5(rejected) FROM p")
 def preference_explode(spark, sf):
     d = table(spark, sf, "documents")
     good = table(spark, sf, "labels").filter("quality = 1").select("doc_id")
-    a = d.select("doc_id", F.col("doc_id").alias("id"), F.col("lang").alias("prompt"), F.left("text", F.lit(20)).alias("chosen")).join(good, "doc_id", "left_semi")
-    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.left("text", F.lit(20)).alias("rejected"))
-    return samples.preference_rows(a.join(b, "doc_id")).select("id", "prompt", "place", "response")
+    a = d.select("doc_id", F.col("doc_id").alias("id"), F.col("lang").alias("prompt"), F.col("text").alias("chosen")).join(good, "doc_id", "left_semi")
+    b = d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("rejected"))
+    return samples.preference_rows(a.join(b, "doc_id")).select("id", "prompt", "place", F.md5("response").alias("response"))
 
 
 @query("dedupe_prompt", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
@@ -296,10 +296,10 @@ def hash_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.when(h < "d", "train").otherwise("validation").alias("split"))
 
 
-@query("content_parts", "SELECT item_id, 3::BIGINT AS parts, 1::BIGINT AS images FROM benchmark")
+@query("content_parts", "SELECT item_id, 'text:' || md5('see ') || ' image: text:' || md5(text || ' ') || ' video:' AS parts FROM benchmark")
 def content_parts(spark, sf):
-    p = samples.content_parts(F.concat(F.lit("see "), F.lit("<image>"), F.col("text")))
-    return table(spark, sf, "benchmark").select("item_id", F.size(p).cast("long").alias("parts"), F.size(F.filter(p, lambda x: x["type"] == "image")).cast("long").alias("images"))
+    p = samples.content_parts(F.concat(F.lit("see <image>"), F.col("text"), F.lit(" <video>")))
+    return table(spark, sf, "benchmark").select("item_id", F.array_join(F.transform(p, lambda x: F.concat(x["type"], F.lit(":"), F.coalesce(F.md5(x["text"]), F.lit("")))), " ").alias("parts"))
 
 
 @query("role_order", "WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system') SELECT conv_id, bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END) AS alternates FROM t GROUP BY conv_id")
@@ -308,23 +308,25 @@ def role_order(spark, sf):
     return m.filter(F.exists("messages", lambda x: x["role"] != "system")).select("conv_id", samples.roles_alternate(F.col("messages")).alias("alternates"))
 
 
-@query("transcript_messages", "SELECT item_id, 4::BIGINT AS n, 1::BIGINT AS tools FROM benchmark")
+@query("transcript_messages", "SELECT item_id, 'assistant=I will compute.|assistant=print(' || item_id || ')|tool=' || item_id || '|assistant=done' AS said FROM benchmark")
 def transcript_messages(spark, sf):
-    t = F.concat(F.lit("I will compute. <code>print("), F.col("item_id").cast("string"), F.lit(")</code><interpreter>"), F.col("item_id").cast("string"), F.lit("</interpreter><answer>done</answer>"))
-    m = samples.transcript_messages(t)
-    return table(spark, sf, "benchmark").select("item_id", F.size(m).cast("long").alias("n"), F.size(F.filter(m, lambda x: x["role"] == "tool")).cast("long").alias("tools"))
+    i = F.col("item_id").cast("string")
+    t = F.concat(F.lit("I will compute.\n<code>print("), i, F.lit(")</code><interpreter>\n"), i, F.lit("\n</interpreter><answer>done</answer>"))
+    said = F.array_join(F.transform(samples.transcript_messages(t), lambda x: F.concat(x["role"], F.lit("="), x["content"])), "|")
+    return table(spark, sf, "benchmark").select("item_id", said.alias("said"))
 
 
-@query("collapse_rows", "SELECT conv_id, count(*) + 1 AS n FROM conversations GROUP BY conv_id")
+@query("collapse_rows", """SELECT conv_id, md5('system:Answer the question step by step.|' || string_agg(role || ':' || text, '|' ORDER BY turn)) AS said, '{"origin":"synthetic","turns":' || count(*) || '}' AS extra FROM conversations GROUP BY conv_id""")
 def collapse_rows(spark, sf):
-    m = samples.messages(table(spark, sf, "conversations")).withColumn("origin", F.lit("synthetic"))
-    return samples.collapse(m, ["conv_id"], "messages").select("conv_id", F.size("messages").cast("long").alias("n"))
+    m = samples.messages(table(spark, sf, "conversations")).withColumn("origin", F.lit("synthetic")).withColumn("turns", F.size("messages"))
+    said = F.md5(F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit(":"), x["content"])), "|"))
+    return samples.collapse(m, ["conv_id"], "messages").select("conv_id", said.alias("said"), F.col("extra_info").alias("extra"))
 
 
-@query("multiple_choice", "WITH o AS (SELECT item_id, k, md5(item_id || '|' || k || '|0') AS h FROM benchmark, range(4) t(k)), r AS (SELECT item_id, k, row_number() OVER (PARTITION BY item_id ORDER BY h) AS i FROM o) SELECT item_id, substr('ABCD', i, 1) AS gold FROM r WHERE k = 0")
+@query("multiple_choice", "WITH o AS (SELECT item_id, k, md5(item_id || '|' || k || '|0') AS h FROM benchmark, range(4) t(k)), r AS (SELECT item_id, k, row_number() OVER (PARTITION BY item_id ORDER BY h) AS i FROM o) SELECT item_id, max(CASE WHEN k = 0 THEN substr('ABCD', i::INT, 1) END) AS gold, string_agg('rxyz'[k::INT + 1], '' ORDER BY i) AS choices FROM r GROUP BY item_id")
 def multiple_choice(spark, sf):
     b = table(spark, sf, "benchmark").select("item_id", F.lit("r").alias("r"), F.lit("x").alias("x"), F.lit("y").alias("y"), F.lit("z").alias("z"))
-    return samples.multiple_choice(b, "item_id", "r", ["x", "y", "z"]).select("item_id", "gold")
+    return samples.multiple_choice(b, "item_id", "r", ["x", "y", "z"]).select("item_id", "gold", F.array_join("choices", "").alias("choices"))
 
 
 @query("search_hybrid", f"WITH {HYBRID} SELECT qid, rank, id FROM hits")
@@ -332,5 +334,5 @@ def search_hybrid(spark, sf):
     from .search import search
 
     q, c = _vectors(spark, sf)
-    asked = q.join(_asked(spark, sf), "qid")
+    asked = q.join(_asked(spark, sf), "qid", "full_outer")
     return search(asked, 10, "hybrid", 0.5, c, lexical.build_index(table(spark, sf, "documents"))).select("qid", "rank", "id")

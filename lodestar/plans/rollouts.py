@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -13,6 +11,7 @@ from ..operators import recipes as R
 from ..operators import reshape as S
 from ..operators import stats
 from ..sources import jsonl
+from ..sources.scratch import scratch_path
 from ..streaming import queues
 from .base import query, r6, table
 
@@ -168,12 +167,12 @@ def value_loss(spark, sf):
     return t.select("uid", "pos", r6(ADV.value_loss(F.col("v"), F.col("m"), F.col("r"))).alias("loss"))
 
 
-@query("sequence_masks", f"WITH {SEQ} SELECT uid, count(*)::BIGINT AS n, 100::BIGINT AS padded, 10::BIGINT AS cut, sum(m * (pos - 1))::BIGINT AS positions, sum(m) FILTER (WHERE pos > 5)::BIGINT AS response FROM (SELECT *, max(pos) OVER (PARTITION BY uid) AS mp FROM tok) GROUP BY uid")
+@query("sequence_masks", f"WITH {SEQ} SELECT uid, count(*)::BIGINT AS n, round(sum(r) + 7.0 * greatest(0, 100 - count(*)), 6) AS padded, round(coalesce(sum(r) FILTER (WHERE pos <= 5 OR pos > mp - 5 OR mp <= 10), 0), 6) AS cut, sum(m * (pos - 1))::BIGINT AS positions, sum(m) FILTER (WHERE pos > 5)::BIGINT AS response FROM (SELECT *, max(pos) OVER (PARTITION BY uid) AS mp FROM tok) GROUP BY uid")
 def sequence_masks(spark, sf):
     n = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, v: a + v)
     s = sequences(spark, sf)
     head = F.slice("m", F.lit(6), F.size("m"))
-    return s.select("uid", F.size("r").cast("long").alias("n"), F.size(A.pad(F.col("r"), 100, 0.0)).cast("long").alias("padded"), F.size(A.truncate(F.col("r"), 10, "middle")).cast("long").alias("cut"), n(A.position_ids(F.col("m"))).alias("positions"), n(A.response_mask(F.col("m"), head)).alias("response"))
+    return s.select("uid", F.size("r").cast("long").alias("n"), r6(A.total(A.pad(F.col("r"), 100, 7.0))).alias("padded"), r6(A.total(A.truncate(F.col("r"), 10, "middle"))).alias("cut"), n(A.position_ids(F.col("m"))).alias("positions"), n(A.response_mask(F.col("m"), head)).alias("response"))
 
 
 @query("is_weights", f"WITH {SEQ} SELECT uid, round(sum(least(exp(greatest(least(a - b, 20), -20)), 1.01) * m), 6) AS w FROM tok GROUP BY uid")
@@ -246,12 +245,12 @@ def majority_value(spark, sf):
 
 @query("validation_rollup")
 def validation_rollup(spark, sf):
-    """The bootstrap draws from numpy's generator, which SQL has not: tested against a plain loop."""
+    """1,000 draws from numpy's generator, which SQL has not: every metric is tested against a plain loop."""
     rows = roll(spark, sf).select((F.col("uid") % 5).cast("string").alias("source"), (F.col("uid") * 100 + F.col("row_id") % 16).cast("string").alias("uid"), F.col("score").alias("value"), F.col("event_type").alias("pred"), F.col("row_id").alias("position"))
-    return stats.validation_rollup(rows, n_bootstrap=100)
+    return stats.validation_rollup(rows)
 
 
-@query("label_codes", "SELECT event_type, dense_rank() OVER (ORDER BY event_type)::INT - 1 AS code FROM (SELECT DISTINCT event_type FROM events)")
+@query("label_codes", "SELECT event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events)")
 def label_codes(spark, sf):
     return stats.label_codes(table(spark, sf, "events"), "event_type")
 
@@ -425,11 +424,7 @@ def ready_rows(spark, sf):
 
 # --- sources, sinks and streams: written to the shared folder, read back
 
-def _folder(spark, name: str) -> str:
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestar-')}"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+_folder = scratch_path
 
 
 @query("jsonl_scan", "SELECT doc_id::VARCHAR AS id, md5(text) AS contents FROM documents")
@@ -440,11 +435,11 @@ def jsonl_scan(spark, sf):
     return rows.filter(F.col(jsonl.BAD).isNull()).select("id", F.md5("contents").alias("contents"))
 
 
-@query("persona_scan", "SELECT count(*) AS n FROM benchmark")
+@query("persona_scan", "SELECT 'a reader of ' || item_id AS persona, chr(123) || chr(39) || 'persona' || chr(39) || ': ' || chr(39) || 'a reader of ' || item_id || chr(39) || chr(125) AS original FROM benchmark")
 def persona_scan(spark, sf):
     path = _folder(spark, "personas")
     table(spark, sf, "benchmark").select(F.concat(F.lit("{'persona': 'a reader of "), F.col("item_id").cast("string"), F.lit("'}")).alias("value")).write.text(path)
-    return jsonl.read_personas(spark, path).agg(F.count("*").alias("n"))
+    return jsonl.read_personas(spark, path).select("persona", "original")
 
 
 @query("append_resume", "SELECT n_nationkey, n_name FROM nation")

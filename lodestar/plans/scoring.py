@@ -11,28 +11,30 @@ from .base import query, r6, table
 
 #: A response a document, the same in both engines: think with steps, an answer with a box, now and then none.
 RESPONSE_SQL = """resp AS (SELECT doc_id, left(text, 12) AS lead,
-  CASE WHEN doc_id % 5 = 0 THEN 'no answer' ELSE '<think>Step 1: look at ' || left(lang, 2) || 'xx Step 2: add' || (doc_id % 9) || CASE WHEN doc_id % 4 = 0 THEN ' Step 3: ab' ELSE '' END || '</think>' ||
-  '<answer>The ' || source || CASE WHEN doc_id % 3 = 0 THEN ' <|box_start|>' || (doc_id % 7) || '<|box_end|>' ELSE '' END || '</answer>' END AS response, source, lang FROM documents)"""
+  CASE WHEN doc_id % 5 = 0 THEN 'no answer' ELSE '<think>Step 1: look at ' || left(lang, 2) || 'xx Step 2: add' || (doc_id % 9) || CASE WHEN doc_id % 4 = 0 THEN ' Step 3: ab' || chr(10) || chr(10) ELSE '' END || '</think>' ||
+  '<answer>' || chr(10) || 'The ' || source || CASE WHEN doc_id % 3 = 0 THEN ' <|box_start|>' || chr(9) || (doc_id % 7) || chr(10) || '<|box_end|>' ELSE '' END || chr(10) || '</answer>' END AS response, source, lang FROM documents)"""
 
 
 def responses(spark, sf):
     d, i = table(spark, sf, "documents"), F.col("doc_id")
     s = lambda x: (x if not isinstance(x, (str, int)) else F.lit(x)).cast("string")
-    third = F.when(i % 4 == 0, F.lit(" Step 3: ab")).otherwise("")
-    box = F.when(i % 3 == 0, F.concat(F.lit(" <|box_start|>"), s(i % 7), F.lit("<|box_end|>"))).otherwise("")
-    full = F.concat(F.lit("<think>Step 1: look at "), F.left("lang", F.lit(2)), F.lit("xx Step 2: add"), s(i % 9), third, F.lit("</think><answer>The "), F.col("source"), box, F.lit("</answer>"))
+    third = F.when(i % 4 == 0, F.lit(" Step 3: ab\n\n")).otherwise("")
+    box = F.when(i % 3 == 0, F.concat(F.lit(" <|box_start|>\t"), s(i % 7), F.lit("\n<|box_end|>"))).otherwise("")
+    full = F.concat(F.lit("<think>Step 1: look at "), F.left("lang", F.lit(2)), F.lit("xx Step 2: add"), s(i % 9), third, F.lit("</think><answer>\nThe "), F.col("source"), box, F.lit("\n</answer>"))
     return d.select("doc_id", F.when(i % 5 == 0, F.lit("no answer")).otherwise(full).alias("response"), "source", "lang")
 
 
-NORM = r"""trim(regexp_replace(regexp_replace(translate(lower({0}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{|}}~', ''), '\b(a|an|the)\b', ' ', 'g'), '\s+', ' ', 'g'))"""
+#: Articles between characters that are no letters or digits of any language; twice, for articles next to each other.
+ARTICLE = r"""'(^|[^\p{{L}}\p{{N}}_])(a|an|the)($|[^\p{{L}}\p{{N}}_])', '\1 \3', 'g'"""
+NORM = rf"""trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({{0}}), '!"#$%&''()*+,-./:;<=>?@[\]^_`{{{{|}}}}~', ''), {ARTICLE}), {ARTICLE}), '\s+', ' ', 'g'))"""
 
 
-@query("qa_normalize", f"SELECT doc_id, md5({NORM.format('left(text, 300)')}) AS n FROM documents WHERE lang = 'en'")
+@query("qa_normalize", f"SELECT doc_id, md5({NORM.format('text')}) AS n FROM documents")
 def qa_normalize(spark, sf):
-    return table(spark, sf, "documents").filter("lang = 'en'").select("doc_id", F.md5(T.normalize_answer(F.left("text", F.lit(300)))).alias("n"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(T.normalize_answer("text")).alias("n"))
 
 
-ANSWER = "list_extract(list_transform(regexp_extract_all(response, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x)), -1)"
+ANSWER = "list_extract(list_transform(regexp_extract_all(response, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x, ' ' || chr(9) || chr(10))), -1)"
 
 
 @query("em_score", f"WITH {RESPONSE_SQL}, a AS (SELECT *, {ANSWER} AS answer FROM resp) SELECT doc_id, answer, CASE WHEN answer IS NULL THEN 0.0 WHEN {NORM.format('answer')} = {NORM.format('source')} THEN 1.0 ELSE 0.1 END::DOUBLE AS em, CASE WHEN answer IS NULL THEN 0.0 WHEN contains({NORM.format('answer')}, {NORM.format('source')}) THEN 1.0 ELSE 0.1 END::DOUBLE AS subem FROM a")
@@ -46,7 +48,7 @@ def semantic_score(spark, sf):
     return responses(spark, sf).select("doc_id", r6(T.semantic_score("response", (F.col("doc_id") % 10) / 10)).alias("score"))
 
 
-STEPS = "list_filter(list_transform((regexp_split_to_array(regexp_extract(response, '(?s)<think>(.*?)</think>', 1), 'Step\\s*\\d+\\s*[：:]\\s*'))[2:], lambda x: trim(x)), lambda x: x <> '')"
+STEPS = "list_filter(list_transform((regexp_split_to_array(regexp_extract(response, '(?s)<think>(.*?)</think>', 1), 'Step\\s*\\d+\\s*[：:]\\s*'))[2:], lambda x: trim(x, ' ' || chr(9) || chr(10))), lambda x: x <> '')"
 
 
 @query("process_format", f"WITH {RESPONSE_SQL} SELECT doc_id, len({STEPS})::INT AS n_steps, len(list_filter({STEPS}, lambda x: length(x) > 3))::INT AS n_valid, round(CASE WHEN response = 'no answer' THEN 0 ELSE 0.7 + CASE WHEN doc_id % 3 = 0 THEN 0.3 ELSE 0 END END, 6)::DOUBLE AS format, CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 AND doc_id % 7 = 3 THEN 1.0 ELSE 0.0 END::DOUBLE AS answer FROM resp")
@@ -105,9 +107,9 @@ def clean_contents(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.md5(T.clean_contents("text")).alias("c"))
 
 
-@query("clean_title", "SELECT item_id, md5('Make tea. ' || replace(trim(left(trim(text), 50)), '  ', ' ')) AS c FROM benchmark")
+@query("clean_title", r"SELECT item_id, md5('Make tea. ' || replace(regexp_replace(trim(text), '\[.*?\]', '', 'g'), '  ', ' ')) AS c FROM benchmark")
 def clean_title(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", F.md5(T.clean_title(F.concat(F.lit("Make tea [title] [step]"), F.left(F.trim("text"), F.lit(50))))).alias("c"))
+    return table(spark, sf, "benchmark").select("item_id", F.md5(T.clean_title(F.concat(F.lit("Make tea [title] [step]"), F.trim("text")))).alias("c"))
 
 
 @query("reply_fields", """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'plain' ELSE 'q' || event_id END AS query FROM events""")
@@ -123,11 +125,17 @@ def code_blocks(spark, sf):
     return table(spark, sf, "events").select("event_id", T.code_block(text).alias("code"), r6(G.pass_rate(results)).alias("rate"))
 
 
-@query("boxed_score", "SELECT event_id, '{' || event_id || '}^{2}' AS box, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS verdict FROM events")
+@query("boxed_score", "SELECT event_id, '{' || event_id || '}^{2}' AS box, CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS verdict, repeat('{', (event_id % 40)::INT) || event_id || repeat('}', (event_id % 40)::INT) AS deep, 300 AS long, CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'x' || chr(10) END AS last FROM events")
 def boxed_score(spark, sf):
-    text = F.concat(F.lit("first \\boxed{1}, then \\boxed{{"), F.col("event_id").cast("string"), F.lit("}^{2}} end"))
-    judge = F.when(F.col("event_id") % 2 == 0, F.lit("\\boxed{True}")).otherwise("\\boxed{False}")
-    return table(spark, sf, "events").select("event_id", G.last_boxed(text).alias("box"), G.verdict(judge).alias("verdict"))
+    """Boxes whose braces nest up to 40 deep, one of a hundred inner pairs, one that is never closed where event_id divides by 3."""
+    i = F.col("event_id").cast("string")
+    text = F.concat(F.lit("first \\boxed{1}, then \\boxed{{"), i, F.lit("}^{2}} end"))
+    judge = F.when(F.col("event_id") % 2 == 0, F.lit("\\boxed{\nTrue }")).otherwise("\\boxed{False}")
+    n = (F.col("event_id") % 40).cast("int")
+    deep = F.concat(F.lit("so \\boxed{"), F.repeat(F.lit("{"), n), i, F.repeat(F.lit("}"), n), F.lit("} end}"))
+    long = F.concat(F.lit("\\fbox{"), F.repeat(F.lit("{1}"), F.lit(100)), F.lit("}"))
+    last = F.concat(F.lit("\\boxed{1} \\boxed{x\n"), F.when(F.col("event_id") % 3 == 0, F.lit("{}")).otherwise(F.lit("}")))
+    return table(spark, sf, "events").select("event_id", G.last_boxed(text).alias("box"), G.verdict(judge).alias("verdict"), G.last_boxed(deep).alias("deep"), F.length(G.last_boxed(long)).alias("long"), G.last_boxed(last).alias("last"))
 
 
 @query("latex_equal", "SELECT event_id, true AS same, event_id % 9 = 3 AS other FROM events")
@@ -169,15 +177,51 @@ def token_amount(spark, sf):
     return table(spark, sf, "conversations").filter("turn > 0").groupBy("conv_id").agg(F.sum(F.size(T.words("text"))).alias("tokens"))
 
 
-@query("letter_counts", "SELECT 200::BIGINT AS n, 200::BIGINT AS right_ones")
+LETTERS_SQL = """w AS (SELECT i AS id, translate(substr(md5('0|' || i), 1, 10), '0123456789', 'aebtaesrae') AS word, substr('abcdef', (i % 6 + 1)::INT, 1) AS letter FROM range(200) t(i)),
+c AS (SELECT *, length(word) - length(replace(word, letter, '')) AS n FROM w)"""
+
+
+@query("letter_counts", f"""WITH {LETTERS_SQL} SELECT id, 'How many ' || letter || ' are in ' || word || '?' AS prompt,
+md5(list_reduce(list_transform(string_split(word, ''), lambda x: x || CASE WHEN x = letter THEN ': yes' ELSE ': no' END), lambda a, x: a || '; ' || x) || '; \\boxed{{' || n || '}}') AS response, n::VARCHAR AS truth, 1.0::DOUBLE AS score FROM c""")
 def letter_counts(spark, sf):
     from ..operators import samples
 
-    made = samples.letter_counts(spark, 200).withColumn("s", G.letter_count_score(F.col("response"), F.col("truth")))
-    return made.agg(F.count("*").alias("n"), F.sum("s").cast("long").alias("right_ones"))
+    made = samples.letter_counts(spark, 200)
+    return made.select("id", "prompt", F.md5("response").alias("response"), "truth", G.letter_count_score(F.col("response"), F.col("truth")).alias("score"))
+
+
+#: A text without its third word and with its first word once more, against the text.
+BLEU_SQL = r"""t AS (SELECT item_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS r FROM benchmark),
+u AS (SELECT item_id, r, list_concat(list_concat(r[1:2], r[4:]), r[1:1]) AS c FROM t),
+g AS (SELECT item_id, n, 'c' AS side, unnest(list_transform(range(1, len(c) - n + 2), lambda i: array_to_string(c[i : i + n - 1], ' '))) AS gram FROM u, range(1, 5) k(n)
+  UNION ALL SELECT item_id, n, 'r', unnest(list_transform(range(1, len(r) - n + 2), lambda i: array_to_string(r[i : i + n - 1], ' '))) FROM u, range(1, 5) k(n)),
+m AS (SELECT item_id, n, gram, count(*) FILTER (WHERE side = 'c') AS nc, count(*) FILTER (WHERE side = 'r') AS nr FROM g GROUP BY ALL),
+p AS (SELECT item_id, n, sum(least(nc, nr)) AS hits, sum(nc) AS own FROM m GROUP BY ALL),
+s AS (SELECT item_id, exp(avg(ln((hits + CASE WHEN n > 1 THEN 1 ELSE 0 END) / (own + CASE WHEN n > 1 THEN 1 ELSE 0 END)))) AS s FROM p GROUP BY item_id)"""
 
 
-@query("bleu", "SELECT item_id, 1.0::DOUBLE AS own, 0.0::DOUBLE AS other FROM benchmark")
+@query("bleu", f"WITH {BLEU_SQL} SELECT item_id, round(s * least(1.0, exp(1 - len(r)::DOUBLE / len(c))), 6) AS bleu, 1.0::DOUBLE AS own, 0.0::DOUBLE AS other FROM s JOIN u USING (item_id)")
 def bleu(spark, sf):
-    """A text against itself is 1, against other words 0; smoothing is tested by hand."""
-    return table(spark, sf, "benchmark").select("item_id", r6(T.bleu(F.col("text"), F.col("text"))).alias("own"), r6(T.bleu(F.col("text"), F.lit("0"))).alias("other"))
+    """A text without a word and with another twice, against itself and against other words; smoothing is tested by hand."""
+    w = T.words("text")
+    changed = F.array_join(F.concat(F.slice(w, 1, 2), F.slice(w, F.lit(4), F.greatest(F.size(w), F.lit(1))), F.slice(w, 1, 1)), " ")
+    return table(spark, sf, "benchmark").select("item_id", r6(T.bleu(changed, F.col("text"))).alias("bleu"), r6(T.bleu(F.col("text"), F.col("text"))).alias("own"), r6(T.bleu(F.col("text"), F.lit("0"))).alias("other"))
+
+
+@query("math_grade", "SELECT event_id, event_id % 9 = 3 AS fraction, event_id % 9 = 3 AS unit, event_id % 2 = 0 AS pair, true AS mixed FROM events")
+def math_grade(spark, sf):
+    """Answers with phrases, units, mixed numbers and tuples against a truth."""
+    i = F.col("event_id")
+    k = (i % 9).cast("string")
+    fraction = G.grade_answer(F.concat(F.lit("The final answer is $\\dfrac{"), k, F.lit("}{7}$.")), F.lit("3/7"))
+    unit = G.grade_answer(F.concat(k, F.lit(",000 \\text{ cm}")), F.lit("3000"))
+    pair = G.grade_answer(F.concat(F.lit("(1, "), F.when(i % 2 == 0, F.lit("0.5")).otherwise("0.6"), F.lit(")")), F.lit("(1,\\frac{1}{2})"))
+    mixed = G.grade_answer(F.concat(k, F.lit(" 1/2 inches")), F.concat(k, F.lit(".5")))
+    return table(spark, sf, "events").select("event_id", fraction.alias("fraction"), unit.alias("unit"), pair.alias("pair"), mixed.alias("mixed"))
+
+
+@query("infix_deep", "SELECT n_nationkey, (n_nationkey % 11)::DOUBLE AS v FROM nation")
+def infix_deep(spark, sf):
+    """3,000 parentheses deep."""
+    text = F.concat(F.repeat(F.lit("("), F.lit(3000)), (F.col("n_nationkey") % 11).cast("string"), F.repeat(F.lit(")"), F.lit(3000)))
+    return table(spark, sf, "nation").select("n_nationkey", G.infix_value(text).alias("v"))
