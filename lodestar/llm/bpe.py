@@ -321,8 +321,8 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, "ids").mapInArrow(run, f"`{id_col}` {encoded.schema[id_col].dataType.simpleString()}, text string")
 
 
-def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encodes and decodes in one pass: id_col, n_tokens, ids_sha256, decoded_sha256."""
+def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Encodes and decodes in one pass: id_col, n_tokens, ids_sha256, decoded_sha256, and ids if asked for."""
 
     def run(batches):
         tokenizer, encoder = opened(path)
@@ -337,9 +337,14 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     hashes.append(hashlib.sha256(raw[4 * at : 4 * end]).hexdigest())
                     decoded.append(hashlib.sha256(" ".join(texts[at:end]).encode()).hexdigest())
                     at = end
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+                columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), ids.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    schema = f"`{id_col}` {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")
+    return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch_path
+
 #: Fixed value: a word is a run of anything but space, tab, newline, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -19,31 +19,37 @@ BROADCAST_ROWS = 100_000
 NARROW_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="lodestar-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+#: Scratch paths made so far, so that a caller can remove those of a step that is done.
+MADE: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    MADE.append(scratch_path(spark, name))
+    return MADE[-1]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """df as a table written in the shared folder: lineage is cut, and a lost executor takes nothing with it."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table_ = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_.scratch_path = path
+    return table_
 
 
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a scratch path that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in MADE:
+        MADE.remove(path)
+
+
+def remove_since(spark: SparkSession, mark: int, keep: str) -> None:
+    """Deletes the scratch paths made after the first `mark`, but for `keep`."""
+    for path in [p for p in MADE[mark:] if p != keep]:
+        remove(spark, path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

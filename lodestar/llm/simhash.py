@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import NARROW_ROWS, literals, materialize, small, table
+from .common import NARROW_ROWS, literals, materialize, remove, small, table
 
 SEED = 42
 SHARD = 2048  # fingerprints in a shard; a larger one is dealt again
@@ -222,13 +222,16 @@ def components(edges: DataFrame) -> DataFrame:
     changed = True
     while changed:  # labels only fall, so this ends
         near = both.join(labels.select(F.col("fp").alias("root"), "label"), "root").groupBy("fp").agg(F.min("label").alias("near"))
-        least = materialize(labels.join(near, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("via")), "least-labels")
+        least = materialize(labels.select("fp", "label").join(near, "fp").select("fp", F.col("label").alias("old"), F.least("label", "near").alias("via")), "least-labels")
         hooks = least.filter("via < old").groupBy(F.col("old").alias("fp")).agg(F.min("via").alias("hook"))
         hooked = least.join(hooks, "fp", "left").select("fp", "old", F.least("via", "hook").alias("via"))
         jumped = hooked.join(least.select(F.col("fp").alias("via"), F.col("via").alias("jump")), "via", "left")
         after = materialize(jumped.select("fp", "old", F.coalesce("jump", "via").alias("label")), "labels")
         changed = not after.filter("label <> old").isEmpty()
-        labels = after.select("fp", "label")
+        for done in (labels, least):
+            remove(edges.sparkSession, done.scratch_path)
+        labels = after
+    labels = after.select("fp", "label")
     return labels
 
 
