@@ -18,7 +18,7 @@ def concat_batches(batches: Sequence[tuple[DataFrame, Mapping]]) -> tuple[DataFr
 
     Columns that a batch lacks are null; a `metrics` entry is a mapping of numbers, or a list of such.
     """
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [b for b, _ in batches])
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [b.select("*") for b, _ in batches])
     meta: dict = {}
     metrics: dict[str, list] = {}
     for _, own in batches:
