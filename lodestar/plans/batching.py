@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import arrays as A
 from ..functions import grading as G
+from ..functions import text as T
 from ..operators import batches as B
 from ..operators import lexical, samples, stats
 from ..operators import recipes as R
+from ..operators import reshape as S
+from ..sources import jsonl
 from ..sources.scratch import scratch_path
 from .base import query, r6, table
 from .rollouts import ROLL, SEQ, exploded, roll, sequences
@@ -244,3 +248,132 @@ def last_reply(spark, sf):
     marked = turns.withColumn("text", F.when((F.col("conv_id") % 2 == 0) & (F.col("turn") == last) & (F.col("role") == "assistant"), F.concat("text", F.lit(" #### 7"))).otherwise(F.col("text")))
     truth = turns.select("conv_id", F.lit("7").alias("truth")).distinct()
     return R.last_reply(marked, truth, G.SCORERS["hash"]).withColumn("response", F.md5("response"))
+
+
+# --- corpora, sinks and samples
+
+def _corpus(spark, sf):
+    """A corpus written as JSON lines: every fifth document twice, the later row with another text; a broken and a blank line."""
+    path = scratch_path(spark, "corpus")
+    d, i = table(spark, sf, "documents"), F.col("doc_id")
+    vector = F.when(i % 3 != 0, F.array((i % 7).cast("float"), F.lit(1.0).cast("float")))
+    line = lambda text: F.to_json(F.struct(i.cast("string").alias("id"), text.alias("contents"), vector.alias("embedding")))
+    first, again = d.select(i, F.lit(0).alias("n"), line(F.col("text")).alias("value")), d.filter("doc_id % 5 = 0").select(i, F.lit(1).alias("n"), line(F.col("source")).alias("value"))
+    bad = spark.range(2).select(F.lit(-1).cast("long").alias("doc_id"), F.lit(2).alias("n"), F.when(F.col("id") == 0, F.lit("{broken")).otherwise(F.lit("")).alias("value"))
+    first.unionByName(again).unionByName(bad).coalesce(1).sortWithinPartitions("n", "doc_id").select("value").write.option("lineSep", "\n").text(path)
+    return path
+
+
+@query("corpus_scan", "SELECT doc_id::VARCHAR AS id, md5(CASE WHEN doc_id % 5 = 0 THEN source ELSE text END) AS contents FROM documents")
+def corpus_scan(spark, sf):
+    """The last row of an id counts; undecodable and blank lines go."""
+    rows = spark.read.schema(f"{jsonl.CORPUS}, {jsonl.BAD} string").option("columnNameOfCorruptRecord", jsonl.BAD).json(_corpus(spark, sf))
+    return jsonl.last_rows(rows.filter(F.col(jsonl.BAD).isNull() & F.col("id").isNotNull() & F.col("contents").isNotNull())).select("id", F.md5("contents").alias("contents"))
+
+
+@query("corpus_vectors", "SELECT doc_id::VARCHAR AS id, (doc_id % 7)::DOUBLE AS x FROM documents WHERE doc_id % 3 <> 0 UNION ALL SELECT doc_id::VARCHAR, (doc_id % 7)::DOUBLE FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0")
+def corpus_vectors(spark, sf):
+    """Rows with an embedding, whatever their order; those without are skipped."""
+    rows = spark.read.schema(jsonl.CORPUS).option("mode", "DROPMALFORMED").json(_corpus(spark, sf))
+    return rows.filter("id IS NOT NULL AND embedding IS NOT NULL").select("id", F.col("embedding")[0].cast("double").alias("x"))
+
+
+@query("single_file_sink", "SELECT n_nationkey, n_name, 1::BIGINT AS files FROM nation")
+def single_file_sink(spark, sf):
+    path = scratch_path(spark, "single")
+    jsonl.write_single(table(spark, sf, "nation").select("n_nationkey", "n_name").repartition(4), path)
+    rows = spark.read.parquet(path)
+    files = rows.select(F.input_file_name().alias("f")).agg(F.count_distinct("f").alias("files"))
+    return rows.join(F.broadcast(files), F.lit(True))
+
+
+@query("merged_files", "SELECT n_nationkey, CASE WHEN n_nationkey >= 10 THEN n_name END AS n_name FROM nation")
+def merged_files(spark, sf):
+    """Parquet files of different columns read as one table."""
+    path = scratch_path(spark, "merged")
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    n.filter("n_nationkey < 10").drop("n_name").write.parquet(path)
+    n.filter("n_nationkey >= 10").write.mode("append").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).select("n_nationkey", "n_name")
+
+
+@query("vector_index_files", "SELECT vec_id AS id, label AS cluster, len(embedding)::INT AS dim FROM embeddings WHERE label IN (1, 2)")
+def vector_index_files(spark, sf):
+    """A vector index saved by cluster; the clusters asked for are the folders read."""
+    path = scratch_path(spark, "vector-index")
+    jsonl.save_vectors(table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("cluster")), path, "cluster")
+    return spark.read.parquet(path).filter(F.col("cluster").isin(1, 2)).select("id", F.col("cluster").cast("long").alias("cluster"), F.size("embedding").alias("dim"))
+
+
+@query("compact_json", """SELECT event_id, '{"event_id":' || event_id || ',"event_type":"' || event_type || '"}' AS contents FROM events""")
+def compact_json(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.to_json(F.struct("event_id", "event_type")).alias("contents"))
+
+
+@query("preference_rows", "SELECT event_id AS id, event_type AS prompt, value::VARCHAR AS chosen FROM events")
+def preference_rows(spark, sf):
+    """Pairs passed through as they are."""
+    pairs = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("prompt"), F.col("value").cast("string").alias("chosen"), F.lit("x").alias("rejected"))
+    return B.project(pairs, ["id", "prompt", "chosen", "rejected"], ["rejected"])
+
+
+@query("pad_truncate", "SELECT event_id, repeat('_', greatest(0, 4 - (event_id % 7)::INT)) || substr('abcdef', 1, (event_id % 7)::INT) AS padded, right(substr('abcdef', 1, (event_id % 7)::INT), 3) AS tail, CASE WHEN event_id % 7 > 3 THEN 'a' || right(substr('abcdef', 1, (event_id % 7)::INT), 2) ELSE substr('abcdef', 1, (event_id % 7)::INT) END AS middle FROM events")
+def pad_truncate(spark, sf):
+    letters = F.slice(F.array(*map(F.lit, "abcdef")), F.lit(1), (F.col("event_id") % 7).cast("int"))
+    text = lambda x: F.array_join(x, "")
+    return table(spark, sf, "events").select("event_id", text(A.pad(letters, 4, "_", left=True)).alias("padded"), text(A.truncate(letters, 3, "left")).alias("tail"), text(A.truncate(letters, 3, "middle")).alias("middle"))
+
+
+@query("restore_order", "SELECT n_nationkey AS position, n_name FROM nation")
+def restore_order(spark, sf):
+    """Rows put in another order by an index table, and back by its inverse."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("position"), "n_name")
+    indices = n.select((F.col("position") * 7 % 25).alias("out_position"), F.col("position").alias("index"))
+    moved = S.reorder(n, "position", indices)
+    return S.reorder(moved.withColumnRenamed("out_position", "position"), "position", S.inverse(indices)).select(F.col("out_position").alias("position"), "n_name")
+
+
+@query("geometry_score", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS format, round(0.9 * (event_id % 2) + CASE WHEN event_id % 3 = 0 THEN 0.0 ELSE 0.1 END, 6)::DOUBLE AS score FROM events")
+def geometry_score(spark, sf):
+    i = F.col("event_id")
+    text = F.concat(F.when(i % 3 == 0, F.lit("")).otherwise("<think>\nwell\n</think>"), F.lit(" so \\boxed{"), (i % 2).cast("string"), F.lit("}"))
+    form = T.geometry_format(text)
+    right = F.coalesce((G.last_boxed(text) == "1").cast("double"), F.lit(0.0))
+    return table(spark, sf, "events").select("event_id", form.alias("format"), r6(0.9 * right + 0.1 * form).alias("score"))
+
+
+@query("validation_sections", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'val-core' ELSE 'val-aux' END AS section FROM events")
+def validation_sections(spark, sf):
+    return table(spark, sf, "events").select("event_id", stats.section(F.lit(1), F.col("event_id") % 3 == 0).alias("section"))
+
+
+@query("judged_or_ruled", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN (event_id % 2 = 0)::INT ELSE (event_id % 3 = 0)::INT END::DOUBLE AS score FROM events")
+def judged_or_ruled(spark, sf):
+    """Rows of split test are graded by the rule, the others by the judge's verdict."""
+    i = F.col("event_id")
+    judge = F.when(i % 3 == 0, F.lit("so \\boxed{True}")).otherwise("\\boxed{False}")
+    rule = F.coalesce((G.last_boxed(F.concat(F.lit("\\boxed{"), (i % 2).cast("string"), F.lit("}"))) == "0").cast("double"), F.lit(0.0))
+    return table(spark, sf, "events").select("event_id", F.when(i % 4 == 0, rule).otherwise(G.verdict(judge)).alias("score"))
+
+
+@query("usable_samples", "SELECT item_id FROM benchmark WHERE item_id % 4 <> 0 AND item_id % 5 <> 0")
+def usable_samples(spark, sf):
+    """Rows with a query and an id, neither blank."""
+    i = F.col("item_id")
+    rows = table(spark, sf, "benchmark").select(i, F.when(i % 4 != 0, F.col("text")).alias("contents"), F.when(i % 5 == 0, F.lit("")).otherwise(i.cast("string")).alias("id"))
+    return rows.filter(B.not_empty("contents") & B.not_empty("id")).select("item_id")
+
+
+@query("growing_columns", "SELECT n_nationkey, n_name, NULL::VARCHAR AS note FROM nation WHERE n_nationkey < 12 UNION ALL SELECT n_nationkey, n_name, 'late' FROM nation WHERE n_nationkey >= 12")
+def growing_columns(spark, sf):
+    """Later batches have a column more."""
+    n = table(spark, sf, "nation").select("n_nationkey", "n_name")
+    return B.concat_batches([(n.filter("n_nationkey < 12"), {}), (n.filter("n_nationkey >= 12").withColumn("note", F.lit("late")), {})])[0]
+
+
+@query("greedy_balance", "SELECT n_regionkey AS batch, count(*) AS n, sum(n_nationkey) AS held FROM nation GROUP BY n_regionkey")
+def greedy_balance(spark, sf):
+    """Every item is in one part; the parts themselves are tested against a plain loop."""
+    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("batch"), F.col("n_nationkey").alias("key"), F.col("n_nationkey").alias("cost"))
+    parts = S.balance(n, "batch", "key", "cost", 2, greedy=True).filter("part < 2")
+    return parts.groupBy("batch").agg(F.count("*").alias("n"), F.sum("key").alias("held"))

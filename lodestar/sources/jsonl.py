@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 CORPUS = "id string, contents string, metadata struct<last_modified_date: string, file_name: string, source_file: string>, embedding array<float>"
 BAD = "bad_line_"
 
@@ -22,9 +24,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, required: tuple[str,
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line, 0-based, of one text file read in order."""
-    rows = spark.read.text(path).withColumn("id_", F.monotonically_increasing_id())
-    return rows.select("value", (F.row_number().over(Window.orderBy("id_")) - 1).alias("line"))
+    """value and line, 0-based, of one text file in order: lines are numbered by the offsets of partitions, no task takes a whole file."""
+    rows = written(spark.read.text(path).withColumn("id_", F.monotonically_increasing_id()), "lines").withColumn("part_", F.shiftright("id_", 33))
+    counts = rows.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = counts.select("part_", F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
+    return rows.join(F.broadcast(before), "part_").select("value", (F.col("before_") + F.col("id_") - F.shiftleft("part_", 33)).alias("line"))
 
 
 def read_personas(spark: SparkSession, path: str) -> DataFrame:
@@ -34,10 +38,14 @@ def read_personas(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("id", parsed.alias("persona"), F.col("value").alias("original")).filter(F.length(F.trim("persona")) > 0)
 
 
+def last_rows(rows: DataFrame) -> DataFrame:
+    """id, contents: of each id the row that is last by its place in the files."""
+    return rows.withColumn("p_", F.monotonically_increasing_id()).groupBy("id").agg(F.max_by("contents", "p_").alias("contents"))
+
+
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """id, contents of a corpus; the last row of an id wins, by its place in the files."""
-    rows = read_jsonl(spark, path, CORPUS, ("id", "contents")).withColumn("p_", F.monotonically_increasing_id())
-    return rows.groupBy("id").agg(F.max_by("contents", "p_").alias("contents"))
+    return last_rows(read_jsonl(spark, path, CORPUS, ("id", "contents")))
 
 
 def write_single(rows: DataFrame, path: str) -> None:
