@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, packed, small, table
+from .common import BROADCAST_ROWS, materialize, packed, small, table
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
@@ -39,7 +39,7 @@ CAPITALS = bytes(range(65, 91))
 FLOORS = (0.005, 0.03, 0.12, 0.12, 0.005, 0.005, 0.003)
 H = 0.75  # share of a group's rows that the estimate rests on
 STARTS, FIRST_STEPS, MOST_STEPS = 4, 2, 30
-SETTLED = 1e-3  # a fall of the logarithm of the determinant that is none
+SETTLED = 0.01  # a fall of the logarithm of the determinant that is none: a thousandth of each deviation
 TAIL = 1e-8  # chance that normal data are beyond the cutoff; texts have longer tails than normal data
 MIN_ROWS = 100
 P = len(FLOORS)
@@ -169,12 +169,12 @@ def _starts(x: DataFrame) -> DataFrame:
     return middle.unionByName(_estimate(_moments(rows).withColumn("before", none)))
 
 
-def _step(x: DataFrame, now: DataFrame) -> DataFrame:
-    """A concentration step of every start of every group."""
+def _step(x: DataFrame, now: DataFrame, hint) -> DataFrame:
+    """A concentration step of every start of every group; hint marks tables of a row a group and start for their joins."""
     far = x.join(now, "key_").select("key_", "start", "x_", distance().alias("d"), "logdet")
-    within = small(materialize(far.groupBy("key_", "start").agg(F.percentile_approx("d", H).alias("most"), F.first("logdet").alias("before")), "quality-within"))
+    within = hint(materialize(far.groupBy("key_", "start").agg(F.percentile_approx("d", H).alias("most"), F.first("logdet").alias("before")), "quality-within"))
     near = far.join(within.drop("before"), ["key_", "start"]).filter("d <= most")
-    return small(materialize(_estimate(_moments(near).join(within.select("key_", "start", "before"), ["key_", "start"])), "quality-estimate"))
+    return hint(materialize(_estimate(_moments(near).join(within.select("key_", "start", "before"), ["key_", "start"])), "quality-estimate"))
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -188,16 +188,18 @@ def keys(rows: DataFrame) -> DataFrame:
 
 def estimates(rows: DataFrame) -> DataFrame:
     """rows: lang, source, x_ -> key_lang, key_source, centre, precision, one row a language and source."""
-    named = small(materialize(keys(rows), "quality-keys"))
+    named = materialize(keys(rows), "quality-keys")
+    hint = F.broadcast if named.count() * STARTS <= BROADCAST_ROWS else lambda df: df  # counted: a row a language and source
+    named = hint(named)
     x = rows.join(named, rows["lang"].eqNullSafe(named["key_lang"]) & rows["source"].eqNullSafe(named["key_source"])).select("key_", "x_")
     x = materialize(x, "quality-x")
-    now = small(materialize(_starts(x), "quality-starts"))
+    now = hint(materialize(_starts(x), "quality-starts"))
     for _ in range(FIRST_STEPS):
-        now = _step(x, now)
+        now = _step(x, now, hint)
     best = now.groupBy("key_").agg(F.min_by(F.struct("start", "centre", "precision", "logdet", "before"), F.struct("logdet", "start")).alias("b"))
-    now = small(materialize(best.select("key_", "b.*"), "quality-best"))
+    now = hint(materialize(best.select("key_", "b.*"), "quality-best"))
     for _ in range(MOST_STEPS):
-        now = _step(x, now)
+        now = _step(x, now, hint)
         if now.filter(F.col("before") - F.col("logdet") > SETTLED).isEmpty():
             break
     return materialize(named.join(now, "key_").select("key_lang", "key_source", "centre", "precision"), "quality-final")
