@@ -140,17 +140,18 @@ def adaptive_kl(steps: DataFrame, start: float, target: float, horizon: float) -
     return steps.groupBy("run").agg(F.aggregate(ordered, zero, fold, lambda acc: acc["all"]).alias("coefficients"))
 
 
-def preference_weights(score: Column, method: str = "pow", power: float = 2.0) -> Column:
-    """Resampling weights: pow |score|^power, max_min 1 for the largest and smallest score in the batch (a window), else 0."""
+def preference_weights(score: Column, method: str = "pow", power: float = 2.0, low: Column | None = None, high: Column | None = None) -> Column:
+    """Resampling weights: pow |score|^power; max_min 1 for the batch's lowest and highest score, else 0; max_random 0.4 for the highest, else 0.1.
+
+    low and high are the batch's extremes, as scalar subqueries, so that no window runs over the whole batch.
+    """
     if method == "pow":
         return F.pow(F.abs(score), F.lit(power))
-    w = Window.partitionBy()
-    edge = (score == F.max(score).over(w)) | (score == F.min(score).over(w))
-    if method == "max_min":
-        return F.when(edge, 1.0).otherwise(0.0)
-    if method == "max_random":
-        return F.when(score == F.max(score).over(w), 0.4).otherwise(0.1)
-    raise ValueError(f"no such method: {method}")
+    if method not in ("max_min", "max_random"):
+        raise ValueError(f"no such method: {method}")
+    if high is None or (low is None and method == "max_min"):
+        raise ValueError(f"{method} needs the batch's extremes")
+    return F.when((score == high) | (score == low), 1.0).otherwise(0.0) if method == "max_min" else F.when(score == high, 0.4).otherwise(0.1)
 
 
 def policy_loss(logp: Column, old: Column, advantage: Column, low: float = 0.2, high: float = 0.2, dual: float = 3.0) -> Column:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .samples import with_position
+
 
 def _g():
     return Window.partitionBy("uid")
@@ -45,9 +50,13 @@ def accuracy_band(rows: DataFrame, low: float, high: float, most_length: int, ov
     """Groups whose mean score is within the band and which have a response short of the limit come first; 1/oversample of all are kept."""
     groups = rows.groupBy("uid").agg(F.avg("score").alias("acc"), F.max("length").alias("len"))
     passes = (F.col("acc") >= low) & (F.col("acc") <= high) & (F.col("len") < most_length)
-    ranked = groups.withColumn("passes", passes).withColumn("place", F.row_number().over(Window.orderBy(F.col("passes").desc(), "uid")))
-    most = groups.agg(F.floor(F.count("*") / oversample)).scalar()
-    kept = ranked.filter(F.col("place") <= most).select("uid", "passes")
+    ranked = written(groups.select("uid", F.coalesce(passes, F.lit(False)).alias("passes")), "accuracy-band")
+    n, good = ranked.agg(F.count("*"), F.count_if("passes")).first()
+    most = int(n // oversample)
+    # those that pass come first, then the others, each by uid: positions come from sorted partitions, not from one task
+    first = with_position(ranked.filter("passes"), "uid").filter(F.col("position") < most)
+    rest = with_position(ranked.filter("NOT passes"), "uid").filter(F.col("position") < max(0, most - good))
+    kept = first.unionByName(rest).select("uid", "passes")
     return rows.join(kept, "uid")
 
 
@@ -63,17 +72,45 @@ def weighted_rloo(rows: DataFrame, sources: dict[str, float]) -> DataFrame:
     return rows.withColumn("advantage", sum(parts[1:], parts[0]))
 
 
+def agreement(score: np.ndarray, acc: np.ndarray) -> float:
+    """Of all pairs, weighed by the gap of acc, the share that score orders alike; 0.5 where acc is equal throughout.
+
+    Pairs are not made: rows come in order of acc, and a tree of sums by score tells for each what is below it.
+    """
+    order = np.argsort(acc, kind="stable")
+    rank = np.unique(score, return_inverse=True)[1][order] + 1
+    a = acc[order]
+    count, held = np.zeros(rank.max(initial=0) + 1), np.zeros(rank.max(initial=0) + 1)
+    right, at = 0.0, 0
+    while at < len(a):
+        end = int(np.searchsorted(a, a[at], "right"))  # rows of equal acc do not meet
+        for r in rank[at:end].tolist():
+            r -= 1
+            while r > 0:
+                right += a[at] * count[r] - held[r]
+                r &= r - 1
+        for r in rank[at:end].tolist():
+            while r < len(count):
+                count[r] += 1
+                held[r] += a[at]
+                r += r & -r
+        at = end
+    gaps = float((a * (2 * np.arange(len(a)) - len(a) + 1)).sum())
+    return right / gaps if gaps > 0 else 0.5
+
+
 def preference_accuracy(rows: DataFrame) -> DataFrame:
-    """(uid, row_id, score, acc) -> uid, accuracy: over pairs of a group, does the score order agree with the accuracy order?
+    """(uid, row_id, score, acc) -> uid, accuracy: over pairs of a group of two or more, does the score order agree with the accuracy order?
 
-    Pairs weigh their accuracy gap; 0.5 where all are equal. A group is the responses to one prompt.
+    Pairs weigh their accuracy gap; 0.5 where all are equal. A group is the responses to one prompt, an array a row.
     """
-    a = rows.select("uid", "row_id", "score", "acc")
-    b = rows.select("uid", F.col("row_id").alias("r2"), F.col("score").alias("s2"), F.col("acc").alias("a2"))
-    pairs = a.join(b, "uid").filter(F.col("row_id") < F.col("r2"))
-    gap = F.abs(F.col("acc") - F.col("a2"))
-    right = (F.signum(F.col("score") - F.col("s2")) == F.signum(F.col("acc") - F.col("a2"))).cast("double")
-    return pairs.groupBy("uid").agg(F.coalesce(F.try_divide(F.sum(gap * right), F.sum(gap)), F.lit(0.5)).alias("accuracy"))
+    groups = rows.groupBy("uid").agg(F.collect_list(F.col("score").cast("double")).alias("s"), F.collect_list(F.col("acc").cast("double")).alias("a")).filter(F.size("s") > 1)
+
+    @F.pandas_udf("double")
+    def graded(s: pd.Series, a: pd.Series) -> pd.Series:
+        return pd.Series([agreement(np.asarray(x, float), np.asarray(y, float)) for x, y in zip(s, a)], dtype="float64")
+
+    return groups.select("uid", graded("s", "a").alias("accuracy"))
 
 
 def sign_accuracy(rows: DataFrame) -> Column:

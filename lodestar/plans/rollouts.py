@@ -82,8 +82,8 @@ def adaptive_kl(spark, sf):
 def resample_weights(spark, sf):
     rows = roll(spark, sf)
     lo, hi = rows.agg(F.min("score")).scalar(), rows.agg(F.max("score")).scalar()
-    edge = F.when((F.col("score") == lo) | (F.col("score") == hi), 1.0).otherwise(0.0)
-    return rows.select("row_id", r6(ADV.preference_weights(F.col("score"))).alias("pow"), edge.alias("max_min"))
+    score = F.col("score")
+    return rows.select("row_id", r6(ADV.preference_weights(score)).alias("pow"), ADV.preference_weights(score, "max_min", low=lo, high=hi).alias("max_min"))
 
 
 # --- token sequences: a user's events in order

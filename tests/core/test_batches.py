@@ -148,3 +148,14 @@ def test_positions_are_those_of_a_sort(spark):
 def test_losses_do_not_overflow(spark):
     got = one(spark, recipes.preference_loss(F.lit(-1e5)), recipes.preference_loss(F.lit(1e5)), recipes.sppo_loss(F.array(F.lit(1.0)), F.array(F.lit(2.0)), F.array(F.lit(0)), F.lit(1.0)))
     assert list(got) == [1e4, 0.0, None]
+
+
+def test_agreement_against_pairs():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 3, 9, 40):
+        for _ in range(8):
+            score, acc = rng.integers(0, 5, n).astype(float), rng.integers(0, 4, n) / 3
+            gap = [(abs(acc[i] - acc[j]), np.sign(score[i] - score[j]) == np.sign(acc[i] - acc[j])) for i in range(n) for j in range(i)]
+            total = sum(g for g, _ in gap)
+            want = sum(g for g, ok in gap if ok) / total if total else 0.5
+            assert math.isclose(recipes.agreement(score, acc), want, abs_tol=1e-9)
