@@ -439,6 +439,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_c
             yield close()
 
     ordered = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).repartitionByRange(id_col).sortWithinPartitions(id_col)
+    # a cell's bytes as a string, which no expression looks at: the text writer puts them out as they are, under Spark's commit protocol
     files = ordered.mapInArrow(run, "file binary")
     files.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
 

@@ -103,6 +103,15 @@ def test_token_files_in_order(spark, docs, no_docs, library, tmp_path):
     assert tokens.read(spark, f"file://{tmp_path}/none").count() == 0
 
 
+def test_the_sink_keeps_every_byte(spark, tmp_path):
+    """Files go through the text writer as binary cells: bytes that are no UTF-8 and line ends come back as they were."""
+    cells = [bytes(range(256)) * 3, b"\n" * 5, bytes(range(128, 256)) + b"\r\n\0"]
+    rows = spark.createDataFrame([(bytearray(c),) for c in cells], "file binary").repartition(3)
+    rows.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(f"file://{tmp_path}/b")
+    got = sorted(bytes(r["content"]) for r in spark.read.format("binaryFile").option("pathGlobFilter", "part*").load(f"file://{tmp_path}/b").collect() if r["content"])
+    assert got == sorted(c + b"\n" for c in cells)
+
+
 def plain_stats(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]

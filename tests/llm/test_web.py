@@ -54,6 +54,28 @@ def test_archives_are_gzip(spark, pages, tmp_path):
     assert text.count(b"WARC-Segment-Number") > 2 and text.count(b"WARC-Type: continuation") >= 4 and text.startswith(b"WARC/1.1\r\n")
 
 
+def test_damaged_segments_are_found(spark, pages, tmp_path):
+    import zlib
+
+    warc.write(pages.filter("page_id = 4"), f"file://{tmp_path}/w")
+    data = b"".join(p.read_bytes() for p in (tmp_path / "w").iterdir() if p.name.startswith("part"))
+    members = []
+    while data:
+        z = zlib.decompressobj(31)
+        text = z.decompress(data)
+        members.append((data[: len(data) - len(z.unused_data)], text))
+        data = z.unused_data
+    third = next(i for i, (_, t) in enumerate(members) if b"WARC-Segment-Number: 3" in t)
+    last = next(i for i, (_, t) in enumerate(members) if b"WARC-Segment-Total-Length" in t)
+    pack = lambda t: (z := zlib.compressobj(4, zlib.DEFLATED, 31)).compress(t) + z.flush()
+    wrong = re.sub(rb"(WARC-Segment-Total-Length: )\d+", rb"\g<1>7", members[last][1])
+    for name, kept in (("gap", members[:third] + members[third + 1 :]), ("total", [*members[:last], (pack(wrong), b""), *members[last + 1 :]])):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part").write_bytes(b"".join(m for m, _ in kept))
+        with pytest.raises(Exception, match="segments of"):
+            warc.read(spark, f"file://{tmp_path}/{name}").collect()
+
+
 def test_empty_archive(spark, pages, tmp_path):
     warc.write(pages.filter("false"), f"file://{tmp_path}/w")
     assert warc.read(spark, f"file://{tmp_path}/w").count() == 0
