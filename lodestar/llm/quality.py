@@ -169,12 +169,12 @@ def _starts(x: DataFrame) -> DataFrame:
     return middle.unionByName(_estimate(_moments(rows).withColumn("before", none)))
 
 
-def _step(x: DataFrame, now: DataFrame, hint) -> DataFrame:
-    """A concentration step of every start of every group; hint marks tables of a row a group and start for their joins."""
+def _step(x: DataFrame, now: DataFrame, put) -> DataFrame:
+    """A concentration step of every start of every group; put writes tables of a row a group and start."""
     far = x.join(now, "key_").select("key_", "start", "x_", distance().alias("d"), "logdet")
-    within = hint(materialize(far.groupBy("key_", "start").agg(F.percentile_approx("d", H).alias("most"), F.first("logdet").alias("before")), "quality-within"))
+    within = put(far.groupBy("key_", "start").agg(F.percentile_approx("d", H).alias("most"), F.first("logdet").alias("before")), "quality-within")
     near = far.join(within.drop("before"), ["key_", "start"]).filter("d <= most")
-    return hint(materialize(_estimate(_moments(near).join(within.select("key_", "start", "before"), ["key_", "start"])), "quality-estimate"))
+    return put(_estimate(_moments(near).join(within.select("key_", "start", "before"), ["key_", "start"])), "quality-estimate")
 
 
 def keys(rows: DataFrame) -> DataFrame:
@@ -189,17 +189,21 @@ def keys(rows: DataFrame) -> DataFrame:
 def estimates(rows: DataFrame) -> DataFrame:
     """rows: lang, source, x_ -> key_lang, key_source, centre, precision, one row a language and source."""
     named = materialize(keys(rows), "quality-keys")
-    hint = F.broadcast if named.count() * STARTS <= BROADCAST_ROWS else lambda df: df  # counted: a row a language and source
-    named = hint(named)
+    few = named.count() * STARTS <= BROADCAST_ROWS  # counted: a row a language and source, in one file and broadcast where they are few
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        return F.broadcast(materialize(df.coalesce(1), name)) if few else materialize(df, name)
+
+    named = F.broadcast(named) if few else named
     x = rows.join(named, rows["lang"].eqNullSafe(named["key_lang"]) & rows["source"].eqNullSafe(named["key_source"])).select("key_", "x_")
     x = materialize(x, "quality-x")
-    now = hint(materialize(_starts(x), "quality-starts"))
+    now = put(_starts(x), "quality-starts")
     for _ in range(FIRST_STEPS):
-        now = _step(x, now, hint)
+        now = _step(x, now, put)
     best = now.groupBy("key_").agg(F.min_by(F.struct("start", "centre", "precision", "logdet", "before"), F.struct("logdet", "start")).alias("b"))
-    now = hint(materialize(best.select("key_", "b.*"), "quality-best"))
+    now = put(best.select("key_", "b.*"), "quality-best")
     for _ in range(MOST_STEPS):
-        now = _step(x, now, hint)
+        now = _step(x, now, put)
         if now.filter(F.col("before") - F.col("logdet") > SETTLED).isEmpty():
             break
     return materialize(named.join(now, "key_").select("key_lang", "key_source", "centre", "precision"), "quality-final")
