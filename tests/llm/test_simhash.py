@@ -181,4 +181,6 @@ def test_shard_candidates(seed, monkeypatch):
         near = min(((x ^ y).bit_count(), j) for j, y in enumerate(own) if j != i)
         if near[0] <= S.WIDE_RADIUS:
             assert any((x ^ items[b]).bit_count() == near[0] for a, b in pairs if a == i and b < 40)
-    assert len(leading) == 6
+    assert 6 <= len(leading) <= 12
+    for i, x in enumerate(items):
+        assert i in leading or any((x ^ items[k]).bit_count() <= S.WIDE_RADIUS for k in leading if k < i)
