@@ -8,7 +8,8 @@ than a broadcast, whose size would grow with the corpus. A shard gives one link
 there, never the pairs of a group; the links' components are found by rounds of smallest labels over written tables.
 
 keep_one() removes documents, so it takes fingerprint links as candidates only (see there): wide fingerprints, BK-trees that
-give each text its nearest, and the exact similarity of every candidate link before components.
+give each text its nearest, and the exact similarity of every candidate link before components. The nearest is not every
+partner, and near sets may have far fingerprints, so an exact join of shingles then finds what links are left between groups.
 
 Defined cases: a null or wordless text has fingerprint zero, linked like any other; fewer words than a shingle: the whole
 sequence is the only shingle; repeated rows and exact copies share a fingerprint; a null doc_id is never a component's id
@@ -18,6 +19,7 @@ unless all of its are null; an empty table gives an empty result. Added columns
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -253,6 +255,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4, shard: int
 WIDE_BITS, WIDE_RADIUS = 128, 20  # texts that share 0.8 of their five-word shingles differ in 12 of 128 bits on average
 WIDE_KEYS, KEY_BITS = 40, 24  # shards a text is in; bits of the fingerprint that a shard agrees in
 CHUNK = 4096  # texts in one tree
+SAMPLE, OFTEN, MOST = 10_000, 3, 200_000  # texts looked at for common shingles, how many of them have one, shingles listed
+BUCKET = 2000  # texts whose first shingles fill a bucket
 
 
 def key_masks() -> list[tuple[int, int]]:
@@ -313,21 +317,55 @@ def majority(h: np.ndarray) -> int:
     return out
 
 
-def text_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row a document: doc_id, text_hash, node (hash of its set of shingles) and hi, lo, its wide fingerprint over pairs of words."""
+def common_shingles(docs: DataFrame, width: int) -> np.ndarray:
+    """Hashes, sorted, of the shingles that several of a sample of texts have. They only order shingles: any list gives the same links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 0):
+                sets = shingle_hashes(*word_hashes(batch.column(0)), width)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64) if sets else [], pa.int64())], ["shingle"])
+
+    every = max(1, docs.count() // SAMPLE)
+    sample = docs.filter(F.pmod(F.xxhash64("text"), F.lit(every)) == 0).select("text").distinct()
+    counts = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().filter(F.col("count") >= OFTEN)
+    return np.sort(np.array([r["shingle"] for r in counts.orderBy(F.desc("count"), "shingle").limit(MOST).collect()], np.int64).view(np.uint64))
+
+
+def prefix(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray:
+    """The first shingles of a set, common ones last, so many that sets of a Jaccard similarity of `least` or more share one of theirs.
+
+    Such sets share ceil(least * size) shingles at least, so that the others of a set are too few to fill this.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    if len(common):
+        often = common[np.minimum(np.searchsorted(common, shingles), len(common) - 1)] == shingles
+        shingles = np.concatenate([shingles[~often], shingles[often]])
+    return shingles[: n - math.ceil(least * n - 1e-9) + 1]
+
+
+def text_sets(docs: DataFrame, width: int, least: float) -> DataFrame:
+    """One row a document: doc_id, text_hash, node (hash of its set of shingles), hi, lo (its wide fingerprint over pairs of words),
+    size (shingles in its set) and first_shingles, the bytes of its prefix()."""
+    common = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 2):
                 words, bounds = word_hashes(batch.column(2))
-                node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in shingle_hashes(words, bounds, width)), np.uint64, batch.num_rows)
+                sets = shingle_hashes(words, bounds, width)
+                node = np.fromiter((xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets), np.uint64, batch.num_rows)
+                firsts = pa.array([prefix(x, common, least).tobytes() for x in sets], pa.binary())
                 pairs = shingle_hashes(words, bounds, 2)
                 hi = np.fromiter((majority(x) for x in pairs), np.uint64, batch.num_rows)
                 lo = np.fromiter((majority(_mix(x)) for x in pairs), np.uint64, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (node, hi, lo))], ["doc_id", "text_hash", "node", "hi", "lo"])
+                size = pa.array([*map(len, sets)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (node, hi, lo)), size, firsts], ["doc_id", "text_hash", "node", "hi", "lo", "size", "first_shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, hi long, lo long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, hi long, lo long, size long, first_shingles binary")
 
 
 class NearestTree:
@@ -453,6 +491,124 @@ def candidate_links(nodes: DataFrame) -> DataFrame:
     return near.filter("a IS NOT NULL").select("a", "b").unionByName(far).distinct()
 
 
+def may_be_similar(size: np.ndarray, place: np.ndarray, other_size: np.ndarray, other_place: np.ndarray, least: float) -> np.ndarray:
+    """Can sets of these sizes, whose first common shingle is at these places, be similar? What follows there is all they can share."""
+    shared = np.minimum(size - place, other_size - other_place)
+    return shared >= (least - 1e-9) * (size + other_size - shared)
+
+
+def shingle_pairs(shingle: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of nodes of different labels that have a shingle in common, in order of it, and may be similar; all of them, in parts."""
+    cut = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
+    counts = np.diff(np.concatenate([[0], cut, [len(shingle)]]))
+    ends = np.repeat(np.cumsum(counts), counts)
+    crowded = np.repeat(counts > 64, counts)
+
+    def of(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = (label[i] != label[j]) & may_be_similar(size[i], place[i], size[j], place[j], least)
+        a, b = node[i[keep]], node[j[keep]]
+        return np.maximum(a, b), np.minimum(a, b)
+
+    at, step = np.flatnonzero(~crowded), 1
+    while len(at := at[at + step < ends[at]]):
+        yield of(at, at + step)
+        step += 1
+    # of a shingle that many have, what is not of its largest label meets all others
+    for b in np.unique(ends[crowded]).tolist():
+        a = b - int(counts[np.searchsorted(np.cumsum(counts), b)])
+        values, own = np.unique(label[a:b], return_inverse=True)
+        for i in np.flatnonzero(own != np.bincount(own, minlength=len(values)).argmax()).tolist():
+            yield of(np.full(b - a, a + i), np.arange(a, b))
+
+
+_RUN = np.dtype([("node", "<i8"), ("label", "<i8"), ("size", "<u4"), ("count", "<u4")])
+
+
+def remaining_pairs(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b) pairs of nodes of different labels, all those that may have a Jaccard similarity of `least` or more.
+
+    Two such sets have a shingle in common among the first of both. Shingles are dealt into buckets by hash, a bucket for each
+    BUCKET texts, and go there packed, under 32 bits of their hashes: equal bits of two shingles make a pair too many, never one too few.
+    """
+    buckets = max(1, rows.count() // BUCKET)
+    labels = small(labels.select(F.col("fp").alias("node"), "label"), NARROW_ROWS)
+    own = rows.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "first_shingles")
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 3):
+                node, label, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+                lengths = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
+                shingle = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8")
+                text = np.repeat(np.arange(len(node)), lengths)
+                place = np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                once = np.zeros(len(node), bool)
+                once[np.unique(node, return_index=True)[1]] = True  # of equal sets one
+                shingle, text, place = (x[once[text]] for x in (shingle, text, place))
+                if not len(shingle):
+                    continue
+                bucket = ((shingle >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                bucket, text = bucket[order], text[order]
+                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (text[1:] != text[:-1])]))
+                runs = np.empty(len(first), _RUN)
+                runs["node"], runs["label"], runs["size"] = node[text[first]], label[text[first]], size[text[first]]
+                runs["count"] = np.diff(np.append(first, len(text)))
+                packed = lambda x, at: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(x)) * x.itemsize).astype("<i4")), pa.py_buffer(x.tobytes())])
+                low = packed((shingle[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), starts)
+                where = packed(np.minimum(place[order], 65535).astype("<u2"), starts)  # an earlier place only keeps more pairs
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), low, where, packed(runs, np.searchsorted(first, starts))], ["bucket", "shingles", "places", "runs"])
+
+    def found(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+        shingle, place, runs = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), ("<u4", "<u2", _RUN)))
+        run = np.repeat(np.arange(len(runs)), runs["count"])
+        order = np.argsort(shingle, kind="stable")
+        same = shingle[order][1:] == shingle[order][:-1]
+        order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order  # shingles of several rows
+        node, label = runs["node"][run[order]], runs["label"][run[order]]
+        order = order[by := np.lexsort((place[order], node, label, shingle[order]))]
+        columns = shingle[order].astype(np.int64), node[by], label[by], runs["size"][run[order]].astype(np.int64), place[order].astype(np.int64)
+        new = np.insert((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]), 0, True) if len(order) else np.empty(0, bool)
+        columns = [x[new] for x in columns]
+        if not len(columns[0]):
+            return
+        starts = np.flatnonzero(np.insert(columns[0][1:] != columns[0][:-1], 0, True))
+        ends = np.append(starts[1:], len(columns[0]))
+        several = np.repeat(columns[2][starts] != columns[2][ends - 1], ends - starts)  # labels are in order
+        some, n = [], 0
+        for pair in shingle_pairs(*(x[several] for x in columns), least):
+            some.append(np.stack(pair))
+            n += len(pair[0])
+            if n > 1 << 20:
+                yield distinct(some)
+                some, n = [], 0
+        if n:
+            yield distinct(some)
+
+    def distinct(some: list[np.ndarray]) -> pa.RecordBatch:
+        a, b = np.concatenate(some, axis=1)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.insert((a[1:] != a[:-1]) | (b[1:] != b[:-1]), 0, True)
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], ["a", "b"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, last = [], None
+        for batch in batches:
+            for bucket, *packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if bucket != last and held:
+                    yield from found(held)
+                    held = []
+                held.append(packed)
+                last = bucket
+        if held:
+            yield from found(held)
+
+    dealt = own.mapInArrow(deal, "bucket long, shingles binary, places binary, runs binary")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "a long, b long").distinct()
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The (fp, root) pairs of nodes whose sets of shingles have a Jaccard similarity of `least` or more.
 
@@ -491,16 +647,22 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
 
     Documents with equal sets of shingles, and those linked by pairs of a Jaccard similarity of `least` or more, transitively, are a
     group. Candidates come from BK-trees of wide fingerprints and every link is checked on the texts, so nothing goes without a
-    partner that similar. A pair is missed if it shares none of the shards, or if both lie near others in all of them that
-    are not similar. Texts stay where they are: the ids to remove, and those to compare, are joined to them, by broadcast up to
+    partner that similar. What these miss - a pair that shares none of the shards, or whose nearest are others - is between two
+    groups: all pairs of different groups that can be similar are then checked too. Texts stay where they are: the ids to remove, and those to compare, are joined to them, by broadcast up to
     NARROW_ROWS counted rows, by a shuffle beyond. A repeated row is one with equal doc_id and text.
     """
     bare = docs.select("doc_id", "text")
-    rows = materialize(text_sets(bare, width), "text-sets")
+    rows = materialize(text_sets(bare, width, least), "text-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     nodes = materialize(rows.groupBy("node", "hi", "lo").agg(first, F.count("*").alias("n")), "nodes")
     pairs = materialize(candidate_links(nodes), "candidate-links")
-    labels = components(similar_links(bare, nodes, pairs, width, least))
+    near = materialize(similar_links(bare, nodes, pairs, width, least), "similar-links")
+    labels = components(near)
+    pairs = materialize(remaining_pairs(rows, labels, least), "remaining-pairs")
+    if not pairs.isEmpty():
+        rest = materialize(similar_links(bare, nodes, pairs, width, least), "remaining-links")
+        if not rest.isEmpty():
+            labels = components(near.unionByName(rest))
     linked = materialize(labels.join(nodes, labels["fp"] == nodes["node"]).select("label", "node", "first"), "linked-sets")
     heads = small(materialize(linked.groupBy("label").agg(F.min("first").alias("head")), "heads"))
     headed = linked.join(heads, "label").select(F.col("node").alias("linked_node"), "head")

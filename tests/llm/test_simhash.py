@@ -184,3 +184,37 @@ def test_shard_candidates(seed, monkeypatch):
     assert 6 <= len(leading) <= 12
     for i, x in enumerate(items):
         assert i in leading or any((x ^ items[k]).bit_count() <= S.WIDE_RADIUS for k in leading if k < i)
+
+
+@pytest.mark.parametrize("listed", [200_000, 0])
+def test_keep_one_loses_no_link(spark, monkeypatch, listed):
+    """Groups whose texts are near many others that are not similar, or share 0.8 of their shingles with far fingerprints."""
+    monkeypatch.setattr(S, "MOST", listed)
+    rng = random.Random(4)
+    frame = [f"f{k}" for k in range(400)]
+    texts = []
+    for _ in range(8):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(12, 90))]
+        texts += [" ".join(edited(rng, base, 0.02)) for _ in range(12)]
+        texts += [" ".join(frame[:300] + base + frame[300:])] * 2  # alike but for some words, similar or not
+    for n in range(1, 9):
+        texts += [" ".join(frame[:n]), " ".join(frame[: n + 1]), " ".join(["a"] * n)]
+    rng.shuffle(texts)
+    got = [r["doc_id"] for r in S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted(kept_by_brute_force(texts))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 40), min_size=1, max_size=30), st.integers(0, 3)), max_size=30), st.sets(st.integers(0, 40)), st.booleans())
+def test_shingle_pairs(sets, common, many):
+    import numpy as np
+
+    sets = sets * 4 if many else sets  # shingles that many have
+    rows = [(s, i, label, len(x), p) for i, (x, label) in enumerate(sets) for p, s in enumerate(S.prefix(np.array(sorted(x), np.uint64), np.array(sorted(common), np.uint64), 0.8).tolist())]
+    columns = [np.array(c, np.int64) for c in zip(*sorted(rows, key=lambda r: (r[0], r[2])))] if rows else [np.empty(0, np.int64)] * 5
+    got = {(a, b) for pair in S.shingle_pairs(*columns, 0.8) for a, b in zip(*(x.tolist() for x in pair))}
+    for i, (x, k) in enumerate(sets):
+        for j, (y, m) in enumerate(sets[:i]):
+            if k != m and len(x & y) >= 0.8 * len(x | y):
+                assert (i, j) in got
+    assert all(a > b and sets[a][1] != sets[b][1] for a, b in got)
