@@ -27,11 +27,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import slices
-from .common import NARROW_ROWS, literals, materialize, remove, small, table
+from .common import MADE, NARROW_ROWS, literals, materialize, remove, remove_since, small, table
 
 SEED = 42
 SHARD = 2048  # fingerprints in a shard; a larger one is dealt again
@@ -346,12 +347,32 @@ def prefix(shingles: np.ndarray, common: np.ndarray, least: float) -> np.ndarray
     return shingles[: n - math.ceil(least * n - 1e-9) + 1]
 
 
+def odd_bits(shingles: np.ndarray) -> bytes:
+    """For each remainder of the hashes a bit: are the set's hashes of it odd in number? As many bits as shingles, up to a power of two."""
+    bits = max(64, 1 << (len(shingles) - 1).bit_length())
+    counts = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts.astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def sets_may_be_similar(size: int, odd: bytes, other_size: int, other_odd: bytes, least: float) -> bool:
+    """Can sets of these sizes and odd_bits() be similar? A bit in which they differ is of a shingle that one alone has."""
+    x, y = (odd, other_odd) if len(odd) >= len(other_odd) else (other_odd, odd)
+    x, y = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for half in (8 * max(len(odd), len(other_odd)) >> i for i in range(1, 64)):
+        if half < 8 * min(len(odd), len(other_odd)):
+            break
+        x = (x >> half) ^ (x & ((1 << half) - 1))  # the remainders by half as many
+    shared = min(size, other_size, (size + other_size - (x ^ y).bit_count()) // 2)
+    return shared >= (least - 1e-9) * (size + other_size - shared)
+
+
 def text_sets(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """One row a document: doc_id, text_hash, node (hash of its set of shingles), hi, lo (its wide fingerprint over pairs of words),
-    size (shingles in its set) and first_shingles, the bytes of its prefix()."""
+    """One row a document: doc_id, text_hash, number (its own), node (hash of its set of shingles), hi, lo (its wide fingerprint over
+    pairs of words), size (shingles in its set), odd, the odd_bits() of the set, and first_shingles, the bytes of its prefix()."""
     common = common_shingles(docs, width)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for whole in batches:
             for batch in slices(whole, 2):
                 words, bounds = word_hashes(batch.column(2))
@@ -361,11 +382,13 @@ def text_sets(docs: DataFrame, width: int, least: float) -> DataFrame:
                 pairs = shingle_hashes(words, bounds, 2)
                 hi = np.fromiter((majority(x) for x in pairs), np.uint64, batch.num_rows)
                 lo = np.fromiter((majority(_mix(x)) for x in pairs), np.uint64, batch.num_rows)
-                size = pa.array([*map(len, sets)], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x.view(np.int64)) for x in (node, hi, lo)), size, firsts], ["doc_id", "text_hash", "node", "hi", "lo", "size", "first_shingles"])
+                size, odd = pa.array([*map(len, sets)], pa.int64()), pa.array([*map(odd_bits, sets)], pa.binary())
+                numbers = pa.array(np.arange(number, number + batch.num_rows))
+                number += batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), numbers, *(pa.array(x.view(np.int64)) for x in (node, hi, lo)), size, odd, firsts], ["doc_id", "text_hash", "number", "node", "hi", "lo", "size", "odd", "first_shingles"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, node long, hi long, lo long, size long, first_shingles binary")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, number long, node long, hi long, lo long, size long, odd binary, first_shingles binary")
 
 
 class NearestTree:
@@ -498,14 +521,16 @@ def may_be_similar(size: np.ndarray, place: np.ndarray, other_size: np.ndarray,
 
 
 def shingle_pairs(shingle: np.ndarray, node: np.ndarray, label: np.ndarray, size: np.ndarray, place: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of nodes of different labels that have a shingle in common, in order of it, and may be similar; all of them, in parts."""
+    """Pairs of nodes of different labels that have a shingle in common, in order of it, and may be similar; all of them, in parts.
+
+    A size of 0 is not known."""
     cut = np.flatnonzero(shingle[1:] != shingle[:-1]) + 1
     counts = np.diff(np.concatenate([[0], cut, [len(shingle)]]))
     ends = np.repeat(np.cumsum(counts), counts)
     crowded = np.repeat(counts > 64, counts)
 
     def of(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = (label[i] != label[j]) & may_be_similar(size[i], place[i], size[j], place[j], least)
+        keep = (label[i] != label[j]) & ((size[i] == 0) | (size[j] == 0) | may_be_similar(size[i], place[i], size[j], place[j], least))
         a, b = node[i[keep]], node[j[keep]]
         return np.maximum(a, b), np.minimum(a, b)
 
@@ -521,54 +546,62 @@ def shingle_pairs(shingle: np.ndarray, node: np.ndarray, label: np.ndarray, size
             yield of(np.full(b - a, a + i), np.arange(a, b))
 
 
-_RUN = np.dtype([("node", "<i8"), ("label", "<i8"), ("size", "<u4"), ("count", "<u4")])
-
-
-def remaining_pairs(rows: DataFrame, labels: DataFrame, least: float) -> DataFrame:
-    """(a, b) pairs of nodes of different labels, all those that may have a Jaccard similarity of `least` or more.
+def remaining_pairs(rows: DataFrame, nodes: DataFrame, labels: DataFrame, least: float) -> DataFrame:
+    """(a, b) pairs of numbers of documents whose nodes have different labels, all those that may have a Jaccard similarity of `least`
+    or more. Documents of a node have one number here, their smallest.
 
     Two such sets have a shingle in common among the first of both. Shingles are dealt into buckets by hash, a bucket for each
-    BUCKET texts, and go there packed, under 32 bits of their hashes: equal bits of two shingles make a pair too many, never one too few.
+    BUCKET texts, and go there packed, under 32 bits of their hashes: equal bits of two shingles make a pair too many, never one too
+    few. A shingle takes ten bytes whatever the buckets: of a set that is alone, whose label is its own, the lower 16 bits of its
+    number go with it, and node, text and bits are looked up for the pairs; only other sets take the whole number and the label.
     """
     buckets = max(1, rows.count() // BUCKET)
-    labels = small(labels.select(F.col("fp").alias("node"), "label"), NARROW_ROWS)
-    own = rows.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "size", "first_shingles")
+    named = nodes.join(labels.withColumnRenamed("fp", "node"), "node", "left").filter("n > 1 OR label IS NOT NULL")
+    named = small(materialize(named.select("node", F.col("number").alias("named"), F.coalesce("label", "node").alias("label")), "named-sets"), NARROW_ROWS)
+    own = rows.join(named, "node", "left").select("number", F.coalesce("named", "number").alias("named"), "label", "size", "first_shingles")
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 3):
-                node, label, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-                lengths = pc.binary_length(batch.column(3)).to_numpy(zero_copy_only=False) // 8
-                shingle = np.frombuffer(b"".join(batch.column(3).to_pylist()), "<u8")
-                text = np.repeat(np.arange(len(node)), lengths)
+            for batch in slices(whole, 4):
+                number, node = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
+                alone = pc.is_null(batch.column(2)).to_numpy(zero_copy_only=False)
+                label = pc.fill_null(batch.column(2), 0).to_numpy(zero_copy_only=False)
+                size = batch.column(3).to_numpy(zero_copy_only=False)
+                size = np.where(size > 65535, 0, size).astype("<u2")
+                lengths = pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False) // 8
+                shingle = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8")
+                text = np.repeat(np.arange(len(number)), lengths)
                 place = np.arange(len(shingle)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                once = np.zeros(len(node), bool)
+                once = np.zeros(len(number), bool)
                 once[np.unique(node, return_index=True)[1]] = True  # of equal sets one
-                shingle, text, place = (x[once[text]] for x in (shingle, text, place))
-                if not len(shingle):
-                    continue
-                bucket = ((shingle >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, text = bucket[order], text[order]
-                starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-                first = np.flatnonzero(np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (text[1:] != text[:-1])]))
-                runs = np.empty(len(first), _RUN)
-                runs["node"], runs["label"], runs["size"] = node[text[first]], label[text[first]], size[text[first]]
-                runs["count"] = np.diff(np.append(first, len(text)))
-                packed = lambda x, at: pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((np.append(at, len(x)) * x.itemsize).astype("<i4")), pa.py_buffer(x.tobytes())])
-                low = packed((shingle[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), starts)
-                where = packed(np.minimum(place[order], 65535).astype("<u2"), starts)  # an earlier place only keeps more pairs
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), low, where, packed(runs, np.searchsorted(first, starts))], ["bucket", "shingles", "places", "runs"])
-
-    def found(held: list[tuple[bytes, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        shingle, place, runs = (np.frombuffer(b"".join(x), kind) for x, kind in zip(zip(*held), ("<u4", "<u2", _RUN)))
-        run = np.repeat(np.arange(len(runs)), runs["count"])
+                upper, kind = np.unique(np.where(alone, number >> 16, -1), return_inverse=True)
+                for own_upper in range(len(upper)):
+                    take = np.flatnonzero((once & (kind == own_upper))[text])
+                    if not len(take):
+                        continue
+                    bucket = ((shingle[take] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+                    order = np.argsort(bucket, kind="stable")
+                    bucket, at = bucket[order], take[order]
+                    starts = np.flatnonzero(np.insert(bucket[1:] != bucket[:-1], 0, True))
+                    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(x)) * x.itemsize).astype("<i4")), pa.py_buffer(x.tobytes())])  # noqa: B023, E731
+                    columns = [(shingle[at] & np.uint64(0xFFFFFFFF)).astype("<u4"), np.minimum(place[at], 65535).astype("<u2"), size[text[at]]]
+                    if upper[own_upper] < 0:
+                        columns += [node[text[at]].astype("<i8"), label[text[at]].astype("<i8")]
+                    else:
+                        columns.append((number[text[at]] & 0xFFFF).astype("<u2"))
+                    columns = [*map(packed, columns), pa.nulls(len(starts), pa.binary())][:5]
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(np.full(len(starts), upper[own_upper])), *columns], ["bucket", "upper", "shingles", "places", "sizes", "numbers", "labels"])
+
+    def found(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        shingle, place, size = (np.frombuffer(b"".join(x), kind) for x, kind in zip([*zip(*held)][1:4], ("<u4", "<u2", "<u2")))
+        # the label of a set that is alone is its number
+        number = np.concatenate([np.frombuffer(x[4], "<i8") if x[0] < 0 else np.frombuffer(x[4], "<u2") + (np.int64(x[0]) << 16) for x in held])
+        label = np.concatenate([np.frombuffer(x[5], "<i8") if x[0] < 0 else np.frombuffer(x[4], "<u2") + (np.int64(x[0]) << 16) for x in held])
         order = np.argsort(shingle, kind="stable")
         same = shingle[order][1:] == shingle[order][:-1]
         order = order[np.append(same, False) | np.insert(same, 0, False)] if len(order) else order  # shingles of several rows
-        node, label = runs["node"][run[order]], runs["label"][run[order]]
-        order = order[by := np.lexsort((place[order], node, label, shingle[order]))]
-        columns = shingle[order].astype(np.int64), node[by], label[by], runs["size"][run[order]].astype(np.int64), place[order].astype(np.int64)
+        order = order[np.lexsort((place[order], number[order], label[order], shingle[order]))]
+        columns = shingle[order].astype(np.int64), number[order], label[order], size[order].astype(np.int64), place[order].astype(np.int64)
         new = np.insert((columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1]), 0, True) if len(order) else np.empty(0, bool)
         columns = [x[new] for x in columns]
         if not len(columns[0]):
@@ -596,7 +629,7 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, least: float) -> DataFra
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, last = [], None
         for batch in batches:
-            for bucket, *packed in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for bucket, *packed in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if bucket != last and held:
                     yield from found(held)
                     held = []
@@ -605,10 +638,29 @@ def remaining_pairs(rows: DataFrame, labels: DataFrame, least: float) -> DataFra
         if held:
             yield from found(held)
 
-    dealt = own.mapInArrow(deal, "bucket long, shingles binary, places binary, runs binary")
+    dealt = own.mapInArrow(deal, "bucket long, upper long, shingles binary, places binary, sizes binary, numbers binary, labels binary")
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(gather, "a long, b long").distinct()
 
 
+def possible_pairs(rows: DataFrame, pairs: DataFrame, key: str, least: float) -> DataFrame:
+    """pairs, (a, b) of the key column of rows -> those of their nodes whose sets may be similar by size and odd_bits().
+
+    The bits are a 64th of the set or little more, and tell unlike sets apart: few whole sets then meet.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, *marks = (batch.column(i) for i in range(6))
+            keep = [sets_may_be_similar(*x, least) for x in zip(*(m.to_pylist() for m in marks))]
+            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ends = small(pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct(), NARROW_ROWS)
+    marks = materialize(rows.select(key, F.col("node").alias("own_node"), "size", "odd").join(ends, key, "left_semi").dropDuplicates([key]), "marks")
+    left, right = (marks.select(F.col(key).alias(c), *(F.col(x).alias(f"{c}_{x}") for x in ("own_node", "size", "odd"))) for c in "ab")
+    both = pairs.join(left, "a").join(right, "b").select(F.greatest("a_own_node", "b_own_node").alias("a"), F.least("a_own_node", "b_own_node").alias("b"), "a_size", "a_odd", "b_size", "b_odd")
+    return both.mapInArrow(run, "a long, b long")
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """The (fp, root) pairs of nodes whose sets of shingles have a Jaccard similarity of `least` or more.
 
@@ -654,13 +706,21 @@ def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
     bare = docs.select("doc_id", "text")
     rows = materialize(text_sets(bare, width, least), "text-sets")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    nodes = materialize(rows.groupBy("node", "hi", "lo").agg(first, F.count("*").alias("n")), "nodes")
-    pairs = materialize(candidate_links(nodes), "candidate-links")
-    near = materialize(similar_links(bare, nodes, pairs, width, least), "similar-links")
+    nodes = materialize(rows.groupBy("node", "hi", "lo").agg(first, F.count("*").alias("n"), F.min("number").alias("number")), "nodes")
+
+    def similar(pairs: DataFrame, key: str, name: str) -> DataFrame:
+        possible = materialize(possible_pairs(rows, pairs, key, least), f"possible-{name}")
+        return materialize(similar_links(bare, nodes, possible, width, least), name)
+
+    mark = len(MADE)
+    near = similar(materialize(candidate_links(nodes), "candidate-links"), "node", "similar-links")
+    remove_since(docs.sparkSession, mark, near.scratch_path)
     labels = components(near)
-    pairs = materialize(remaining_pairs(rows, labels, least), "remaining-pairs")
+    mark = len(MADE)
+    pairs = materialize(remaining_pairs(rows, nodes, labels, least), "remaining-pairs")
     if not pairs.isEmpty():
-        rest = materialize(similar_links(bare, nodes, pairs, width, least), "remaining-links")
+        rest = similar(pairs, "number", "remaining-links")
+        remove_since(docs.sparkSession, mark, rest.scratch_path)
         if not rest.isEmpty():
             labels = components(near.unionByName(rest))
     linked = materialize(labels.join(nodes, labels["fp"] == nodes["node"]).select("label", "node", "first"), "linked-sets")

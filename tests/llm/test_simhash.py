@@ -218,3 +218,52 @@ def test_shingle_pairs(sets, common, many):
             if k != m and len(x & y) >= 0.8 * len(x | y):
                 assert (i, j) in got
     assert all(a > b and sets[a][1] != sets[b][1] for a, b in got)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=200), st.sets(st.integers(0, 2**64 - 1), max_size=40))
+def test_sets_that_are_similar_may_be(both, one, other):
+    import numpy as np
+
+    x, y = both | one, both | other
+    marks = [v for s in (x, y) for v in (len(s), S.odd_bits(np.array(sorted(s), np.uint64)))]
+    for least in (0.5, 0.8, 1.0):
+        if len(x & y) >= least * len(x | y):
+            assert S.sets_may_be_similar(*marks, least)
+
+
+def test_few_unlike_sets_meet_whole(spark, monkeypatch):
+    """Texts that share a rare passage and little else are pairs to look at, but their whole sets are not sent to one another."""
+    monkeypatch.setattr(S, "MOST", 0)  # the passage is not known as common
+    rng = random.Random(3)
+    passage = [f"p{k}" for k in range(40)]
+    texts = [" ".join([*(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(100, 160))), *passage]) for _ in range(60)]
+    texts.append(" ".join([*texts[0].split()[:-1], "changed"]))
+    sent, possible = [], S.possible_pairs
+
+    def counted(*args):
+        out = possible(*args)
+        sent.append((args[1].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(S, "possible_pairs", counted)
+    got = sorted(r["doc_id"] for r in S.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect())
+    assert got == list(range(60)) == sorted(kept_by_brute_force(texts))
+    assert sum(a for a, _ in sent) > 100 and sum(b for _, b in sent) < 5
+
+
+def test_dealt_shingles_take_few_bytes(spark, monkeypatch):
+    """What is dealt for a text that is alone grows with its shingles, not with the number of buckets that they are in."""
+    monkeypatch.setattr(S, "BUCKET", 5)
+    rng = random.Random(6)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(400)) for _ in range(600)]
+    rows = S.materialize(S.text_sets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5, 0.8), "test-sets")
+    nodes = rows.select("node", F.lit(1).alias("n"), "number")
+    seen = []
+    plain = type(rows).repartition
+    monkeypatch.setattr(type(rows), "repartition", lambda self, *a: (seen.append(self), plain(self, *a))[1])
+    assert S.remaining_pairs(rows, nodes, spark.createDataFrame([], "fp long, label long"), 0.8).count() == 0
+    dealt = seen[0]
+    each = sum(F.coalesce(F.octet_length(c), F.lit(0)) for c in dealt.columns if c not in ("bucket", "upper"))
+    shingles = rows.agg(F.sum(F.octet_length("first_shingles"))).first()[0] / 8
+    assert dealt.agg(F.sum(each)).first()[0] <= 10 * shingles
