@@ -258,7 +258,7 @@ class TextEncoder:
         runs = pc.ascii_split_whitespace(pc.fill_null(texts, "").cast(pa.large_string()))
         per_text = np.diff(runs.offsets.to_numpy())
         coded = runs.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()  # to_pylist() makes a scalar of each first
         if len(self.known) > self.remember:
             self.forget()
         new = [r for r in distinct if r not in self.known]
@@ -266,10 +266,10 @@ class TextEncoder:
             self.add(new)
         own = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
         self.seen[own] += 1
-        place = own[coded.indices.to_numpy()]
-        sizes = self.sizes[place]
+        place = own.take(coded.indices.to_numpy())
+        sizes = self.sizes.take(place)
         ends = np.concatenate([[0], np.cumsum(sizes)])
-        out = self.ids[spread(self.starts[place], sizes)]
+        out = self.ids.take(spread(self.starts.take(place), sizes))
         bounds = np.concatenate([[0], np.cumsum(per_text)])
         return out, np.diff(ends[bounds])
 

@@ -64,55 +64,60 @@ class Model:
     """The predictions of n lanes; predict() and update() are called in turn for each id of every lane."""
 
     def __init__(self, n: int):
+        # a row an order: what is alike for several is one numpy operation
         lanes = np.arange(n, dtype=np.int64)
-        self.base0, self.base1, self.base2 = lanes * ORDER0, lanes * ORDER1, lanes * ORDER2
+        self.base0, self.base = lanes * ORDER0, np.stack([lanes * ORDER1, n * ORDER1 + lanes * ORDER2])
         self.t0 = np.zeros(n * ORDER0, np.int8)  # how often the lane had an id, by its lower bits
-        self.t1, self.t2 = np.zeros(n * ORDER1, np.int32), np.zeros(n * ORDER2, np.int32)  # confidence << 20 | place + 1
-        self.lane8 = lanes * 8
-        self.e1, self.e2, self.e0 = np.full(n * 8, 1024, np.int32), np.full(n * 8, 2048, np.int32), np.full(n * 8, 1024, np.int32)
-        self.w1, self.w2, self.w0 = np.full(n, 24000, np.int32), np.full(n, 24000, np.int32), np.full(n, 12000, np.int32)
+        self.t = np.zeros(n * (ORDER1 + ORDER2), np.int32)  # of orders 1 and 2: confidence << 20 | place + 1
+        self.lane8 = np.stack([lanes * 8 + r * 8 * n for r in range(3)])
+        self.e = np.repeat(np.array([1024, 1024, 2048], np.int32), n * 8)
+        self.w = np.repeat(np.array([[12000], [24000], [24000]], np.int32), n, axis=1)
         self.p1, self.p2 = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        self.i, self.j = np.zeros((2, n), np.int64), np.zeros((3, n), np.int64)
         self.stretch, self.squash = _tables()
 
     def narrow(self, n: int) -> None:
         """Goes on with the first n lanes."""
-        for name in ("base0", "base1", "base2", "lane8", "w0", "w1", "w2", "p1", "p2"):
-            setattr(self, name, getattr(self, name)[:n])
+        for name in ("base0", "base", "lane8", "w", "p1", "p2", "i", "j"):
+            setattr(self, name, getattr(self, name)[..., :n])
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """(predicted place + 1 or 0, probability of it in 16 bits)."""
-        self.i1 = self.base1 + (self.p1 & (ORDER1 - 1))
-        self.i2 = self.base2 + ((self.p2 * 1327 + self.p1 * 31) & (ORDER2 - 1))
-        self.s1, self.s2 = self.t1[self.i1], self.t2[self.i2]
-        self.c1, self.c2 = self.s1 & 0xFFFFF, self.s2 & 0xFFFFF
-        k1, k2 = self.s1 >> 20, self.s2 >> 20
-        self.guess = np.where((k2 > 0) | (self.c1 == 0), self.c2, self.c1)
-        both = self.c1 == self.c2
-        self.j1, self.j2 = self.lane8 + (2 * k1 + both), self.lane8 + (2 * k2 + both)
-        self.j0 = self.lane8 + self.t0[self.base0 + (self.guess & (ORDER0 - 1))]
-        self.q1, self.q2, self.q0 = self.e1[self.j1], self.e2[self.j2], self.e0[self.j0]
-        self.x1, self.x2, self.x0 = self.stretch[self.q1], self.stretch[self.q2], self.stretch[self.q0]
-        dot = (self.w1 * self.x1 + self.w2 * self.x2 + self.w0 * self.x0) >> 15
-        self.p = self.squash[np.minimum(np.maximum(dot, -2047), 2047) + 2047]
+        i, j = self.i, self.j
+        np.bitwise_and(self.p1, ORDER1 - 1, out=i[0])
+        np.bitwise_and(self.p2 * 1327 + self.p1 * 31, ORDER2 - 1, out=i[1])
+        i += self.base
+        self.s = self.t.take(i)  # take() is faster than an index
+        self.c, self.k = c, k = self.s & 0xFFFFF, self.s >> 20
+        self.guess = np.where((k[1] > 0) | (c[0] == 0), c[1], c[0])
+        j[0] = self.t0.take(self.base0 + (self.guess & (ORDER0 - 1)))
+        np.add(k << 1, c[0] == c[1], out=j[1:])
+        j += self.lane8
+        self.q = self.e.take(j)
+        self.x = self.stretch.take(self.q)
+        dot = self.w * self.x
+        self.p = self.squash.take(((dot[0] + dot[1] + dot[2]) >> 15) + 2047, mode="clip")
         return self.guess, self.p << 4
 
     def update(self, place: np.ndarray, hit: np.ndarray) -> None:
         target = hit.astype(np.int32) << 12
-        error = (target - self.p) * 10
-        for w, x in ((self.w1, self.x1), (self.w2, self.x2), (self.w0, self.x0)):
-            w += (x * error) >> 12
-            np.minimum(w, 1 << 17, out=w)  # so that three products fit 31 bits
-            np.maximum(w, -(1 << 17), out=w)
+        step = self.x * ((target - self.p) * 10)
+        step >>= 12
+        w = self.w
+        w += step
+        np.minimum(w, 1 << 17, out=w)  # so that three products fit 31 bits
+        np.maximum(w, -(1 << 17), out=w)
         # shifts round down, so that estimates stay within 15 of either end
-        for e, j, q in ((self.e1, self.j1, self.q1), (self.e2, self.j2, self.q2), (self.e0, self.j0, self.q0)):
-            e[j] = np.minimum(q + ((target - q) >> 4), 4095)
+        np.subtract(target, self.q, out=step)
+        step >>= 4
+        step += self.q
+        self.e[self.j] = np.minimum(step, 4095, out=step)
         new = (place + 1).astype(np.int32)
         i0 = self.base0 + (new & (ORDER0 - 1))
-        self.t0[i0] = np.minimum(self.t0[i0] + 1, 7)
-        for t, i, s, c in ((self.t1, self.i1, self.s1, self.c1), (self.t2, self.i2, self.s2, self.c2)):
-            k = s >> 20
-            # right: surer, up to 3; wrong: less sure, replaced when not sure at all
-            t[i] = np.where(c == new, np.minimum(s + (1 << 20), 3 << 20 | c), np.where(k > 1, s - (2 << 20), new))
+        self.t0[i0] = np.minimum(self.t0.take(i0) + 1, 7)
+        # right: surer, up to 3; wrong: less sure, replaced when not sure at all
+        right = np.minimum(self.s + (1 << 20), 3 << 20 | self.c)
+        self.t[self.i] = np.where(self.c == new, right, np.where(self.k > 1, self.s - (2 << 20), new))
         self.p2, self.p1 = self.p1, place
 
 
@@ -131,7 +136,7 @@ class Coder:
         self.range = np.where(hit, share, self.range - share)
 
     def symbol(self, at: np.ndarray, start: np.ndarray, freq: np.ndarray, r: np.ndarray) -> None:
-        self.low[at] += r * start
+        self.low[at] = self.low.take(at) + r * start
         self.range[at] = r * freq
 
     def settled(self):
@@ -139,10 +144,11 @@ class Coder:
         low, rng = self.low, self.range
         todo = np.flatnonzero(((low ^ (low + rng)) < _TOP) | (rng < _BOT))
         while len(todo):
-            a, b = low[todo], rng[todo]
-            cut = (a ^ (a + b)) >= _TOP  # straddles: the range is cut so that the top is settled
-            b = np.where(cut, (~a + _U(1)) & (_BOT - _U(1)), b)
-            b = np.where(b == 0, _BOT, b)
+            a, b = low.take(todo), rng.take(todo)
+            cut = np.flatnonzero((a ^ (a + b)) >= _TOP)  # straddles, which is rare: the range is cut so that the top is settled
+            if len(cut):
+                b[cut] = (~a[cut] + _U(1)) & (_BOT - _U(1))
+                b[b == 0] = _BOT
             yield todo, a >> _U(48)
             a, b = a << _U(16), b << _U(16)
             low[todo], rng[todo] = a, b
@@ -157,7 +163,7 @@ class Encoder(Coder):
 
     def shift(self) -> None:
         for lanes, words in self.settled():
-            at = self.at[lanes]
+            at = self.at.take(lanes)
             self.out[at] = words
             self.at[lanes] = at + 1
 
@@ -186,7 +192,7 @@ class Decoder(Coder):
 
     def places(self, at: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Which of the 1 << TOTAL parts of width r the value is in: a quotient of doubles, put right by its remainder."""
-        off = self.value[at] - self.low[at]
+        off = self.value.take(at) - self.low.take(at)
         got = np.minimum((off / r).astype(_U), _U((1 << TOTAL) - 1))
         rest = off - got * r
         got -= rest >> _U(63)
@@ -194,8 +200,8 @@ class Decoder(Coder):
 
     def shift(self) -> None:
         for lanes, _ in self.settled():
-            at = self.at[lanes]
-            self.value[lanes] = self.value[lanes] << _U(16) | self.words[at]
+            at = self.at.take(lanes)
+            self.value[lanes] = self.value.take(lanes) << _U(16) | self.words.take(at)
             self.at[lanes] = at + 1
 
 
@@ -233,8 +239,8 @@ def encode_lanes(places: np.ndarray, freq: np.ndarray) -> list[np.ndarray]:
         coder.flag(hit, (coder.range >> _U(16)) * p.astype(_U))
         miss = np.flatnonzero(~hit)
         if len(miss):
-            own = place[miss]
-            coder.symbol(miss, start[own], freq[own], coder.range[miss] >> _U(TOTAL))
+            own = place.take(miss)
+            coder.symbol(miss, start.take(own), freq.take(own), coder.range.take(miss) >> _U(TOTAL))
         coder.shift()
         model.update(place, hit)
     if width < n:
@@ -268,15 +274,15 @@ def decode_lanes(words: np.ndarray, starts: np.ndarray, count: int, freq: np.nda
         place = guess.astype(np.int64) - 1
         miss = np.flatnonzero(~hit)
         if len(miss):
-            r = coder.range[miss] >> _U(TOTAL)
+            r = coder.range.take(miss) >> _U(TOTAL)
             got = coder.places(miss, r)
             upper = (got >> _U(TOTAL - 14)).astype(np.int64)
-            found = coarse[upper]
-            hard = np.flatnonzero(~single[upper])
+            found = coarse.take(upper)
+            hard = np.flatnonzero(~single.take(upper))
             if len(hard):
                 found[hard] = np.searchsorted(ends, got[hard], "right")
             place[miss] = found
-            coder.symbol(miss, start[found], freq[found], r)
+            coder.symbol(miss, start.take(found), freq.take(found), r)
         coder.shift()
         out[t, :width] = place
         model.update(place, hit)
@@ -389,12 +395,13 @@ def library_encoder(path: str) -> TextEncoder:
             plain = np.flatnonzero(pc.is_valid(parts).to_numpy(zero_copy_only=False))
             words = pc.utf8_lower(parts.field("word")).take(pa.array(plain)).dictionary_encode()
             marks = parts.field("marks").take(pa.array(plain)).dictionary_encode()
-            distinct = words.dictionary.to_pylist()
+            listed = lambda x: x.to_numpy(zero_copy_only=False).tolist()
+            distinct = listed(words.dictionary)
             learn(distinct)
             of_words = [known[w] for w in distinct]
-            of_marks = [encode(own, m).tobytes() if m else b"" for m in marks.dictionary.to_pylist()]
+            of_marks = [encode(own, m).tobytes() if m else b"" for m in listed(marks.dictionary)]
             out: list[bytes] = [b""] * len(texts)
-            for k, w, m in zip(plain.tolist(), words.indices.to_pylist(), marks.indices.to_pylist()):
+            for k, w, m in zip(plain.tolist(), listed(words.indices), listed(marks.indices)):
                 out[k] = of_words[w] + of_marks[m]
             rest = np.ones(len(texts), bool)
             rest[plain] = False
