@@ -48,11 +48,16 @@ def unpad(rows: DataFrame) -> DataFrame:
     return rows.filter(~F.col("is_pad")).drop("is_pad")
 
 
-def unfold(rows: DataFrame, column: str, parts: int) -> DataFrame:
-    """An array column cut into equal parts, one row each; the last part also holds what is left over. The other columns repeat."""
-    size = (F.size(column) / parts).cast("int")
-    length = lambda i: F.when(i == parts - 1, F.size(column) - i * size).otherwise(size)
-    return rows.select(*[c for c in rows.columns if c != column], F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.slice(F.col(column), (i * size + 1).cast("int"), length(i)))).alias("part", column))
+def unfold(rows: DataFrame, column: str, parts: int, size: int | None = None) -> DataFrame:
+    """An array column cut into contiguous parts, one row each; the other columns repeat.
+
+    Equal parts of each array, the last also holds what is left over; or, with size, parts of that many values whatever the array's
+    length: a short array's last ones are short or empty, a long one has more than `parts`.
+    """
+    each = F.lit(size) if size else (F.size(column) / parts).cast("int")
+    last = F.greatest(F.lit(parts), F.ceil(F.size(column) / size).cast("int")) - 1 if size else F.lit(parts - 1)
+    length = lambda i: F.when(i == last, F.greatest(F.size(column) - i * each, F.lit(0))).otherwise(each)
+    return rows.select(*[c for c in rows.columns if c != column], F.posexplode(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(F.col(column), (i * each + 1).cast("int"), length(i)))).alias("part", column))
 
 
 def fold(rows: DataFrame, position: str, size: int, columns: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Whole sequences: nothing is cut off."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lodestar import plans
@@ -26,3 +27,20 @@ def test_ivf_answers_every_vector(spark):
     sf = "/root/testdata/sf0.001"
     want = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").distinct().count()
     assert plans.QUERIES["ivf_search"](spark, sf).select("qid").distinct().count() == want
+
+
+def test_unfold_parts_of_a_size(spark):
+    rows = spark.createDataFrame([(n, list(range(n))) for n in (0, 5, 45, 48)], "n int, r array<int>")
+    got = {}
+    for r in reshape.unfold(rows, "r", 4, 12).orderBy("n", "part").collect():
+        got.setdefault(r["n"], []).append(r["r"])
+    assert got == {n: [list(range(n))[a : a + 12] for a in (0, 12, 24, 36)] for n in (0, 5, 45, 48)}
+
+
+def test_unfold_chunks_of_short_sequences_equal_sql(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("event_id"), F.when(F.col("id") < 45, 1).otherwise(2).cast("long").alias("user_id"), (F.col("id") * 3.5).alias("value")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {(r[0], r[1]): r[2] for r in con.sql(plans.ORACLE_SQL["unfold_chunks"]).fetchall()}
+    got = {(r["uid"], r["part"]): r["s"] for r in plans.QUERIES["unfold_chunks"](spark, str(tmp_path)).collect()}
+    assert got == want and got[(2, 3)] is None
