@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from decimal import ROUND_HALF_EVEN, Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -153,8 +154,11 @@ def take_slice(rows: DataFrame, position: str, start: int = 0, stop: int | None
     return rows.filter(kept if stop is None else kept & (at < stop))
 
 
-def split_slice(rows: DataFrame, order: str, spec: str) -> DataFrame:
-    """A split expression such as [:75%], [-25%:] or [10:20] over rows in order; percent bounds are rounded to whole rows."""
+def split_slice(rows: DataFrame, order: str, spec: str, halves: str = ROUND_HALF_EVEN) -> DataFrame:
+    """A split expression such as [:75%], [-25%:] or [10:20] over rows in order; percent bounds are rounded to whole rows.
+
+    halves is decimal's rounding: to even, or ROUND_HALF_UP, away from zero as SQL does.
+    """
     inner = spec.strip()[1:-1] if spec.strip().startswith("[") else spec
     low, _, high = inner.partition(":")
     placed = with_position(rows, order)
@@ -163,7 +167,7 @@ def split_slice(rows: DataFrame, order: str, spec: str) -> DataFrame:
     def bound(x: str, default: int) -> int:
         if not x.strip():
             return default
-        at = round(float(x.strip()[:-1]) * n / 100) if x.strip().endswith("%") else int(x)
+        at = int((Decimal(x.strip()[:-1]) * n / 100).to_integral_value(halves)) if x.strip().endswith("%") else int(x)
         return min(n, max(0, at + n if x.strip().startswith("-") else at))
 
     return placed.filter((F.col("position") >= bound(low, 0)) & (F.col("position") < bound(high, n)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -147,7 +149,7 @@ def mask_slice(spark, sf):
 @query("split_slices", "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS p, count(*) OVER () AS n FROM documents) SELECT doc_id, 'head' AS part FROM p WHERE p < round(n * 0.75) UNION ALL SELECT doc_id, 'tail' FROM p WHERE p >= n - round(n * 0.25) UNION ALL SELECT doc_id, 'some' FROM p WHERE p >= 10 AND p < 20")
 def split_slices(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
-    part = lambda spec, name: B.split_slice(d, "doc_id", spec).select("doc_id", F.lit(name).alias("part"))
+    part = lambda spec, name: B.split_slice(d, "doc_id", spec, ROUND_HALF_UP).select("doc_id", F.lit(name).alias("part"))
     return part("[:75%]", "head").unionByName(part("[-25%:]", "tail")).unionByName(part("[10:20]", "some"))
 
 

@@ -50,3 +50,12 @@ def test_unfold_chunks_hold_every_event(spark, tmp_path):
     spark.range(250).select(F.col("id").alias("event_id"), F.when(F.col("id") < 50, 1).otherwise(2).cast("long").alias("user_id"), (F.col("id") * 97.0).alias("value")).write.parquet(f"{tmp_path}/events.parquet")
     got = {r["uid"]: (r["n"], r["s"]) for r in plans.QUERIES["unfold_chunks"](spark, str(tmp_path)).groupBy("uid").agg(F.count("*").alias("n"), F.sum("s").alias("s")).collect()}
     assert got == {1: (5, sum(range(50))), 2: (17, sum(range(50, 250)))}
+
+
+def test_split_slices_round_halves_as_sql(spark, tmp_path):
+    for n in (22, 26):  # a quarter is 5.5 and 6.5, three quarters are 16.5 and 19.5
+        spark.range(n).withColumnRenamed("id", "doc_id").write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
+        got = sorted(tuple(r) for r in plans.QUERIES["split_slices"](spark, f"{tmp_path}/{n}").select("doc_id", "part").collect())
+        assert got == sorted(con.sql(plans.ORACLE_SQL["split_slices"]).fetchall())
