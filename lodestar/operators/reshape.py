@@ -157,16 +157,20 @@ def balance(rows: DataFrame, batch: str, key: str, cost: str, k: int, equal: boo
 
 
 def micro_batches(rows: DataFrame, batch: str, key: str, length: str, most: int, multiple: int = 1) -> DataFrame:
-    """(batch, key, micro): as few parts as the token budget asks for, balanced by workload, small ones at both ends."""
+    """(batch, key, micro): as few parts as the token budget asks for, balanced by workload, small ones at both ends.
+
+    A sequence longer than the budget is a part of its own; the others are balanced among themselves.
+    """
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (batch, key)}
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(key)
         n = f[length].to_numpy(float)
-        if n.max() > most:
-            raise ValueError(f"a sequence of {n.max():.0f} tokens; the budget is {most}")
-        count = -(-max(1, math.ceil(n.sum() / most)) // multiple) * multiple
-        parts = karmarkar_karp(24576 * n + n * n, min(len(n), count))
+        whole, rest = np.flatnonzero(n > most), np.flatnonzero(n <= most)
+        count = -(-(len(whole) + max(min(1, len(rest)), math.ceil(n[rest].sum() / most))) // multiple) * multiple
+        parts = [[i] for i in whole]
+        if len(rest):
+            parts += [[rest[i] for i in p] for p in karmarkar_karp(24576 * n[rest] + n[rest] ** 2, min(len(n), count) - len(whole))]
         parts.sort(key=lambda p: sum(24576 * n[i] + n[i] ** 2 for i in p))
         parts = parts[::2] + parts[1::2][::-1]
         out = np.empty(len(f), int)

@@ -59,3 +59,14 @@ def test_split_slices_round_halves_as_sql(spark, tmp_path):
         con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/{n}/documents.parquet/*.parquet'")
         got = sorted(tuple(r) for r in plans.QUERIES["split_slices"](spark, f"{tmp_path}/{n}").select("doc_id", "part").collect())
         assert got == sorted(con.sql(plans.ORACLE_SQL["split_slices"]).fetchall())
+
+
+def test_micro_batches_of_a_long_sequence(spark):
+    lengths = {"a": [40, 900, 30, 60, 20, 301], "b": [700], "c": [10, 20]}
+    rows = spark.createDataFrame([(b, i, n) for b, ns in lengths.items() for i, n in enumerate(ns)], "b string, k int, n int")
+    got = {}
+    for r in reshape.micro_batches(rows, "b", "k", "n", 300).collect():
+        got.setdefault(r["b"], {}).setdefault(r["micro"], []).append(lengths[r["b"]][r["k"]])
+    parts = {b: sorted(sorted(p) for p in of.values()) for b, of in got.items()}
+    assert parts == {"a": [[20, 30, 40, 60], [301], [900]], "b": [[700]], "c": [[10, 20]]}
+    assert all(sorted(of) == list(range(len(of))) for of in got.values())
