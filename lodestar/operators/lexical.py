@@ -78,6 +78,26 @@ def bm25(queries: DataFrame, index: LexicalIndex, k: int, k1: float = 0.9, b: fl
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "doc_id", "score")
 
 
+def holders(passages: DataFrame, index: LexicalIndex, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rarest: int = 5) -> DataFrame:
+    """(qid, text) -> qid, doc_id: every document whose text contains the passage as it stands.
+
+    A passage's terms but its first and last, which may be parts of longer words, are terms of any text that contains it. Documents
+    that have the rarest of them are candidates, whose texts are then searched; passages of fewer than three terms meet every text.
+    """
+    t = tokens("text")
+    asked = passages.select("qid", "text", F.array_distinct(F.slice(t, F.lit(2), F.greatest(F.size(t) - 2, F.lit(0)))).alias("inner"))
+    found = asked.select("qid", "text", F.explode("inner").alias("term")).join(index.terms, "term", "left")
+    order = Window.partitionBy("qid", "text").orderBy(F.coalesce("df", F.lit(0)), "term")
+    picked = found.withColumn("r_", F.row_number().over(order)).filter(F.col("r_") <= rarest).select("qid", "text", "term")
+    need = picked.groupBy("qid", "text").agg(F.count("*").alias("need_"))
+    met = index.postings.select("term", "doc_id").join(small(picked), "term").groupBy("qid", "text", "doc_id").agg(F.count("*").alias("n_"))
+    candidates = written(met.join(small(need), ["qid", "text"]).filter("n_ >= need_").select("qid", "doc_id", F.col("text").alias("passage_")), "candidates")
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("whole_"))
+    holds = F.contains("whole_", F.col("passage_"))
+    short = small(asked.filter(F.size("inner") == 0).select("qid", F.col("text").alias("passage_")))
+    return texts.join(small(candidates), "doc_id").filter(holds).select("qid", "doc_id").unionByName(texts.join(short, holds).select("qid", "doc_id"))
+
+
 def weights(index: LexicalIndex, k1: float = 0.9, b: float = 0.4) -> DataFrame:
     """The index as sparse vectors: doc_id, term, weight."""
     n, avgdl = (index.corpus.select(c).scalar() for c in ("n", "avgdl"))

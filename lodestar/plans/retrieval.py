@@ -136,14 +136,12 @@ def ranking_eval(spark, sf):
 
 @query("ranking_eval_planted", f"WITH {bm25_ctes()}, truth AS (SELECT item_id AS qid, (SELECT min(doc_id) FROM documents d WHERE contains(d.text, b.text)) AS id FROM benchmark b), met AS (SELECT t.*, rank FROM truth t LEFT JOIN (SELECT * FROM lex WHERE rank <= 10) l ON t.qid = l.qid AND t.id = l.id) SELECT count(*) AS n, count(id) AS n_usable, round(avg(coalesce(rank <= 3, false)::INT), 6) AS top3, round(avg(coalesce(rank <= 5, false)::INT), 6) AS top5, round(avg(CASE WHEN id IS NOT NULL THEN coalesce(1.0 / rank, 0) END), 6) AS mrr FROM met")
 def ranking_eval_planted(spark, sf):
-    """Truth: the first document that holds a benchmark passage, found by joining on the passage's first five words."""
-    lead = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 5), " ")
-    asked = _asked(spark, sf).withColumn("lead", lead(F.col("text")))
-    w = F.split("text", r"[ \n]")
-    grams = table(spark, sf, "documents").select("doc_id", F.col("text").alias("whole"), F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 5), " ")))).alias("lead"))
-    found = grams.join(lexical.small(asked), "lead").filter(F.contains("whole", F.col("text"))).groupBy("qid").agg(F.min("doc_id").alias("id"))
+    """Truth: the first document that holds a benchmark passage, found by the passage's rarest terms."""
+    asked, docs = _asked(spark, sf), table(spark, sf, "documents")
+    index = lexical.build_index(docs)
+    found = lexical.holders(asked, index, docs).groupBy("qid").agg(F.min("doc_id").alias("id"))
     truth = asked.select("qid").join(found, "qid", "left")
-    got = fusion.evaluate_ranking(truth, _bm25(spark, sf).withColumnRenamed("doc_id", "id"))
+    got = fusion.evaluate_ranking(truth, lexical.bm25(asked, index, 10).withColumnRenamed("doc_id", "id"))
     return got.select("n", "n_usable", *[r6(c).alias(c) for c in ("top3", "top5", "mrr")])
 
 

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from lodestar import plans
-from lodestar.operators import reshape
+from lodestar.operators import lexical, reshape
 from lodestar.plans import rollouts
 
 
@@ -70,3 +70,23 @@ def test_micro_batches_of_a_long_sequence(spark):
     parts = {b: sorted(sorted(p) for p in of.values()) for b, of in got.items()}
     assert parts == {"a": [[20, 30, 40, 60], [301], [900]], "b": [[700]], "c": [[10, 20]]}
     assert all(sorted(of) == list(range(len(of))) for of in got.values())
+
+
+def test_holders_are_all_texts_that_contain_a_passage(spark):
+    texts = {1: "(alpha beta gamma delta epsilon zeta", 2: "xalpha beta gamma delta epsilon zetas", 3: "alpha beta gamma zeta delta epsilon", 4: "one\ttwo", 5: "", 6: "Alpha Beta Gamma Delta Epsilon Zeta", 7: None}
+    asked = {0: "alpha beta gamma delta epsilon zeta", 1: "two", 2: "ma delta eps", 3: "nowhere near any of these", 4: "", 5: None, 6: "beta gamma"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["qid"], r["doc_id"]) for r in lexical.holders(spark.createDataFrame(list(asked.items()), "qid long, text string"), lexical.build_index(docs), docs).collect()}
+    assert got == {(q, d) for q, a in asked.items() for d, t in texts.items() if a is not None and t is not None and a in t}
+
+
+def test_planted_truth_is_any_text_that_contains_the_passage(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents AS SELECT * FROM (VALUES (1, 'other words only, none of it'), (2, '(alpha beta gamma delta epsilon zeta'), (3, 'alpha beta gamma delta epsilon zeta')) t(doc_id, text)")
+    con.execute("CREATE TABLE benchmark AS SELECT * FROM (VALUES (0, 'alpha beta gamma delta epsilon zeta'), (1, 'words only')) t(item_id, text)")
+    for t in ("documents", "benchmark"):
+        con.execute(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    got = plans.QUERIES["ranking_eval_planted"](spark, str(tmp_path))
+    rel = con.sql(plans.ORACLE_SQL["ranking_eval_planted"])
+    want = dict(zip(rel.columns, rel.fetchall()[0]))
+    assert got.first().asDict() == want and want["n_usable"] == 2
