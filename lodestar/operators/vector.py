@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 TILE = 1024  # queries that travel together
 BLOCK = 4096  # vectors of the corpus that travel together where the queries are many
+TILES, SHARE = 4096, 16384  # queries and vectors of the corpus, of any cluster, that are dealt to one share of each cluster
+CELLS = 2**21  # scores held at once
 
 
 def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +87,67 @@ def train_centroids(corpus: DataFrame, n: int, sample: int = 20_000, rounds: int
 
 
 def assign(rows: DataFrame, centroids: np.ndarray, probes: int = 1) -> DataFrame:
-    """rows with cluster: one row for each of the `probes` nearest centroids."""
+    """rows with cluster: one row for each of the `probes` nearest centroids. Null vectors take no part."""
     half = (centroids**2).sum(1) / 2
 
     def near(v: pd.Series) -> pd.Series:
         s = np.stack(v.to_numpy()).astype(float) @ centroids.T - half
         return pd.Series(list(np.argsort(-s, axis=1)[:, :probes].astype(np.int32)))
 
-    return rows.withColumn("cluster", F.explode(F.pandas_udf(near, "array<int>")("embedding")))
+    return rows.filter(F.col("embedding").isNotNull()).withColumn("cluster", F.explode(F.pandas_udf(near, "array<int>")("embedding")))
+
+
+def _packed(rows: DataFrame, deal: str, groups: int, name: str, k: int | None = None) -> DataFrame:
+    """(id, embedding, cluster) -> one row a cluster and share by hash of id: the ids in order and their vectors as bytes.
+
+    With k, of a share's equal vectors only the k smallest ids are kept: no other can be among k best.
+    """
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", kind="stable")
+        x = np.stack(f["embedding"].to_numpy()).astype("<f8")
+        if k is not None:
+            kept = pd.DataFrame({"v": [v.tobytes() for v in x]}).groupby("v").cumcount().to_numpy() < k
+            f, x = f[kept], x[kept]
+        return pd.DataFrame({"cluster": [f["cluster"].iloc[0]], deal: [f[deal].iloc[0]], f"{name}_ids": [f["id"].to_numpy("<i8").tobytes()], f"{name}_data": [x.tobytes()]})
+
+    dealt = rows.select("id", "embedding", "cluster", F.expr(f"int(pmod(xxhash64(id), {groups}))").alias(deal))
+    return dealt.groupBy("cluster", deal).applyInPandas(run, f"cluster int, {deal} int, {name}_ids binary, {name}_data binary")
+
+
+def _first(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each row's k best, ties on nine places to the smaller id."""
+    order = np.lexsort((ids, -np.round(scores, 9), rows))
+    rows = rows[order]
+    starts = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]]) if len(rows) else np.zeros(0, int)
+    kept = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)])) < k
+    return rows[kept], ids[order][kept], scores[order][kept]
 
 
 def ivf_search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: int, probes: int) -> DataFrame:
-    """Approximate kNN by inner product: an equi-join on the probed clusters, exact within them. index is assign(corpus)."""
-    asked = assign(queries.select("qid", "embedding"), centroids, probes).select("qid", F.col("embedding").alias("q"), "cluster")
-    score = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    met = asked.join(index.select("id", "embedding", "cluster"), "cluster").select("qid", "id", score.alias("score"))
+    """Approximate kNN by inner product: an equi-join on the probed clusters, exact within them. index is assign(corpus).
+
+    A cluster's queries and members travel packed, in shares of some TILES and SHARE rows at most, by hash of id; each pair of
+    shares is one matrix product, of which a query keeps its k best.
+    """
+    asked = assign(queries.select(F.col("qid").alias("id"), "embedding"), centroids, probes)
+    tiles, shares = (max(1, -(-df.count() // size)) for df, size in ((queries, TILES), (index, SHARE)))
+    q, c = _packed(asked, "tile", tiles, "q"), _packed(index, "share", shares, "c", k)
+
+    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for q_ids, q_data, c_ids, c_data in zip(f["q_ids"], f["q_data"], f["c_ids"], f["c_data"]):
+                qids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
+                qs, cs = np.frombuffer(q_data, "<f8").reshape(len(qids), -1), np.frombuffer(c_data, "<f8").reshape(len(ids), -1)
+                step = max(1, CELLS // len(ids))
+                for a in range(0, len(qids), step):
+                    s = qs[a : a + step] @ cs.T
+                    edge = np.partition(s, -k, axis=1)[:, -k] - 2e-9 if len(ids) > k else np.full(len(s), -np.inf)
+                    rows, cols = np.nonzero(s >= edge[:, None])
+                    rows, near, score = _first(rows, ids[cols], s[rows, cols], k)
+                    yield pd.DataFrame({"qid": qids[a : a + step][rows], "id": near, "score": score})
+
+    met = c.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(q, ["cluster", "tile"])
+    found = met.select("q_ids", "q_data", "c_ids", "c_data").mapInPandas(search, "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
-    return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score")

@@ -1,10 +1,11 @@
 """Whole sequences: nothing is cut off."""
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestar import plans
-from lodestar.operators import lexical, reshape
+from lodestar.operators import lexical, reshape, vector
 from lodestar.plans import rollouts
 
 
@@ -90,3 +91,20 @@ def test_planted_truth_is_any_text_that_contains_the_passage(spark, tmp_path):
     rel = con.sql(plans.ORACLE_SQL["ranking_eval_planted"])
     want = dict(zip(rel.columns, rel.fetchall()[0]))
     assert got.first().asDict() == want and want["n_usable"] == 2
+
+
+def test_ivf_over_all_clusters_is_exact_and_packed(spark, monkeypatch):
+    monkeypatch.setattr(vector, "TILES", 7)
+    monkeypatch.setattr(vector, "SHARE", 30)
+    monkeypatch.setattr(vector, "CELLS", 64)
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (90, 4)).astype(float)
+    x[20:60] = x[5]  # many equal vectors: ties go to the smaller id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(90, None)]
+    e = spark.createDataFrame(rows, "id long, embedding array<double>")
+    centroids = vector.train_centroids(e, 4)
+    got = vector.ivf_search(e.withColumnRenamed("id", "qid"), vector.assign(e, centroids), centroids, 5, len(centroids))
+    assert "zip_with" not in got._jdf.queryExecution().optimizedPlan().toString()
+    s = x @ x.T
+    want = sorted((q, r + 1, i, s[q, i]) for q in range(90) for r, i in enumerate(sorted(range(90), key=lambda i: (-s[q, i], i))[:5]))
+    assert sorted(map(tuple, got.collect())) == want
