@@ -128,15 +128,20 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: i
     """Approximate kNN by inner product: an equi-join on the probed clusters, exact within them. index is assign(corpus).
 
     A cluster's queries and members travel packed, in shares of some TILES and SHARE rows at most, by hash of id; each pair of
-    shares is one matrix product, of which a query keeps its k best.
+    shares is one matrix product. A query keeps one list of its k best over the shares of a cluster that a task meets in a row.
     """
     asked = assign(queries.select(F.col("qid").alias("id"), "embedding"), centroids, probes)
     tiles, shares = (max(1, -(-df.count() // size)) for df, size in ((queries, TILES), (index, SHARE)))
     q, c = _packed(asked, "tile", tiles, "q"), _packed(index, "share", shares, "c", k)
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, held = None, []
         for f in frames:
-            for q_ids, q_data, c_ids, c_data in zip(f["q_ids"], f["q_data"], f["c_ids"], f["c_data"]):
+            for cluster, tile, q_ids, q_data, c_ids, c_data in f.itertuples(index=False):
+                if key != (cluster, tile):
+                    if held:
+                        yield pd.DataFrame(dict(zip(("qid", "id", "score"), held[0])))
+                    key, held = (cluster, tile), []
                 qids, ids = np.frombuffer(q_ids, "<i8"), np.frombuffer(c_ids, "<i8")
                 qs, cs = np.frombuffer(q_data, "<f8").reshape(len(qids), -1), np.frombuffer(c_data, "<f8").reshape(len(ids), -1)
                 step = max(1, CELLS // len(ids))
@@ -144,10 +149,12 @@ def ivf_search(queries: DataFrame, index: DataFrame, centroids: np.ndarray, k: i
                     s = qs[a : a + step] @ cs.T
                     edge = np.partition(s, -k, axis=1)[:, -k] - 2e-9 if len(ids) > k else np.full(len(s), -np.inf)
                     rows, cols = np.nonzero(s >= edge[:, None])
-                    rows, near, score = _first(rows, ids[cols], s[rows, cols], k)
-                    yield pd.DataFrame({"qid": qids[a : a + step][rows], "id": near, "score": score})
+                    held.append(_first(qids[a : a + step][rows], ids[cols], s[rows, cols], k))
+                held = [_first(*map(np.concatenate, zip(*held)), k)]
+        if held:
+            yield pd.DataFrame(dict(zip(("qid", "id", "score"), held[0])))
 
     met = c.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).join(q, ["cluster", "tile"])
-    found = met.select("q_ids", "q_data", "c_ids", "c_data").mapInPandas(search, "qid long, id long, score double")
+    found = met.select("cluster", "tile", "q_ids", "q_data", "c_ids", "c_data").mapInPandas(search, "qid long, id long, score double")
     best = Window.partitionBy("qid").orderBy(F.round("score", 9).desc(), "id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("qid", "rank", "id", "score")
