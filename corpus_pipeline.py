@@ -12,16 +12,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestar.llm import bpe, mixing, quality, secrets, simhash
-from lodestar.llm.common import MADE, materialize, remove, remove_since
+from lodestar.llm.common import MADE, materialize, remove, remove_since, small_batches
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or are outliers of their language and source go."""
+    small_batches(spark)
     return quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the smallest doc_id: five-word shingles."""
+    small_batches(spark)
     return simhash.keep_one(docs)
 
 
@@ -37,6 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix as token ids: one row a document taken, with its ids and the digests of them and of their decoding."""
+    small_batches(spark)
     return bpe.round_trip(docs, bpe.tokenizer_path(), with_ids=True)
 
 

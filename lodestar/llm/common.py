@@ -57,6 +57,20 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: Texts that go to Python at once, and Spark's own limit that this one takes the place of.
+BATCH_SETTING, BATCH_BYTES, BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", 64 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows go to Python in batches of some 4 MB, unless the session has a limit of its own.
+
+    10,000 whole texts, Spark's batch, are tens of MB, and an executor holds them several times: as rows in wait, in Arrow's
+    buffers on either side, and as Python's strings, in each worker. The rows and results are the same.
+    """
+    if spark.conf.get(BATCH_SETTING).rstrip("b") == str(BATCH_DEFAULT):
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, everything else as it is."""
     return F.translate(text, UPPER, UPPER.lower())
